@@ -16,7 +16,7 @@ sys.path.insert(0, ROOT)
 
 def canonical(pdf: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT or v is pd.NA:
             return "∅"
         if isinstance(v, bool) or type(v).__name__ == "bool_" or type(v).__name__ == "bool":
             return str(bool(v))
