@@ -115,23 +115,23 @@ def style_key(styles: Column) -> Column:
 
 def markdown_style(text: Column, styles: Column) -> Column:
     """Markdown wrapper for the four simple style sets; other sets leave the text alone."""
-    key, out = style_key(styles), text
-    for name, mark in MARKDOWN_WRAPPERS.items():
-        out = F.when(key == name, F.concat(F.lit(mark), text, F.lit(mark))).otherwise(out)
-    return F.when(text == "", text).otherwise(out)
+    key, mark = style_key(styles), F.lit("")
+    for name, wrapper in MARKDOWN_WRAPPERS.items():
+        mark = F.when(key == name, F.lit(wrapper)).otherwise(mark)
+    mark = F.when(text == "", "").otherwise(mark)
+    return F.concat(mark, text, mark)
 
 
 def html_style(text: Column, styles: Column) -> Column:
     """HTML tags around the text."""
-    def wrap(inner: Column, name: str, left: str, right: str) -> Column:
-        return F.when(F.array_contains(styles, name), F.concat(F.lit(left), inner, F.lit(right))).otherwise(inner)
-
-    out = F.when(
-        F.array_contains(styles, "superscript"), F.concat(F.lit("<sup>"), text, F.lit("</sup>"))
-    ).otherwise(wrap(text, "subscript", "<sub>", "</sub>"))
-    for name, left, right in HTML_WRAPPERS:
-        out = wrap(out, name, left, right)
-    return F.when((text == "") | (F.size(styles) == 0), text).otherwise(out)
+    sup, sub = F.array_contains(styles, "superscript"), F.array_contains(styles, "subscript")
+    left = [F.when(sup, "<sup>").when(sub, "<sub>").otherwise("")]
+    right = [F.when(sup, "</sup>").when(sub, "</sub>").otherwise("")]
+    for name, opening, closing in HTML_WRAPPERS:
+        present = F.array_contains(styles, name)
+        left.insert(0, F.when(present, opening).otherwise(""))
+        right.append(F.when(present, closing).otherwise(""))
+    return F.when((text == "") | (F.size(styles) == 0), text).otherwise(F.concat(*left, text, *right))
 
 
 def needs_boundary_space(

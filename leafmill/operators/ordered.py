@@ -1,9 +1,11 @@
 """Ordered scans (lag, lead, running sum/min/max, last/next known value) over groups of any size.
 
-Every scan is a window. A group whose integer position runs past ``slice_rows`` is cut into slices of
-that many positions: the window runs inside (group, slice), and one small row per slice carries the state
-across slice borders. The branch that builds those carry rows starts from a filter on the position, so for
-data without oversized groups it is an empty relation and costs one pruned scan.
+Every scan is a window over (group). Pages, tables and documents are far smaller than a task, so that is the
+whole plan. Where one group may be huge (a third of a table under one document id, say) pass ``slice_rows``
+or set ``leafmill.sliceRows`` on the session: a group whose integer position runs past that many rows is then
+cut into slices, the window runs inside (group, slice), and one small row per slice carries the state across
+slice borders. The carry branch reads the input once more, so give it a table that is already written or
+checkpointed rather than a long chain of operators.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 1_000_000
+SLICE_ROWS_CONF = "leafmill.sliceRows"
 _SLICE = "__slice"
 
 
@@ -95,9 +97,11 @@ def scan(
     position: str | None = None,
     slice_rows: int | None = None,
 ) -> DataFrame:
-    """Add the scan columns. ``position`` is the integer column to slice on (ascending with ``order``);
-    without it the group is one window partition (spillable, but one task)."""
-    rows = SLICE_ROWS if slice_rows is None else slice_rows
+    """Add the scan columns. ``position`` is the integer column to slice on (ascending with ``order``).
+
+    Slicing groups on null-free ``group`` keys only; without slicing nulls form a group like any value.
+    """
+    rows = int(df.sparkSession.conf.get(SLICE_ROWS_CONF, "0")) if slice_rows is None else slice_rows
     if position is None or rows <= 0:
         w = Window.partitionBy(*group).orderBy(*order)
         return df.withColumns({name: _finish(s, _inside(s, w)) for name, s in scans.items()})

@@ -274,11 +274,11 @@ with {SHRUNK}, p as ({PAIRS}), q as (select *, least(x1,bx1)-greatest(x0,bx0) as
    (x1-x0)*(y1-y0) as aa, (bx1-bx0)*(by1-by0) as ba from p),
  r as (select *, case when w<0 or h<0 then 0.0 else w*h end as i from q)
 select doc_id, page_idx, block_idx, x0>=bx0 and y0>=by0 and x1<=bx1 and y1<=by1 as inside, w>0 and h>0 as meets,
- round(i/(aa+ba-i),6) as iou, round(i/aa,6) as own, round(i/least(aa,ba),6) as smaller,
+ round(i/(aa+ba-i),9) as iou, round(i/aa,9) as own, round(i/least(aa,ba),9) as smaller,
  case when i/least(aa,ba) > 0.3 then case when aa<=ba then x0 else bx0 end else -1 end as small_x0,
- round(case when w<0 then 0 else w*1.0/(x1-x0) end,6) as x_share,
- round(greatest(0,h)*1.0/least(y1-y0,by1-by0),6) as y_share,
- round(greatest(0,w)*1.0/least(x1-x0,bx1-bx0),6) as x_min_share,
+ round(case when w<0 then 0 else w*1.0/(x1-x0) end,9) as x_share,
+ round(greatest(0,h)*1.0/least(y1-y0,by1-by0),9) as y_share,
+ round(greatest(0,w)*1.0/least(x1-x0,bx1-bx0),9) as x_min_share,
  bx1<x0 as b_left, x1<bx0 as b_right, by1<y0 as b_above, y1<by0 as b_below,
  round(sqrt(power(greatest(0,-w),2)+power(greatest(0,-h),2)),6) as edge,
  round(sqrt(power((x0+x1)/2.0-(bx0+bx1)/2.0,2)+power((y0+y1)/2.0-(by0+by1)/2.0,2)),6) as center
@@ -288,10 +288,10 @@ def box_predicates(spark, sf):
     pos = B.relative_position(a, b)
     return box_pairs(spark, sf).select(
         "doc_id", "page_idx", "block_idx", B.is_inside(a, b).alias("inside"), B.intersects(a, b).alias("meets"),
-        F.round(B.iou(a, b), 6).alias("iou"), F.round(B.overlap_in_own(a, b), 6).alias("own"),
-        F.round(B.overlap_in_smaller(a, b), 6).alias("smaller"), F.coalesce(B.smaller_if_overlapping(a, b, 0.3)["x0"], F.lit(-1)).alias("small_x0"),
-        F.round(B.x_projection_overlap(a, b), 6).alias("x_share"), F.round(B.y_overlap_in_smaller(a, b), 6).alias("y_share"),
-        F.round(B.x_overlap_in_smaller(a, b), 6).alias("x_min_share"),
+        F.round(B.iou(a, b), 9).alias("iou"), F.round(B.overlap_in_own(a, b), 9).alias("own"),
+        F.round(B.overlap_in_smaller(a, b), 9).alias("smaller"), F.coalesce(B.smaller_if_overlapping(a, b, 0.3)["x0"], F.lit(-1)).alias("small_x0"),
+        F.round(B.x_projection_overlap(a, b), 9).alias("x_share"), F.round(B.y_overlap_in_smaller(a, b), 9).alias("y_share"),
+        F.round(B.x_overlap_in_smaller(a, b), 9).alias("x_min_share"),
         pos["left"].alias("b_left"), pos["right"].alias("b_right"), pos["bottom"].alias("b_above"), pos["top"].alias("b_below"),
         F.round(B.edge_distance(a, b), 6).alias("edge"), F.round(B.center_distance(a, b), 6).alias("center"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import signal
 import sys
 import time
 
@@ -36,7 +37,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def check(spark, con, name, fn, sql, sf_dir) -> str | None:
+    print(f"... {name} spark", end="", flush=True)
     got = fn(spark, sf_dir).toPandas()
+    print(" done, sql ", end="", flush=True)
     if sql is None:
         return None if len(got) else "no rows"
     want = con.sql(sql).df()
@@ -58,18 +61,24 @@ if __name__ == "__main__":
 
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = get_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                                  "spark.driver.memory": "12g", "spark.driver.host": "127.0.0.1"})
+                                                  "spark.driver.memory": "12g", "spark.driver.host": "127.0.0.1", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     qs, sqls = entry.queries(), entry.oracle_sql()
     wanted = [n for n in qs if not sys.argv[1:] or any(n.startswith(p) for p in sys.argv[1:])]
+    def late(*_):
+        raise TimeoutError("over the time limit")
+
+    signal.signal(signal.SIGALRM, late)
     bad = 0
     for n in wanted:
         t = time.time()
+        signal.alarm(int(os.environ.get("LIMIT", "60")))
         try:
             problem = check(spark, con, n, qs[n], sqls.get(n), sf)
         except Exception as e:
             problem = f"{type(e).__name__}: {str(e)[:1500]}"
+        signal.alarm(0)
         took = time.time() - t
         if problem:
             bad += 1
