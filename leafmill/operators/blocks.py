@@ -175,8 +175,8 @@ def two_layer_blocks(attached: DataFrame, carry: Sequence[str] = ()) -> DataFram
     return grouped.select(
         *PAGE,
         "b.*",
-        F.transform("m", lambda x: x["content"]).alias("captions"),
-        *[F.transform("m", lambda x, c=c: x[c]).alias(f"caption_{c}") for c in carry],
+        F.col("m.content").alias("captions"),
+        *[F.col(f"m.{c}").alias(f"caption_{c}") for c in carry],
     )
 
 
