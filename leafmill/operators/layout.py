@@ -202,7 +202,7 @@ def span_triage(spans: DataFrame) -> DataFrame:
 
     b = B.box()
     counts = spans.groupBy("page_id", b.height.alias("h")).agg(F.count("*").alias("n"))
-    medians = counts.groupBy("page_id").agg(F.percentile("h", F.lit(0.5), "n").alias("__median"))
+    medians = counts.groupBy("page_id").agg(F.percentile("h", F.lit(0.5), F.col("n")).alias("__median"))
     thin = F.length("content") * b.height < 0.5 * b.width
     return (
         spans.join(medians, "page_id")

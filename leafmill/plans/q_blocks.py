@@ -355,7 +355,7 @@ def document_markdown(spark, sf):
 
 @query("content_list_entries", RENDER + """ select doc_id, page_idx, block_idx, cast(discarded as int) as part,
   '{"type":"' || (case type when 'title' then 'text' when 'interline_equation' then 'equation' else replace(type,'_body','') end) || '",' ||
-  (case when type in ('text','header') then '"text":"' || trim(content) || '",' when type='title' then '"text":"' || (case when num <> '' then num || ' ' else '' end) || content || '","text_level":' || level || ','
+  (case when type='text' then '"text":"' || trim(content) || '",' when type='header' then '"text":"' || content || '",' when type='title' then '"text":"' || (case when num <> '' then num || ' ' else '' end) || content || '","text_level":' || level || ','
         when type='interline_equation' then '"text":"$$\\n' || content || '\\n$$","text_format":"latex",' else '' end) ||
   (case when type='image_body' then '"img_path":"img/' || content || '.png",' when type='chart_body' then '"img_path":"","content":"' || content || '",'
         when type='table_body' then '"table_body":"' || content || '",' else '' end) ||
