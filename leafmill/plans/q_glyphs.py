@@ -145,7 +145,7 @@ PARENTS = f"""b as ({VBLOCKS}), o as (select *, row_number() over (partition by
  p as (select c.doc_id, c.page_idx, c.block_idx, c.type, c.pos, c.x0, c.y0, c.x1, c.y1, m.block_idx as mi, m.type as mt, m.pos as mp, m.x0 as mx0, m.y0 as my0, m.x1 as mx1, m.y1 as my1
    from o c join o m on c.doc_id=m.doc_id and c.page_idx=m.page_idx and c.type in ('caption','footnote') and m.type in ('image_body','table_body','chart_body')
    and not (c.type='footnote' and c.block_idx < m.block_idx)),
- v as (select *, abs(pos-mp) - (select count(*) from o z where z.doc_id=p.doc_id and z.page_idx=p.page_idx and z.pos > least(pos,mp) and z.pos < greatest(pos,mp) and z.type=p.type) as diff
+ v as (select *, abs(pos-mp) - (select count(*) from o z where z.doc_id=p.doc_id and z.page_idx=p.page_idx and z.pos > least(p.pos,p.mp) and z.pos < greatest(p.pos,p.mp) and z.type=p.type) as diff
    from p where not exists (select 1 from o z where z.doc_id=p.doc_id and z.page_idx=p.page_idx and z.pos > least(p.pos,p.mp) and z.pos < greatest(p.pos,p.mp)
      and not (z.type='caption' or (p.type='footnote' and z.type='footnote'))
      and not ((p.y1 <= p.my0 or p.my1 <= p.y0)
