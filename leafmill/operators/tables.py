@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import escape_html
 from leafmill.operators.ordered import Scan, scan
+from leafmill.session import checkpointed
 
 MAX_HEADER_ROWS = 5
 MAX_POINTS = 100_000
@@ -218,10 +219,10 @@ def adjacent_tables(blocks: DataFrame) -> DataFrame:
         F.min_by(F.struct("type", "table_id", "x0", "x1"), "block_idx").alias("f"),
         F.max_by(F.struct("type", "table_id", "x0", "x1"), "block_idx").alias("l"),
     )
-    previous = ends.where("l.type = 'table'").select("doc_id", (F.col("page_idx") + 1).alias("page_idx"), "l")
+    previous = ends.where("l.type = 'table'").select("doc_id", (F.col("page_idx") + 1).alias("page_idx"), F.col("l").alias("p"))
     return ends.where("f.type = 'table'").join(previous, ["doc_id", "page_idx"]).select(
-        "doc_id", "page_idx", F.col("f.table_id").alias("table_id"), F.col("l.table_id").alias("prev_id"),
-        (F.col("f.x1") - F.col("f.x0")).alias("width"), (F.col("l.x1") - F.col("l.x0")).alias("prev_width"),
+        "doc_id", "page_idx", F.col("f.table_id").alias("table_id"), F.col("p.table_id").alias("prev_id"),
+        (F.col("f.x1") - F.col("f.x0")).alias("width"), (F.col("p.x1") - F.col("p.x0")).alias("prev_width"),
     )
 
 
@@ -266,8 +267,6 @@ def merge_chains(merges: DataFrame, tables: DataFrame, max_rounds: int = 32) ->
     Links point to the previous page's table. Each round follows the link of the link, so a chain of n pages
     takes log n rounds.
     """
-    from leafmill.session import checkpointed
-
     links = tables.select("table_id").join(merges.select("table_id", "prev_id"), "table_id", "left").select(
         "table_id", F.coalesce("prev_id", "table_id").alias("root_id"), F.when(F.col("prev_id").isNull(), 0).otherwise(1).alias("chain_pos")
     )
@@ -358,7 +357,7 @@ def continue_cells(merged: DataFrame, boundaries: DataFrame) -> DataFrame:
     continue). A source cell is emptied once moved, and the row goes when nothing visible is left in it;
     blank cells spanning further down move to the next row with one row less.
     """
-    placed = place_cells(merged)
+    placed = checkpointed(place_cells(merged))  # read by both sides of the move
     flagged = boundaries.select("table_id", F.col("row_idx").alias("src_row"), F.posexplode("flags").alias("vcol", "flag")).where("flag = 1")
     wide = placed.select(
         "table_id", "row_idx", "cell_idx", "text", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)).alias("vcol")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import tables as T
 from leafmill.plans.registry import derived, query
+from leafmill.session import checkpointed
 
 # cells one after the other, remembering occupied squares as row * 100 + column (spans are at most 2)
 PLACED = """with recursive o as (select *, row_number() over (partition by table_id order by row_idx, cell_idx) as n from cells),
@@ -14,7 +15,7 @@ PLACED = """with recursive o as (select *, row_number() over (partition by table
   union all
   select t.table_id, t.n, t.row_idx, t.cell_idx, t.text, t.rowspan, t.colspan, t.col,
     list_concat(t.occ, list_distinct([t.row_idx*100+t.col, t.row_idx*100+t.col+t.colspan-1, (t.row_idx+t.rowspan-1)*100+t.col, (t.row_idx+t.rowspan-1)*100+t.col+t.colspan-1]))
-  from (select o.*, s.occ, list_filter(range(case when o.row_idx=s.row_idx then s.col+s.colspan else 0 end, 40), c -> not list_contains(s.occ, o.row_idx*100+c))[1] as col
+  from (select o.*, s.occ, list_filter(range(case when o.row_idx=s.row_idx then s.col+s.colspan else 0 end, 40), lambda c: not list_contains(s.occ, o.row_idx*100+c))[1] as col
     from s join o on o.table_id=s.table_id and o.n=s.n+1) t),
  placed as (select table_id, row_idx, cell_idx, text, rowspan, colspan, col from s),
  grid as (select table_id, row_idx, cell_idx, text, row_idx + a.i as row, col + b.i as c from placed, range(2) a(i), range(2) b(i) where a.i < rowspan and b.i < colspan)"""
@@ -126,15 +127,15 @@ def adjacent_page_tables(spark, sf):
 
 def merge_plan(spark, sf):
     c, pages, notes = page_tables(spark, sf)
-    p = T.place_cells(c)
-    merges = T.mergeable_pairs(T.adjacent_tables(pages), p, notes)
+    p = checkpointed(T.place_cells(c))
+    merges = checkpointed(T.mergeable_pairs(T.adjacent_tables(pages), p, notes))
     return c, pages, p, merges
 
 
 @query("table_header_rows")
 def table_header_rows(spark, sf):
     c, pages, _ = page_tables(spark, sf)
-    return T.common_header_rows(T.adjacent_tables(pages).select("prev_id", "table_id"), T.place_cells(c))
+    return T.common_header_rows(T.adjacent_tables(pages).select("prev_id", "table_id"), checkpointed(T.place_cells(c)))
 
 
 @query("table_merge_pairs")
@@ -154,7 +155,7 @@ def table_cell_continuation(spark, sf):
     merged = T.merge_tables(c, merges, T.merge_chains(merges, pages))
     starts = merged.where("source_id <> table_id").groupBy("table_id", "source_id").agg(F.min("row_idx").alias("row_idx")).select(
         "table_id", "row_idx", F.array(F.lit(1), F.lit(0), F.lit(1)).alias("flags"))
-    return T.continue_cells(merged.drop("source_id"), starts)
+    return T.continue_cells(checkpointed(merged.drop("source_id")), checkpointed(starts))
 
 
 @query("table_column_padding")
