@@ -69,6 +69,12 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
                   (l_partkey * 7) % 300 + (case when l_orderkey % 3 = 0 then 10 else 40 end) + l_partkey % 80 as y1
            from numbered""",
     ),
+    # parts that follow each other in an order
+    "links": (
+        ("numbered",),
+        """select src, dst from (select l_partkey as src, l_suppkey, lead(l_partkey) over (partition by l_orderkey order by block_idx) as dst
+             from numbered) t where dst is not null and l_suppkey % 4 = 0""",
+    ),
     "cells": (
         ("numbered",),
         """select l_orderkey as table_id, cast(floor(block_idx / 3) as bigint) as row_idx,

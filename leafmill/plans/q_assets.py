@@ -50,7 +50,7 @@ def markdown_docs(spark, sf):
 
 
 @query("asset_path_rewrite", """
-select page_id as doc_id, '![](out/n' || page_id % 50 || '.jpg) text <img src="out/n' || page_id % 7 || '.jpg"> ![](x/none.png) end' || page_id as markdown from pages""")
+select page_id as doc_id, '![](out/n' || page_id % 50 || '.jpg) text <img src="out/n' || page_id % 7 || '.jpg"> ![](out/none.png) end' || page_id as markdown from pages""")
 def asset_path_rewrite(spark, sf):
     mapping = table(spark, sf, "pages").selectExpr("'a' || page_id % 50 || '.png' as old_name", "'n' || page_id % 50 || '.jpg' as new_name").distinct()
     return A.rewrite_paths(markdown_docs(spark, sf), mapping, "out")

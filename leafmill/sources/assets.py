@@ -63,14 +63,17 @@ def _base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)\z", 1)
 
 
-def _rewrite(documents: DataFrame, mapping: DataFrame, images_only: bool, new_piece) -> DataFrame:
-    """Replace references by what the mapping (key, value) gives for their file name. Only references travel:
-    they join the mapping by name and come back as one small map per document."""
+def _rewrite(documents: DataFrame, mapping: DataFrame, images_only: bool, new_piece, default=None) -> DataFrame:
+    """Replace references by what the mapping (key, value) gives for their file name, or ``default(key)``.
+    Only references travel: they join the mapping by name and come back as one small map per document."""
     cut = documents.withColumn("__p", _pieces(F.col("markdown")))
     pattern = r"^!\[\]\((.+)\)\z" if images_only else r'^(?:!\[\]\(|src=")(.+?)[)"]\z'
     refs = cut.select("doc_id", F.posexplode("__p").alias("pos", "piece"))
     refs = refs.withColumn("path", F.regexp_extract("piece", pattern, 1)).where("path <> ''").withColumn("key", _base_name(F.col("path")))
-    found = refs.join(mapping.select("key", "value"), "key").select("doc_id", "pos", new_piece(F.col("piece"), F.col("path"), F.col("value")).alias("new"))
+    matched = refs.join(mapping.select("key", "value"), "key", "inner" if default is None else "left")
+    if default is not None:
+        matched = matched.withColumn("value", F.coalesce("value", default(F.col("key"))))
+    found = matched.select("doc_id", "pos", new_piece(F.col("piece"), F.col("path"), F.col("value")).alias("new"))
     maps = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("__m"))
     joined = cut.join(maps, "doc_id", "left")
     rebuilt = F.array_join(F.transform("__p", lambda x, i: F.coalesce(F.element_at("__m", i), x)), "")
@@ -78,10 +81,11 @@ def _rewrite(documents: DataFrame, mapping: DataFrame, images_only: bool, new_pi
 
 
 def rewrite_paths(documents: DataFrame, mapping: DataFrame, folder: str = "") -> DataFrame:
-    """``![](old)`` and ``src="old"`` with the new name (mapping old_name, new_name) in ``folder``."""
+    """``![](old)`` and ``src="old"`` with the new name (mapping old_name, new_name) in ``folder``; names the
+    mapping lacks stay but move to ``folder`` too."""
     prefix = f"{folder}/" if folder else ""
     names = mapping.select(F.col("old_name").alias("key"), F.concat(F.lit(prefix), "new_name").alias("value"))
-    return _rewrite(documents, names, False, lambda piece, path, value: F.replace(piece, path, value))
+    return _rewrite(documents, names, False, lambda piece, path, value: F.replace(piece, path, value), lambda key: F.concat(F.lit(prefix), key))
 
 
 def inject_descriptions(documents: DataFrame, descriptions: DataFrame) -> DataFrame:
