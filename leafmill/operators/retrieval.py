@@ -199,7 +199,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def cosine_top_k(vectors: DataFrame, query: Column, k: int = 30, floor: float = 0.0) -> DataFrame:
     """The k vectors (vec_id, score) nearest to one query vector, at or above the floor: a bounded top-k."""
-    scored = vectors.select("vec_id", cosine(F.col("embedding"), query).alias("score")).where(F.col("score") >= floor)
+    asked = vectors.select("vec_id", "embedding", query.alias("__q"))
+    scored = asked.select("vec_id", cosine(F.col("embedding"), F.col("__q")).alias("score")).where(F.col("score") >= floor)
     return scored.orderBy(F.col("score").desc(), "vec_id").limit(k)
 
 
