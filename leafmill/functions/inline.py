@@ -165,10 +165,13 @@ def finish_paragraph(text: Column) -> Column:
 def with_inline_markdown(df: DataFrame, content: str = "content", out: str = "inline") -> DataFrame:
     """Add ``out`` (tagged text as Markdown) and ``{out}_spans`` (its spans)."""
     spans, runs, html = f"{out}_spans", f"__{out}_runs", f"__{out}_html"
+    text = F.coalesce(F.col(content), F.lit(""))
+    tagged = text.contains("<")  # most text has no tags and needs no parsing
+    plain = F.when(text == "", F.array().cast(SPAN_TYPE)).otherwise(F.array(_span("text", text)))
     return (
-        df.withColumn(spans, parse_spans(F.col(content)))
-        .withColumn(runs, merge_text_runs(F.col(spans)))
-        .withColumn(html, needs_html(F.col(runs)))
-        .withColumn(out, render_runs(F.col(runs), F.col(html)))
+        df.withColumn(spans, F.when(tagged, parse_spans(text)).otherwise(plain))
+        .withColumn(runs, F.when(tagged, merge_text_runs(F.col(spans))))
+        .withColumn(html, F.when(tagged, needs_html(F.col(runs))))
+        .withColumn(out, F.when(tagged, render_runs(F.col(runs), F.col(html))).otherwise(X.escape_markdown(text)))
         .drop(runs, html)
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import inline as I
 from leafmill.functions import text as X
+from leafmill.session import where_computed
 
 BODY_ONLY = ("image_body", "table_body", "chart_body")
 VISUAL_MODES = ("mm_markdown", "nlp_markdown")
@@ -77,11 +78,8 @@ def block_markdown(blocks: DataFrame, mode: str = "mm_markdown", folder: str = "
         .when(kind == "table_body", F.concat(html, captions))
         .when(kind == "chart_body", F.concat(chart, captions))
     )
-    return (
-        df.withColumn("markdown", F.trim(markdown, F.lit("\r\n")))
-        .where(F.trim("markdown", F.lit(" \t\r\n")) != "")
-        .drop("text")
-    )
+    rendered = df.withColumn("markdown", F.trim(markdown, F.lit("\r\n")))
+    return where_computed(rendered, F.trim("markdown", F.lit(" \t\r\n")) != "").drop("text")
 
 
 def document_markdown(rendered: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.ordered import global_row_number
+from leafmill.session import where_computed
 
 _BLANK = " \t\r\n"
 
@@ -161,14 +162,25 @@ def chunk_reuse(chunks: DataFrame, stored: DataFrame) -> DataFrame:
 def bm25(documents: DataFrame, terms: Sequence[str], k1: float = 1.5, b: float = 0.75, base: Column | None = None) -> DataFrame:
     """(doc_id, score) of documents holding any of the terms, over ``[a-z0-9]+`` tokens, plus half the base score.
 
-    Term counts come from the text in place, so nothing is exploded; corpus statistics are one row.
+    Terms are counted in the text with single blanks between tokens, so nothing is exploded or shuffled; corpus
+    statistics are one row.
     """
     words = list(dict.fromkeys(terms))
-    text = F.lower("text")
-    counted = documents.select(
-        "doc_id", F.regexp_count(text, F.lit("[a-z0-9]+")).alias("len"),
-        *[F.regexp_count(text, F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])")).alias(f"t{i}") for i, w in enumerate(words)],
-        (F.lit(0.0) if base is None else base).alias("base"),
+    tokens = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    blanks = F.length("tokens") - F.length(F.replace("tokens", F.lit(" "), F.lit("")))
+    padded = F.concat(F.lit(" "), F.replace("tokens", F.lit(" "), F.lit("  ")), F.lit(" "))
+
+    def occurrences(word: str) -> Column:
+        rest = F.replace("padded", F.lit(f" {word} "), F.lit(""))
+        return ((F.length("padded") - F.length(rest)) / (len(word) + 2)).cast("int")
+
+    spaced = documents.select("doc_id", tokens.alias("tokens"), (F.lit(0.0) if base is None else base).alias("base"))
+    counted = (
+        spaced.withColumn("padded", padded)
+        .select(
+            "doc_id", F.when(F.col("tokens") == "", 0).otherwise(blanks + 1).alias("len"),
+            *[occurrences(w).alias(f"t{i}") for i, w in enumerate(words)], "base",
+        )
     )
     stats = counted.agg(
         F.struct(
@@ -186,7 +198,7 @@ def bm25(documents: DataFrame, terms: Sequence[str], k1: float = 1.5, b: float =
     hit = F.lit(False)
     for i in range(len(words)):
         hit = hit | (F.col(f"t{i}") > 0)
-    return told.where(hit).select("doc_id", score.alias("score"))
+    return where_computed(told, hit).select("doc_id", score.alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:

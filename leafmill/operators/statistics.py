@@ -12,6 +12,7 @@ from leafmill.session import estimated_bytes
 # Below this estimated input size one task may hold the distinct values (Spark's own percentile).
 SINGLE_TASK_BYTES = 256 * 1024 * 1024
 _SPLITS = 255
+_STEP = 16
 
 STATISTICS = ("median", "mean", "mode", "outlier_lower", "outlier_upper")
 OUTLIER_FACTORS = {"iqr": 1.5, "iqr_3": 3.0}
@@ -34,11 +35,13 @@ def exact_quantiles(
     counts = narrow.groupBy("v").agg(F.count("*").alias("n"))
     splitters = (
         counts.select("v").orderBy(F.xxhash64("v"), "v").limit(_SPLITS).agg(F.sort_array(F.collect_list("v")).alias("s"))
+        .select(F.struct("s", F.filter("s", lambda _, i: i % _STEP == _STEP - 1).alias("coarse")).alias("s"))
     ).scalar()
+    # number of splitters below the value: every 16th first, then the 16 that follow
+    below = F.size(F.filter("s.coarse", lambda x: x < F.col("v"))) * _STEP
+    within = F.size(F.filter(F.slice("s.s", F.col("below") + 1, F.lit(_STEP)), lambda x: x < F.col("v")))
     bucketed = (
-        counts.withColumn("s", splitters)
-        .withColumn("bucket", F.size(F.filter("s", lambda s: s < F.col("v"))))
-        .drop("s")
+        counts.withColumn("s", splitters).withColumn("below", below).withColumn("bucket", F.col("below") + within).drop("s", "below")
     )
     by_bucket = Window.orderBy("bucket")  # at most 256 rows
     totals = bucketed.groupBy("bucket").agg(F.sum("n").alias("size"))

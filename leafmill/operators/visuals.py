@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import boxes as B
 from leafmill.functions.text import is_table_continuation
+from leafmill.session import checkpointed
 
 PAGE = ("doc_id", "page_idx")
 KEYS = (*PAGE, "block_idx")
@@ -155,12 +156,14 @@ def visual_parents(blocks: DataFrame) -> DataFrame:
 
     kind = F.col("type")
     main = kind.isin(*MAINS)
+    # children, visuals and blockers all come from this table
     placed = relation.withColumns(
         {
             "pos": F.row_number().over(w),
             "n_cap": running(kind == "caption"), "n_foot": running(kind == "footnote"),
         }
     )
+    placed = checkpointed(placed)
     me = F.struct(
         F.col("block_idx").alias("m_idx"), F.col("pos").alias("m_pos"), F.col("n_cap").alias("m_cap"), F.col("n_foot").alias("m_foot"),
         kind.alias("m_type"), *[F.col(c).alias(f"m_{c}") for c in ("x0", "y0", "x1", "y1")],
@@ -194,7 +197,8 @@ def visual_parents(blocks: DataFrame) -> DataFrame:
 
     plain = [c for c in children.columns if c not in ("__p", "__n")]
     nearest = children.select(*plain, F.explode(F.array_compact(F.array("__p", "__n"))).alias("m")).select(*plain, "m.*")
-    one = _pair_valid(measured(nearest), placed)
+    nearest = checkpointed(nearest)
+    one = checkpointed(_pair_valid(measured(nearest), placed))
     # a side whose nearest visual is blocked may still have a farther one that is not
     sides = one.select(*KEYS, (F.col("m_idx") > F.col("block_idx")).alias("__later")).distinct()
     tried = nearest.select(*KEYS, (F.col("m_idx") > F.col("block_idx")).alias("__later"), F.col("m_idx").alias("__tried"))
