@@ -77,15 +77,14 @@ STYLES = ["", "bold", "italic", "bold,italic", "strikethrough", "underline", "bo
 
 
 @query("inline_styles", """
-with t as (select l_orderkey, l_partkey, l_suppkey, 'p' || l_partkey as txt, l_partkey % 8 as k from lineitem)
+with t as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, 'p' || l_partkey as txt, l_partkey % 8 as k from lineitem)
 select l_orderkey, l_partkey, l_suppkey,
  case k when 1 then '**'||txt||'**' when 2 then '*'||txt||'*' when 3 then '***'||txt||'***' when 4 then '~~'||txt||'~~' else txt end as md,
  case k when 0 then txt when 1 then '<strong>'||txt||'</strong>' when 2 then '<em>'||txt||'</em>'
    when 3 then '<em><strong>'||txt||'</strong></em>' when 4 then '<s>'||txt||'</s>' when 5 then '<u>'||txt||'</u>'
    when 6 then '<strong><u>'||txt||'</u></strong>' else '<em><sup>'||txt||'</sup></em>' end as html,
  k in (1,2,3,4) and l_suppkey % 2 = 0 and l_linenumber % 2 = 0 as spaced
-from (select *, l_linenumber from t join (select l_orderkey o, l_partkey p, l_suppkey s, l_linenumber from lineitem) x
-  on l_orderkey=o and l_partkey=p and l_suppkey=s)""")
+from t""")
 def inline_styles(spark, sf):
     li = table(spark, sf, "lineitem")
     k = (F.col("l_partkey") % 8).cast("int")
