@@ -25,3 +25,45 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.suffix_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
+@query
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.mixing import mix_sources, taken_words
+
+    return taken_words(mix_sources(table(spark, sf_dir, "documents")))
+
+
+ORACLE["op1_source_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS number
+  FROM sized GROUP BY source
+), dealt AS (
+  SELECT *, CAST(1 + number % 3 AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM sources
+), levels AS (
+  SELECT *, ((SELECT sum(source_size) FROM dealt) - coalesce(sum(cap) OVER before, 0))
+            / ((SELECT sum(weight) FROM dealt) - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM dealt WINDOW before AS (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, least(cap, weight * greatest((SELECT max(level) FROM levels), 0)) AS target FROM levels
+), placed AS (
+  SELECT s.*, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), 3 * t.source_size) AS take,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(0, least(size, take - begin)) + greatest(0, least(size, take - source_size - begin))
+            + greatest(0, least(size, take - 2 * source_size - begin)) AS BIGINT) AS taken
+FROM placed
+"""
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
