@@ -67,3 +67,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.toxicity import fit_toxicity, held_out, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    scored = score_toxicity(docs, fit_toxicity(docs, learned))
+    return scored.select(
+        "doc_id",
+        held_out("doc_id", 5, 0).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"),
+    )
