@@ -339,7 +339,20 @@ def _sort_shard(length: int, chunks: int):
 # --- cutting -------------------------------------------------------------------------------------------------------
 
 
-def _cutter(length: int, k: int, buckets: int, keep_text: bool):
+def _whole_characters(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> str:
+    """The text without some byte ranges, less the characters they cut in half."""
+    gone = np.zeros(len(text), bool)
+    inner = (text & 0xC0) == 0x80
+    for a, b in zip(lo.tolist(), hi.tolist()):
+        while a > 0 and inner[a]:
+            a -= 1
+        while b < len(text) and inner[b]:
+            b += 1
+        gone[a:b] = True
+    return text[~gone].tobytes().decode("utf-8", "ignore")
+
+
+def _cutter(length: int, k: int, buckets: int, keep_text: bool, carried: list[str]):
     def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
         keys = tb.doc_keys(docs.column("key"))
         buf, offsets = tb.text_bytes(docs.column("text"))
@@ -371,28 +384,32 @@ def _cutter(length: int, k: int, buckets: int, keep_text: bool):
                 gone = np.r_[False, np.cumsum(step[:-1]) > 0, False]
                 edge = np.flatnonzero(gone[1:] != gone[:-1])
                 lo, hi = edge[::2], edge[1::2]
-                text = text[~gone[1:-1]]
                 removed[r], n_spans[r] = int((hi - lo).sum()), len(lo)
-            raw = text.tobytes()
-            digest.append(hashlib.sha256(raw).hexdigest())
+                if keep_text:
+                    kept.append(_whole_characters(text, lo, hi))
+                text = text[~gone[1:-1]]
+            elif keep_text:
+                kept.append(text.tobytes().decode("utf-8", "ignore"))
+            digest.append(hashlib.sha256(text.tobytes()).hexdigest())
             if keep_text:
-                kept.append(raw)
                 begins.append(lo.tolist())
                 ends.append(hi.tolist())
         out = {"doc_id": docs.column("doc_id"), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed), "n_spans": pa.array(n_spans), "kept_sha256": pa.array(digest, pa.string())}
         if keep_text:
-            out |= {"kept": pa.array(kept, pa.binary()), "span_start": pa.array(begins, pa.list_(pa.int64())), "span_end": pa.array(ends, pa.list_(pa.int64()))}
+            out |= {"kept": pa.array(kept, pa.string()), "span_start": pa.array(begins, pa.list_(pa.int64())), "span_end": pa.array(ends, pa.list_(pa.int64()))}
+        out |= {c: docs.column(c) for c in carried}
         return pa.table(out)
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, k: int | None = None, keep_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, k: int | None = None, keep_text: bool = False, carry: list[str] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts earlier.
 
     Earlier means a smaller id, or the same id and a smaller start; strings are judged on the input and never cross
     documents. ``length`` is at least 16. Returns one row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256`` and with ``keep_text`` also ``kept`` (bytes), ``span_start`` and ``span_end`` (removed runs).
+    kept_sha256``, with ``keep_text`` also ``kept`` (the text left, less characters cut in half), ``span_start`` and
+    ``span_end`` (removed runs of bytes), and the columns of ``docs`` named in ``carry``, unchanged.
 
     Null text counts as empty; a null id sorts last. Rows that repeat an id with the same text are one document, and each
     of them is returned with its result. Other columns are ignored. An empty table gives an empty table.
@@ -400,15 +417,21 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int | None = None, kee
     if length < 16:
         raise ValueError("length must be 16 bytes or more")
     k = k or length // 2
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), doc_key(id_column).alias("key"), F.col(text_column).alias("text"))
+    carry = list(carry or [])
+    carried = [f"carried{i}" for i in range(len(carry))]
+    rows = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"), doc_key(id_column).alias("key"), F.col(text_column).alias("text"), *[docs[c].alias(x) for c, x in zip(carry, carried)]
+    )
     _, volume = text_volume(rows)
     chunks, buckets, shards = parts(volume, CHUNK_BYTES), parts(volume // 2, BUCKET_BYTES), parts(volume, SHARD_BYTES)
     sent = rows.select("key", "text").mapInArrow(_sender(length, k, buckets), "bucket int, blob binary")
     answers = written(sent.groupBy("bucket").applyInArrow(_judge_bucket(chunks), "chunk int, bucket int, blob binary"), "repeats")
     by_chunk = rows.withColumn("chunk", chunk_column(F.col("key"), chunks))
-    pieces = by_chunk.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_to_shards(length, k, buckets, shards), "shard int, blob binary")
+    pieces = by_chunk.drop(*carried).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_to_shards(length, k, buckets, shards), "shard int, blob binary")
     intervals = written(pieces.groupBy("shard").applyInArrow(_sort_shard(length, chunks), "chunk int, bucket int, blob binary"), "intervals")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
-        schema += ", kept binary, span_start array<long>, span_end array<long>"
-    return by_chunk.groupBy("chunk").cogroup(answers.unionByName(intervals).groupBy("chunk")).applyInArrow(_cutter(length, k, buckets, keep_text), schema)
+        schema += ", kept string, span_start array<long>, span_end array<long>"
+    schema += "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for c, x in zip(carry, carried))
+    cut = by_chunk.groupBy("chunk").cogroup(answers.unionByName(intervals).groupBy("chunk")).applyInArrow(_cutter(length, k, buckets, keep_text, carried), schema)
+    return cut.toDF(*cut.columns[: len(cut.columns) - len(carry)], *carry)
