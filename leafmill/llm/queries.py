@@ -90,3 +90,30 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+@query
+def op10_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.metric_join import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+ORACLE["op10_metric_range_join"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), unit AS (
+  SELECT vec_id, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS norm FROM v
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM unit a JOIN unit b ON a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM v
+  UNION
+  SELECT r.vec_id, l.y FROM reach r JOIN links l ON l.x = r.other
+)
+SELECT v.vec_id, CAST((SELECT count(*) FROM links l WHERE l.x = v.vec_id) AS BIGINT) AS n_links,
+       (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) AS component_id,
+       v.vec_id = (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) AS kept
+FROM v
+"""
