@@ -117,3 +117,10 @@ SELECT v.vec_id, CAST((SELECT count(*) FROM links l WHERE l.x = v.vec_id) AS BIG
        v.vec_id = (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) AS kept
 FROM v
 """
+
+
+@query
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.hash_search import nearest_by_codes
+
+    return nearest_by_codes(table(spark, sf_dir, "embeddings"), queries=F.col("id") % 20 == 0, k=20)
