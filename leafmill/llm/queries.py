@@ -124,3 +124,13 @@ def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.hash_search import nearest_by_codes
 
     return nearest_by_codes(table(spark, sf_dir, "embeddings"), queries=F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.language_id import learn_languages, predict_language
+    from leafmill.llm.toxicity import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn_languages(docs.select("doc_id", "text", "lang").where(~held_out("doc_id", 4, 2)))
+    return predict_language(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
