@@ -134,3 +134,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn_languages(docs.select("doc_id", "text", "lang").where(~held_out("doc_id", 4, 2)))
     return predict_language(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_quality_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.quality import fit_quality, score_quality
+    from leafmill.llm.toxicity import held_out
+
+    docs, meta = table(spark, sf_dir, "documents"), ["source", "lang"]
+    learned = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    model = fit_quality(docs.where(~held_out("doc_id", 5, 0)), learned, meta, "n_chars")
+    scored = score_quality(docs, model, meta, "n_chars")
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "text_score", "meta_score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
