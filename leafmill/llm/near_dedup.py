@@ -90,44 +90,69 @@ def consistent_samples(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray,
     """For each row and sample a number that two rows share with the probability of their weighted Jaccard similarity.
 
     For an element of weight w: r, c from Gamma(2, 1), b uniform, t = floor(ln w / r + b), y = exp(r (t - b)),
-    a = c / (y exp(r)); the sample is the element with the smallest a, with its t. Since w < y exp(r) <= w exp(r) and
-    c >= 1 - exp(-c), a bound without logarithms rules out nearly all elements; the rest is computed in full.
+    a = c / (y exp(r)); the sample is the element with the smallest a, with its t. The smallest a of a row is exponential
+    with the row's total weight W. Since c >= 1 - exp(-c) and y <= w, a is at least (1 - exp(-c)) exp(-r) / w, which
+    needs no logarithm: elements whose bound is above 4 / W are passed over, the rest is computed in full. A row whose
+    smallest a is above 4 / W after all (one in fifty) is computed without passing over any.
     """
     out = np.zeros((n, samples), np.uint64)
     if not len(row):
         return out
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     counts = np.diff(np.r_[first, len(row)])
-    inverse = (1.0 / weight).astype(np.float32)
+    group = np.repeat(np.arange(len(first), dtype=np.int32), counts)
+    limit = 4 / np.add.reduceat(weight, first)
+    log_limit = np.log(limit)
+    bar = ((limit[group] * weight) * (65536.0**4 * (1 + 1e-4))).astype(np.float32)
     log_w = np.log(weight)
-    low16, step = np.uint64(0xFFFF), np.float32(1 / 65536)
-    seq = np.arange(len(row))
-
-    def exact(i: np.ndarray, h: np.ndarray, k: int):
-        more = tb.mix(shingle[i], 4 * k + 2)
-        u = [((((h >> np.uint64(16 * j)) & low16) << np.uint64(16)) | ((more >> np.uint64(16 * j)) & low16)).astype(np.float64) for j in range(4)]
-        u = [(x + 0.5) / 2.0**32 for x in u]
+    h = np.empty(len(row), np.uint64)
+    shifted = np.empty_like(h)
+    fields = h.view(np.uint16).reshape(-1, 4)
+    c_part, r_part, f = (np.empty(len(row), np.float32) for _ in range(3))
+
+    def exact(i: np.ndarray, k: int):
+        more = tb.mix(shingle[i], 4 * k + 2).view(np.uint16).reshape(-1, 4)
+        u = [(fields[i, j].astype(np.float64) * 65536 + more[:, j] + 0.5) / 2.0**32 for j in range(4)]
         beta = (tb.mix(shingle[i], 4 * k + 3) >> np.uint64(11)).astype(np.float64) / 2.0**53
         c, r = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
         t = np.floor(log_w[i] / r + beta)
         return np.log(c) - r * (t - beta) - r, t.astype(np.int64)
 
+    def choose(i: np.ndarray, k: int):
+        ln_a, t = exact(i, k)
+        g = group[i]
+        cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        low = np.minimum.reduceat(ln_a, cut)
+        win = np.flatnonzero(ln_a == np.repeat(low, np.diff(np.r_[cut, len(g)])))
+        win = win[np.r_[True, g[win][1:] != g[win][:-1]]]
+        out[row[i[win]], k] = tb.mix(shingle[i[win]] ^ tb.mix(t[win].astype(np.uint64), 99), k)
+        return g[win], low
+
     for k in range(samples):
-        h = tb.mix(shingle, 4 * k + 1)
-        a1 = ((h & low16).astype(np.float32) + 1) * ((((h >> np.uint64(16)) & low16)).astype(np.float32) + 1)
-        a2 = ((h >> np.uint64(32)) & low16).astype(np.float32) * (h >> np.uint64(48)).astype(np.float32)
-        bound = (1 - a1 * (step * step)) * a2 * inverse * np.float32((1 - 1e-5) / 65536**2)
-        least = np.minimum.reduceat(bound, first)
-        at_least = np.flatnonzero(bound == np.repeat(least, counts))
-        ln_a, _ = exact(at_least, h[at_least], k)
-        best = np.full(len(first), np.inf)
-        np.minimum.at(best, np.searchsorted(first, at_least, "right") - 1, ln_a)
-        alive = np.flatnonzero(bound <= np.repeat(np.exp(np.minimum(best, 80)).astype(np.float32) * np.float32(1.00001), counts))
-        ln_a, t = exact(alive, h[alive], k)
-        group = np.searchsorted(first, alive, "right") - 1
-        order = np.lexsort((shingle[alive], ln_a, group))
-        win = order[np.r_[True, group[order][1:] != group[order][:-1]]]
-        out[row[first[group[win]]], k] = tb.mix(shingle[alive[win]] ^ tb.mix(t[win].astype(np.uint64), 99), k)
+        odd = np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ^ (k << 40)) & (2**64 - 1) | 1)
+        np.multiply(shingle, odd, out=h)
+        np.right_shift(h, np.uint64(31), out=shifted)
+        np.bitwise_xor(h, shifted, out=h)
+        np.multiply(h, np.uint64(0xD6E8FEB86659FD93), out=h)
+        np.right_shift(h, np.uint64(32), out=shifted)
+        np.bitwise_xor(h, shifted, out=h)
+        c_part[:] = fields[:, 0]
+        f[:] = fields[:, 1]
+        c_part += 1
+        f += 1
+        c_part *= f
+        np.subtract(np.float32(65536.0**2), c_part, out=c_part)
+        r_part[:] = fields[:, 2]
+        f[:] = fields[:, 3]
+        r_part *= f
+        c_part *= r_part
+        alive = np.flatnonzero(c_part <= bar)
+        settled = np.zeros(len(first), bool)
+        if len(alive):
+            g, low = choose(alive, k)
+            settled[g[low <= log_limit[g]]] = True
+        if not settled.all():
+            choose(np.flatnonzero(~settled[group]), k)
     return out
 
 
@@ -146,7 +171,7 @@ def _sketcher(idf, bands: int, rows: int, width: int):
             buf, offsets = tb.text_bytes(batch.column("text"))
             n = len(offsets) - 1
             keys, has = np.zeros((n, bands), np.int64), np.zeros(n, bool)
-            for lo, hi in tb.slices(offsets):
+            for lo, hi in tb.slices(offsets, 1 << 18):
                 row, shingle, mean, count = weighted_shingles(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], weights, width)
                 keys[lo:hi] = band_keys(consistent_samples(row, shingle, mean * count, hi - lo, bands * rows), bands, rows)
                 has[lo + row] = True
@@ -251,7 +276,7 @@ def _verifier(idf, width: int, threshold: float):
     return verify
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 14, rows: int = 4, bits: int = 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 12, rows: int = 4, bits: int = 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Classes of near-duplicate documents: ``doc_id, class_id, kept`` for every row.
 
     Links are pairs of texts with a weighted Jaccard similarity of ``threshold`` or more over shingles of ``width`` words (a
