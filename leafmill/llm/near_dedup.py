@@ -25,7 +25,7 @@ from leafmill.llm import textbytes as tb
 from leafmill.llm.components import components
 from leafmill.llm.tables import parts, written
 
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 1 << 20
 BLOCK_DOCS = 256
 _PART = 4096
 
