@@ -146,3 +146,10 @@ def op4_quality_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(docs.where(~held_out("doc_id", 5, 0)), learned, meta, "n_chars")
     scored = score_quality(docs, model, meta, "n_chars")
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "text_score", "meta_score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.passage_dedup import near_passages
+
+    return near_passages(table(spark, sf_dir, "documents"))
