@@ -26,11 +26,13 @@ def get_session(app: str = "leafmill", master: str | None = None, **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one only where none is named (tests)."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names; only a local master without one, as in tests, gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
 
 
