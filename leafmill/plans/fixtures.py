@@ -72,8 +72,8 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
     # parts that follow each other in an order
     "links": (
         ("numbered",),
-        """select src, dst from (select l_partkey as src, l_suppkey, lead(l_partkey) over (partition by l_orderkey order by block_idx) as dst
-             from numbered) t where dst is not null and l_suppkey % 4 = 0""",
+        """select src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by block_idx) as dst
+             from numbered) t where dst is not null""",
     ),
     "cells": (
         ("numbered",),

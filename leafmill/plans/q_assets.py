@@ -46,11 +46,11 @@ def asset_statistics(spark, sf):
 
 def markdown_docs(spark, sf):
     p = table(spark, sf, "pages")
-    return p.select(F.col("page_id").alias("doc_id"), F.expr("""'![](img/a' || page_id % 50 || '.png) text <img src="img/a' || page_id % 7 || '.png"> ![](x/none.png) end' || page_id""").alias("markdown"))
+    return p.select(F.col("page_id").alias("doc_id"), F.expr("""'![](img/a' || page_id % 50 || '.png) text <img src="img/a' || page_id % 7 || '.png"> ![](x/none.png) end' || page_id || html""").alias("markdown"))
 
 
 @query("asset_path_rewrite", """
-select page_id as doc_id, '![](out/n' || page_id % 50 || '.jpg) text <img src="out/n' || page_id % 7 || '.jpg"> ![](out/none.png) end' || page_id as markdown from pages""")
+select page_id as doc_id, '![](out/n' || page_id % 50 || '.jpg) text <img src="out/n' || page_id % 7 || '.jpg"> ![](out/none.png) end' || page_id || html as markdown from pages""")
 def asset_path_rewrite(spark, sf):
     mapping = table(spark, sf, "pages").selectExpr("'a' || page_id % 50 || '.png' as old_name", "'n' || page_id % 50 || '.jpg' as new_name").distinct()
     return A.rewrite_paths(markdown_docs(spark, sf), mapping, "out")
@@ -58,17 +58,17 @@ def asset_path_rewrite(spark, sf):
 
 @query("description_injection", """
 select page_id as doc_id, '![](img/a' || page_id % 50 || '.png)' || case when page_id % 50 % 2 = 0 then chr(10) || chr(10) || '> **图像说明**' || chr(10) || '> line ' || page_id % 50 || chr(10) || '>' || chr(10) || '> end' else '' end ||
- ' text <img src="img/a' || page_id % 7 || '.png"> ![](x/none.png) end' || page_id as markdown from pages""")
+ ' text <img src="img/a' || page_id % 7 || '.png"> ![](x/none.png) end' || page_id || html as markdown from pages""")
 def description_injection(spark, sf):
     told = table(spark, sf, "pages").selectExpr("'a' || page_id % 50 || '.png' as name", "case when page_id % 50 % 2 = 0 then ' line ' || page_id % 50 || '\n\nend' else '' end as description").distinct()
     return A.inject_descriptions(markdown_docs(spark, sf), told)
 
 
-INLINE = "select page_id, 'data:image/JPEG;base64,' || to_base64(encode(substr(url, 8))) as uri from pages"
+INLINE = "select page_id, 'data:image/JPEG;base64,' || to_base64(encode(url)) as uri from pages"
 
 
 def inline_pages(spark, sf):
-    uri = F.concat(F.lit("data:image/JPEG;base64,"), F.base64(F.encode(F.substring("url", 8, 10000), "UTF-8")))
+    uri = F.concat(F.lit("data:image/JPEG;base64,"), F.base64(F.encode("url", "UTF-8")))
     return table(spark, sf, "pages").select("page_id", F.concat(F.lit('<td><img src="'), uri, F.lit('" alt="x"></td><img src="data:bad">')).alias("markup"))
 
 
@@ -77,7 +77,7 @@ def inline_image_extraction(spark, sf):
     return A.extract_inline_images(inline_pages(spark, sf))[0]
 
 
-@query("inline_image_assets", "select distinct sha256('data:image/JPEG;base64,' || to_base64(encode(substr(url, 8)))) || '.jpg' as name, md5(substr(url, 8)) as content from pages")
+@query("inline_image_assets", "select distinct sha256('data:image/JPEG;base64,' || to_base64(encode(url))) || '.jpg' as name, md5(url) as content from pages")
 def inline_image_assets(spark, sf):
     return A.extract_inline_images(inline_pages(spark, sf))[1].select("name", F.md5("bytes").alias("content"))
 

@@ -310,8 +310,6 @@ def inline_markdown(spark, sf):
 def prepared(spark, sf):
     """Blocks through the whole structuring pipeline."""
     attached = R.with_inline(K.attach_captions(routed(spark, sf)))
-    # the oracle compares trimmed captions
-    attached = attached.withColumn("inline", F.when(F.col("type").endswith("_caption"), F.trim("inline")).otherwise(F.col("inline")))
     top = K.two_layer_blocks(attached, ["inline", "inline_spans"])
     numbered = K.section_numbers(top, 3, F.col("type") == "title")
     return numbered.withColumn("image_path", F.when(F.col("type") == "image_body", F.concat("content", F.lit(".png"))))
@@ -321,7 +319,7 @@ def prepared(spark, sf):
 T_NUMBERS = NUMBERS.replace("type in ('title','table','text') and content <> ''", "type = 'title' and content <> ''").replace("with recursive", "", 1)
 SPLIT = T_NUMBERS.rindex("select doc_id, page_idx, bi as block_idx")
 RENDER = "with recursive " + T_NUMBERS[:SPLIT].strip() + ", numbers as (" + T_NUMBERS[SPLIT:] + "), " + ATTACHED + """,
- tl as (select a.*, coalesce((select string_agg('  ' || chr(10) || trim(c.content), '' order by c.block_idx) from attached c
+ tl as (select a.*, coalesce((select string_agg('  ' || chr(10) || c.content, '' order by c.block_idx) from attached c
      where c.doc_id=a.doc_id and c.page_idx=a.page_idx and c.owner_idx=a.block_idx and c.block_idx<>a.block_idx), '') as caps,
    coalesce(n.section_number, '') as num
   from attached a left join numbers n on a.doc_id=n.doc_id and a.page_idx=n.page_idx and a.block_idx=n.block_idx
@@ -359,7 +357,7 @@ def document_markdown(spark, sf):
         when type='interline_equation' then '"text":"$$\\n' || content || '\\n$$","text_format":"latex",' else '' end) ||
   (case when type='image_body' then '"img_path":"img/' || content || '.png",' when type='chart_body' then '"img_path":"","content":"' || content || '",'
         when type='table_body' then '"table_body":"' || content || '",' else '' end) ||
-  (case when type like '%_body' then '"' || replace(type,'_body','') || '_caption":[' || coalesce((select string_agg('"' || trim(c.content) || '"', ',' order by c.block_idx) from attached c
+  (case when type like '%_body' then '"' || replace(type,'_body','') || '_caption":[' || coalesce((select string_agg('"' || c.content || '"', ',' order by c.block_idx) from attached c
      where c.doc_id=tl.doc_id and c.page_idx=tl.page_idx and c.owner_idx=tl.block_idx and c.block_idx<>tl.block_idx), '') || '],' else '' end) ||
   '"page_idx":' || page_idx || (case when anchor is not null then ',"anchor":"' || anchor || '"' else '' end) || '}' as entry from tl""", uses=("blocks",))
 def content_list_entries(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.operators import graph as G
@@ -53,12 +54,12 @@ def cache_verdicts(spark, sf):
 
 
 @query("chunk_reuse", """
-select cast(conv_id as string) as slug, turn as chunk_idx, substr(sha256(text), 1, 16) as hash, turn % 3 = 0 as reused
-from conversations qualify count(*) over (partition by conv_id, turn) = 1""")
+select cast(conv_id as string) as slug, k as chunk_idx, substr(sha256(text), 1, 16) as hash, k % 3 = 0 as reused
+from (select *, row_number() over (partition by conv_id order by turn, role, text) as k from conversations)""")
 def chunk_reuse(spark, sf):
     c = table(spark, sf, "conversations")
-    once = c.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.first("text").alias("chunk")).where("n = 1")
-    chunks = once.select(F.col("conv_id").cast("string").alias("slug"), F.col("turn").alias("chunk_idx"), "chunk")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    chunks = c.select(F.col("conv_id").cast("string").alias("slug"), place.alias("chunk_idx"), F.col("text").alias("chunk"))
     stored = chunks.where("chunk_idx % 3 < 2").select("slug", "chunk_idx", F.substring(F.sha2(F.concat("chunk", F.when(F.col("chunk_idx") % 3 == 0, "").otherwise("x")), 256), 1, 16).alias("hash"))
     return R.chunk_reuse(chunks, stored).select("slug", "chunk_idx", "hash", "reused")
 
@@ -213,7 +214,7 @@ def projected_edges(spark, sf):
 
 # link graph of the pages: the navigation targets are page names
 LINKED = """l as (select page_id, unnest(regexp_extract_all(html, '<a href="/([^"#|\\[\\]]+)">', 1)) as target from pages),
- pg as (select page_id, case when page_id % 2 = 0 then t else 'page' || page_id end as page from (select page_id, min(target) as t from l group by 1)),
+ pg as (select page_id, case when page_id % 2 = 0 and t is not null then t else 'page' || page_id end as page from (select p.page_id, min(target) as t from pages p left join l on l.page_id = p.page_id group by 1)),
  nm as (select distinct page from pg), dl as (select distinct pg.page, trim(l.target) as target from l join pg on l.page_id=pg.page_id where trim(l.target) <> '' and lower(pg.page) <> lower(trim(l.target))),
  rs as (select dl.*, k.page as resolved from dl left join (select lower(page) as lk, min(page) as page from nm group by 1) k on lower(dl.target)=lk)"""
 
@@ -222,8 +223,8 @@ def wiki_pages(spark, sf):
     p = table(spark, sf, "pages")
     found = F.regexp_extract_all("html", F.lit(r'<a href="/([^"#|\[\]]+)">'), F.lit(1))
     text = F.array_join(F.transform(found, lambda t: F.concat(F.lit("[["), t, F.lit("|x]] and [ext](https://e.org/) "))), "")
-    name = F.when(F.col("page_id") % 2 == 0, F.array_min("t")).otherwise(F.concat(F.lit("page"), F.col("page_id").cast("string")))
-    return p.withColumn("t", found).where(F.size("t") > 0).select(name.alias("page"), text.alias("text"))
+    name = F.when((F.col("page_id") % 2 == 0) & (F.size("t") > 0), F.array_min("t")).otherwise(F.concat(F.lit("page"), F.col("page_id").cast("string")))
+    return p.withColumn("t", found).select(name.alias("page"), text.alias("text"))
 
 
 def resolved(spark, sf):

@@ -41,11 +41,10 @@ def text_ligatures(spark, sf):
 
 
 @query("text_strip_control", """
-select doc_id, md5(replace(text, chr(10), '')) as clean from documents where not regexp_matches(text, '[\\x00-\\x09\\x0b-\\x1f]')""")
+select doc_id, md5(regexp_replace(text, '[\\x00-\\x1f]', '', 'g')) as clean from documents""")
 def text_strip_control(spark, sf):
     noisy = F.replace("text", F.lit("e"), F.lit("e\u0001"))
-    return (docs(spark, sf).where(~F.col("text").rlike("[\\x00-\\x09\\x0b-\\x1f]"))
-            .select("doc_id", F.md5(X.strip_control(noisy)).alias("clean")))
+    return docs(spark, sf).select("doc_id", F.md5(X.strip_control(noisy)).alias("clean"))
 
 
 @query("text_hashes", """
@@ -60,12 +59,13 @@ def text_hashes(spark, sf):
 
 
 @query("markdown_escape", r"""
-select page_id, md5(regexp_replace(html, '([*_`~$])', '\\\1', 'g')) as escaped,
+select page_id, md5(array_to_string(list_transform(regexp_extract_all(html, '(?s)\\.|.'),
+    lambda t: case when t in ('*', '_', '`', '~', '$') then '\' || t else t end), '')) as escaped,
   regexp_replace((case when page_id % 2 = 0 then '## ' else '- ' end) || url, '^([ \t]{0,3})(#{1,6}|[+-])([ \t])', '\\\2\3') as prefixed,
   '\' || repeat(case when page_id % 2 = 0 then '_' else '-' end, 3) as lone
-from pages where not contains(html, '\')""")
+from pages""")
 def markdown_escape(spark, sf):
-    p = table(spark, sf, "pages").where(~F.col("html").contains("\\"))
+    p = table(spark, sf, "pages")
     even = F.col("page_id") % 2 == 0
     return p.select(
         "page_id", F.md5(X.escape_markdown(F.col("html"))).alias("escaped"),
@@ -148,11 +148,10 @@ def embedded_html(spark, sf):
 
 
 @query("formula_and_code_cleanup", """
-select doc_id, md5(trim(text, chr(10) || ' ')) as formula, md5(trim(text, chr(10) || ' ')) as code,
-  '[' || lang || '] and [' || source || ']' as brackets from documents
-where not contains(text, chr(9)) and not contains(text, chr(13)) and not contains(text, '```')""")
+with t as (select *, trim(text, chr(9) || chr(10) || chr(13) || ' ') as inner_text from documents)
+select doc_id, md5(inner_text) as formula, md5(inner_text) as code, '[' || lang || '] and [' || source || ']' as brackets from t""")
 def formula_and_code_cleanup(spark, sf):
-    d = docs(spark, sf).where(~F.col("text").rlike("[\t\r]|```"))
+    d = docs(spark, sf)
     return d.select(
         "doc_id", F.md5(X.strip_display_math(F.concat(F.lit("\\[ "), "text", F.lit(" \\]")))).alias("formula"),
         F.md5(X.strip_code_fence(F.concat(F.lit("```py\n"), "text", F.lit("\n ```\n")))).alias("code"),
@@ -183,19 +182,18 @@ def split_text_number(spark, sf):
 
 
 @query("bucket_paths", """
-select page_id, 'b' || (page_id % 7) as bucket, substr(url, 8) as key from pages where url like 'http://%'""")
+select page_id, 'b' || (page_id % 7) as bucket, regexp_replace(url, '^[a-z]+://', '') as key from pages""")
 def bucket_paths(spark, sf):
-    p = table(spark, sf, "pages").where("url like 'http://%'")
-    s = X.bucket_and_key(F.expr("' s3://b' || (page_id % 7) || '/' || substring(url, 8)"))
+    p = table(spark, sf, "pages")
+    s = X.bucket_and_key(F.concat(F.expr("' s3://b' || (page_id % 7) || '/'"), F.regexp_replace("url", "^[a-z]+://", "")))
     return p.select("page_id", s["bucket"].alias("bucket"), s["key"].alias("key"))
 
 
 @query("block_quotes", r"""
-select doc_id, md5(regexp_replace(regexp_replace('> ' || replace(text, chr(10), chr(10) || '> '), '(^|\n)> *(\n)', '\1>\2', 'g'), '> *$', '>')) as quoted
-from documents where not regexp_matches(text, '\n *\n') and not regexp_matches(text, '(^|\n) *$')""")
+select doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: case when trim(x, ' ') = '' then '>' else '> ' || x end), chr(10))) as quoted
+from documents""")
 def block_quotes(spark, sf):
-    d = docs(spark, sf).where(~F.col("text").rlike("\n *\n") & ~F.col("text").rlike("(^|\n) *$"))
-    return d.select("doc_id", F.md5(X.block_quote(F.col("text"))).alias("quoted"))
+    return docs(spark, sf).select("doc_id", F.md5(X.block_quote(F.col("text"))).alias("quoted"))
 
 
 @query("algorithm_preformatted", """

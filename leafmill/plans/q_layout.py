@@ -143,9 +143,9 @@ def members_in_containers(spark, sf):
 
 @query("span_triage", """
 with t as (select *, median(y1-y0) over (partition by page_id) as m from tall_spans)
-select page_id, span_idx, (y1-y0) > 2.3*m and (y1-y0) > 2.3*(x1-x0) as tall, 2*(y1-y0) < 0.5*(x1-x0) as reread from t""", uses=("tall_spans",))
+select page_id, span_idx, (y1-y0) > 2.3*m and (y1-y0) > 2.3*(x1-x0) as tall, (x0 % 3)*(y1-y0) < 0.5*(x1-x0) as reread from t""", uses=("tall_spans",))
 def span_triage(spark, sf):
-    s = derived(spark, sf, "tall_spans").withColumn("content", F.lit("ab"))
+    s = derived(spark, sf, "tall_spans").withColumn("content", F.expr("repeat('a', cast(x0 % 3 as int))"))
     return L.span_triage(s).select("page_id", "span_idx", "tall", "reread")
 
 

@@ -100,7 +100,7 @@ def table_signatures(spark, sf):
 
 @query("table_alignment")
 def table_alignment(spark, sf):
-    sig = T.table_signatures(cells(spark, sf).withColumn("text", F.when(F.col("row_idx") == 0, F.substring("text", 1, 2)).otherwise("")))
+    sig = T.table_signatures(cells(spark, sf))
     listed = sig.selectExpr("cast(floor(table_id / 8) as bigint) as doc_id", "table_id % 8 as ord", "rows", "cells", "images", "text")
     return T.align_tables(listed.where("ord % 3 <> 1"), listed)
 
@@ -174,13 +174,11 @@ def table_notes_after_merge(spark, sf):
 
 
 SERIES = """with p as (select user_id as chart_id, cast(row_number() over (partition by user_id, event_type order by event_id) - 1 as bigint) as point_idx,
-    case event_type when 'click' then 0 when 'view' then 1 else 2 end as series_idx, cast(event_id % 7 as string) as value, event_id from events where event_type in ('click','view','error'))"""
+    cast(dense_rank() over (partition by user_id order by event_type) - 1 as bigint) as series_idx, cast(event_id % 7 as string) as value, event_id from events)"""
 
 
 def series(spark, sf):
-    e = derived(spark, sf, "events").where("event_type in ('click','view','error')")
-    e.createOrReplaceTempView("leafmill_events")
-    p = spark.sql(SERIES.replace("from events", "from leafmill_events") + " select * from p")
+    p = spark.sql(SERIES.replace("from events", "from {events}") + " select * from p", events=derived(spark, sf, "events"))
     y = p.selectExpr("chart_id", "cast(series_idx as bigint) as series_idx", "'y' as axis", "point_idx", "value")
     x = p.where("chart_id % 2 = 0 or series_idx = 0").selectExpr(
         "chart_id", "cast(series_idx as bigint) as series_idx", "'x' as axis", "point_idx", "cast(point_idx + case when chart_id % 4 = 0 then 0 else series_idx end as string) as value")
@@ -191,14 +189,13 @@ def series(spark, sf):
  x as (select *, case when chart_id % 2 = 0 or series_idx = 0 then cast(point_idx + case when chart_id % 4 = 0 then 0 else series_idx end as string) end as xv from p),
  n as (select chart_id, count(distinct series_idx) as n from p group by 1),
  pt as (select x.chart_id, point_idx, min(xv) = max(xv) and count(xv) = min(n.n) as ok, min(xv) as lo from x join n on x.chart_id=n.chart_id group by 1,2),
- sh as (select chart_id, coalesce(bool_and(ok), false) as shared_x from pt group by 1)
-select pt.chart_id, pt.point_idx, sh.shared_x, coalesce(case when sh.shared_x then lo end, '') as x,
-  coalesce((select value from p where p.chart_id=pt.chart_id and p.point_idx=pt.point_idx and series_idx=0), '') || '|' ||
-  coalesce((select value from p where p.chart_id=pt.chart_id and p.point_idx=pt.point_idx and series_idx=1), '') || '|' ||
-  coalesce((select value from p where p.chart_id=pt.chart_id and p.point_idx=pt.point_idx and series_idx=2), '') as ys
-from pt join sh on pt.chart_id=sh.chart_id join n on n.chart_id=pt.chart_id where n.n=3""")
+ sh as (select chart_id, coalesce(bool_and(ok), false) as shared_x from pt group by 1),
+ gr as (select pt.chart_id, pt.point_idx, pt.lo, unnest(range(n.n)) as series_idx from pt join n on n.chart_id = pt.chart_id),
+ ys as (select gr.chart_id, gr.point_idx, any_value(gr.lo) as lo, string_agg(coalesce(p.value, ''), '|' order by gr.series_idx) as ys
+   from gr left join p on p.chart_id=gr.chart_id and p.point_idx=gr.point_idx and p.series_idx=gr.series_idx group by 1, 2)
+select ys.chart_id, ys.point_idx, sh.shared_x, coalesce(case when sh.shared_x then lo end, '') as x, ys.ys from ys join sh on ys.chart_id=sh.chart_id""")
 def chart_series_to_wide(spark, sf):
-    w = T.wide_series(series(spark, sf)).where(F.size("ys") == 3)
+    w = T.wide_series(series(spark, sf))
     return w.select("chart_id", "point_idx", "shared_x", F.coalesce("x", F.lit("")).alias("x"), F.array_join("ys", "|").alias("ys"))
 
 
