@@ -312,18 +312,39 @@ def is_table_continuation(text: Column) -> Column:
 
 
 _OPENING_TAG = r"^<\w+(?:\s+[^>]*)?\s*/?>\z"
-# Fixed value: one attribute of an opening tag (quoted, bare, or without value).
-_ATTRIBUTE = r"""(\w+)\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+))|(\w+)(?=\s|>|/>)"""
+# An attribute by the grammar of HTML start tags: a name, and if there is an equals sign a quoted or an unquoted value.
+_NAME = r"[^\s\"'<>/=]+"
+_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))"""
+_ATTRIBUTE = f"({_NAME})(?:{_VALUE})?"
+
+# The named character references that are decoded in links.
+NAMED_REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def decode_references(text: Column) -> Column:
+    """Numeric and the common named character references as the characters they stand for, each once, from the left."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(&#\d{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&\w+;|[^&]+|&)"), F.lit(1))
+
+    def one(piece: Column) -> Column:
+        decimal = F.regexp_extract(piece, r"^&#(\d+);?$", 1)
+        hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+);?$", 1)
+        digits = F.when(decimal != "", F.conv(decimal, 10, 16)).otherwise(hexadecimal)
+        inside = (F.conv(digits, 16, 10).cast("long") < 0x110000) & ~F.conv(digits, 16, 10).cast("long").between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+        out = F.when((digits != "") & inside, char)
+        for name, meaning in NAMED_REFERENCES.items():
+            out = out.when(piece == f"&{name};", meaning)
+        return out.otherwise(piece)
+
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def _safe_href(url: Column) -> Column:
-    """Unescaped link when it is relative or http(s), mailto or ftp; else empty. Numeric entities are refused."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        url = F.replace(url, F.lit(entity), F.lit(char))
-    url = F.trim(url)
+    """Decoded link when it is relative or http(s), mailto or ftp; else empty."""
+    url = F.regexp_replace(F.trim(decode_references(url)), "[\\x00-\\x1f]", "")
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     allowed = (scheme == "") | scheme.isin("http", "https", "mailto", "ftp")
-    return F.when(allowed & ~url.contains("&#"), escape_html(url, quote=True)).otherwise(F.lit(""))
+    return F.when(allowed, escape_html(url, quote=True)).otherwise(F.lit(""))
 
 
 def clean_table_html(html: Column) -> Column:
@@ -335,7 +356,7 @@ def clean_table_html(html: Column) -> Column:
         value = F.concat(*[F.regexp_extract(raw, _ATTRIBUTE, i) for i in (2, 3, 4)])
         link = (tag == "a") & (name == "href")
         value = F.when(link, _safe_href(value)).otherwise(value)
-        kept = (
+        kept = raw.contains("=") & (
             name.isin("colspan", "rowspan")
             | ((tag == "img") & name.isin("src", "alt", "width", "height"))
             | (link & (value != ""))

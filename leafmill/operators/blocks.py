@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import boxes as B
 from leafmill.functions import text as X
 from leafmill.operators.ordered import Scan, islands, scan
+from leafmill.session import checkpointed
 
 PAGE = ("doc_id", "page_idx")
 VISUALS = ("table", "image", "chart")
@@ -181,7 +182,7 @@ def two_layer_blocks(attached: DataFrame, carry: Sequence[str] = ()) -> DataFram
 
 
 def section_numbers(
-    blocks: DataFrame, max_level: int = 9, is_title: Column | None = None, slice_rows: int | None = None
+    blocks: DataFrame, max_level: int | None = None, is_title: Column | None = None, slice_rows: int | None = None
 ) -> DataFrame:
     """Add ``section_number`` to titles of numbered style (all rows are titles unless ``is_title`` says).
 
@@ -192,6 +193,8 @@ def section_numbers(
     order = ["page_idx", "block_idx"]
     group = ["doc_id"]
     title = F.lit(True) if is_title is None else is_title
+    if max_level is None:
+        max_level = blocks.where(title).agg(F.max("level")).first()[0] or 1
     numbered = title & F.coalesce(F.col("numbered"), F.lit(False))
     parts = F.when(title & ~numbered, X.section_parts_at(F.col("content"), F.col("level")))
     levels = range(1, max_level + 1)
@@ -251,35 +254,60 @@ def flatten_lists(items: DataFrame) -> DataFrame:
     )
 
 
-def explode_list_tree(lists: DataFrame, depth: int = 3) -> DataFrame:
-    """Nested list JSON (``list_id``, ``tree``) to flat rows, one level per explode.
+def explode_list_tree(lists: DataFrame) -> DataFrame:
+    """Nested list JSON (``list_id``, ``tree``) to flat rows, of any depth: one level a round, until no list is open.
 
-    A node is ``{attribute, ilevel, start, content: [{type: text, content} | {type: list, …}]}``.
-    ``depth`` is the deepest nesting; item_idx is the path of positions, so it sorts in reading order.
+    A node is ``{attribute, ilevel, start, content: [{type: text, content} | {type: list, …}]}``; item_idx is the path of
+    positions, so it sorts in reading order.
     """
     path = F.array().cast("array<int>")
     level = lists.select("list_id", F.col("tree").alias("node"), path.alias("node_id"))
     out = None
-    for _ in range(depth):
+    while True:
         node = F.from_json("node", "attribute string, ilevel int, start int, content array<string>")
         opened = level.withColumn("n", node)
-        children = opened.select(
+        children = checkpointed(opened.select(
             "list_id", "node_id",
             F.coalesce("n.attribute", F.lit("unordered")).alias("attribute"),
             F.coalesce("n.ilevel", F.lit(0)).alias("ilevel"),
             F.col("n.start").alias("start"),
             F.posexplode("n.content").alias("pos", "child"),
-        ).withColumn("item_idx", F.concat("node_id", F.array("pos")))
-        kind = F.get_json_object("child", "$.type")
-        texts = children.where(kind == "text").select(
+        ).withColumn("item_idx", F.concat("node_id", F.array("pos"))).withColumn("kind", F.get_json_object("child", "$.type")))
+        texts = children.where("kind = 'text'").select(
             "list_id", "node_id", "item_idx", "attribute", "ilevel", "start",
             F.get_json_object("child", "$.content").alias("text"), F.get_json_object("child", "$.anchor").alias("anchor"),
         )
         out = texts if out is None else out.unionAll(texts)
-        level = children.where(kind.isin("list", "index")).select(
+        level = children.where("kind in ('list', 'index')").select(
             "list_id", F.col("child").alias("node"), F.col("item_idx").alias("node_id")
         )
-    return out
+        if level.isEmpty():
+            return out
+
+
+def list_tree(rows: DataFrame) -> DataFrame:
+    """The way back: (list_id, tree) from rows as ``explode_list_tree`` gives them, the deepest lists folded first.
+
+    A list stands where its node_id says among its parent's items. Lists in which no text stands anywhere are lost.
+    """
+    item = F.struct(F.col("item_idx").alias("at"), F.to_json(F.struct(F.lit("text").alias("type"), F.col("text").alias("content"), "anchor")).alias("json"))
+    heads = rows.groupBy("list_id", "node_id").agg(F.first("attribute").alias("attribute"), F.first("ilevel").alias("ilevel"), F.first("start").alias("start"))
+    # nodes without texts of their own still stand between their children and the root
+    above = heads.select("list_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("node_id")), lambda n: F.slice("node_id", F.lit(1), n))).alias("node_id")).distinct()
+    nodes = checkpointed(above.join(heads, ["list_id", "node_id"], "left").withColumn("depth", F.size("node_id")))
+    items = checkpointed(rows.select("list_id", "node_id", item.alias("i")))
+    depth = nodes.agg(F.max("depth")).first()[0] or 0
+    for d in range(depth, -1, -1):
+        folded = items.where(F.size("node_id") == d).groupBy("list_id", "node_id").agg(F.sort_array(F.collect_list("i"))["json"].alias("content"))
+        head = F.to_json(F.struct(F.lit("list").alias("type"), F.coalesce("attribute", F.lit("unordered")).alias("attribute"), F.coalesce("ilevel", F.lit(0)).alias("ilevel"), "start"))
+        open_head = F.regexp_replace(head, r"\}$", "")
+        made = nodes.where(F.col("depth") == d).join(folded, ["list_id", "node_id"]).select(
+            "list_id", "node_id", F.concat(open_head, F.lit(',"content":['), F.array_join("content", ","), F.lit("]}")).alias("json")
+        )
+        if d == 0:
+            return made.select("list_id", F.col("json").alias("tree"))
+        up = made.select("list_id", F.slice("node_id", F.lit(1), F.size("node_id") - 1).alias("node_id"), F.struct(F.col("node_id").alias("at"), "json").alias("i"))
+        items = checkpointed(items.where(F.size("node_id") < d).unionByName(up))
 
 
 def validate_anchors(entries: DataFrame, body: DataFrame) -> DataFrame:

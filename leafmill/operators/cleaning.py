@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.operators.statistics import STATISTICS, statistic
+from leafmill.operators.statistics import STATISTICS, statistics_of
 
 COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
     ">": operator.gt,
@@ -25,19 +25,6 @@ COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
 RANGES = ("between", "not_between")
 
 # The accepted date-time text formats, in the order they are tried.
-DATETIME_FORMATS = [
-    "%Y-%m-%d %H:%M:%S.%f",
-    "%Y-%m-%d %H:%M:%S",
-    "%Y-%m-%d %H:%M",
-    "%Y-%m-%d",
-    "%Y/%m/%d %H:%M:%S.%f",
-    "%Y/%m/%d %H:%M:%S",
-    "%Y/%m/%d",
-    "%Y-%m-%dT%H:%M:%S.%f",
-    "%Y-%m-%dT%H:%M:%S",
-    "%Y%m%d",
-]
-# The same formats as Spark patterns.
 SPARK_DATETIME_PATTERNS = [
     "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "yyyy-MM-dd HH:mm:ss",
@@ -52,49 +39,47 @@ SPARK_DATETIME_PATTERNS = [
 ]
 
 
-def parse_datetime(value: Any) -> dt.datetime | None:
-    """A literal as a UTC date-time: dates at midnight, numbers as epoch seconds, texts by format."""
-    if isinstance(value, dt.datetime):
-        return value
-    if isinstance(value, dt.date):
-        return dt.datetime.combine(value, dt.time())
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        try:
-            return dt.datetime.fromtimestamp(float(value), dt.timezone.utc).replace(tzinfo=None)
-        except (OSError, ValueError, OverflowError):
-            return None
-    if isinstance(value, str):
-        for fmt in DATETIME_FORMATS:
-            try:
-                return dt.datetime.strptime(value.strip(), fmt)
-            except ValueError:
-                pass
-    return None
-
-
 def parse_datetime_column(text: Column) -> Column:
-    """The same rule for a text column."""
+    """Text as a timestamp, by the first format that fits; null where none does."""
     trimmed = F.trim(text)
     return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(p)) for p in SPARK_DATETIME_PATTERNS])
 
 
 def _literal(value: Any, dtype: T.DataType) -> Any:
-    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        parsed = parse_datetime(value)
-        if parsed is not None:
-            # text + cast keeps the session time zone, whatever the driver's zone is
-            return F.lit(parsed.isoformat(sep=" ")).cast("timestamp")
+    """A configuration value to compare with a column; for dates a timestamp: text by format, numbers as epoch seconds."""
+    if not isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)) or isinstance(value, bool):
+        return value
+    if isinstance(value, str):
+        return parse_datetime_column(F.lit(value))
+    if isinstance(value, (int, float)):
+        return F.timestamp_seconds(F.lit(float(value)))
+    if isinstance(value, dt.date):
+        # text + cast keeps the session time zone, whatever the driver's zone is
+        return F.lit(value.isoformat()).cast("timestamp")
     return value
 
 
-def condition_column(df: DataFrame, condition: dict[str, Any]) -> Column:
-    """One filter condition as a Column; statistics become scalar subqueries over ``df``."""
-    name, op = condition["column"], condition["operator"]
+def _needs_statistic(condition: dict[str, Any]) -> tuple[str, str, str] | None:
     kind = condition.get("value_type", "literal")
-    source = condition.get("value_column", name)
-    for needed in (name, source):
+    if kind == "literal" or condition.get("operator") in RANGES:
+        return None
+    return condition.get("value_column", condition["column"]), kind, condition.get("outlier_method", "iqr")
+
+
+def _check_condition(df: DataFrame, condition: dict[str, Any]) -> None:
+    for needed in (condition["column"], condition.get("value_column", condition["column"])):
         if needed not in df.columns:
             raise KeyError(f"column {needed!r} not found; available: {', '.join(df.columns[:10])}")
+
+
+def condition_column(df: DataFrame, condition: dict[str, Any], known: dict[tuple[str, str, str], Any] | None = None) -> Column:
+    """One filter condition as a Column. ``known`` holds statistics of ``df``; one that is not there is computed.
+
+    A statistic of a column without any value is an error, unless the table has no row at all.
+    """
+    name, op = condition["column"], condition["operator"]
+    kind = condition.get("value_type", "literal")
+    _check_condition(df, condition)
     if op not in COMPARISONS and op not in RANGES:
         raise ValueError(f"unknown operator {op!r}; expected one of {[*COMPARISONS, *RANGES]}")
     column, dtype = F.col(name), df.schema[name].dataType
@@ -108,18 +93,28 @@ def condition_column(df: DataFrame, condition: dict[str, Any]) -> Column:
         if value is None:
             raise ValueError(f"condition on {name!r} has no value")
         return COMPARISONS[op](column, _literal(value, dtype))
-    stat = statistic(df, source, kind, condition.get("outlier_method", "iqr"))
-    return COMPARISONS[op](column, stat.scalar())
+    asked = _needs_statistic(condition)
+    value = (known if known is not None else statistics_of(df, [asked]))[asked]
+    if value is None and not df.isEmpty():
+        raise ValueError(f"column {asked[0]!r} has no values for {kind}")
+    return COMPARISONS[op](column, F.lit(value))
 
 
 def filter_rows(df: DataFrame, conditions: Sequence[dict[str, Any]], logic: str = "and") -> DataFrame:
-    """Keep rows meeting all (``and``) or any (``or``) of the conditions; no condition keeps all."""
+    """Keep rows meeting all (``and``) or any (``or``) of the conditions; no condition keeps all.
+
+    Statistics in the conditions are computed here, all of a step together.
+    """
     if logic not in ("and", "or"):
         raise ValueError(f"unknown logic {logic!r}; expected and, or")
     if not conditions:
         return df
     join = operator.and_ if logic == "and" else operator.or_
-    return df.where(reduce(join, [condition_column(df, c) for c in conditions]))
+    for c in conditions:
+        _check_condition(df, c)
+    asked = list(dict.fromkeys(x for x in map(_needs_statistic, conditions) if x))
+    known = statistics_of(df, asked) if asked else {}
+    return df.where(reduce(join, [condition_column(df, c, known) for c in conditions]))
 
 
 def drop_nulls(

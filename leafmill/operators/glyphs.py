@@ -65,12 +65,12 @@ def _is_shadow(a: B.Box, b: B.Box) -> Column:
     return rigid & reach & (overlap >= SHADOW_OVERLAP)
 
 
-def deduplicate_glyphs(glyphs: DataFrame, shadows: bool = True, max_rounds: int = 200) -> DataFrame:
+def deduplicate_glyphs(glyphs: DataFrame, shadows: bool = True) -> DataFrame:
     """Drop glyphs near-identical to an earlier kept one (same glyph, font, rotation; every box edge within 1),
     and shifted shadows of the glyph kept just before. Blanks stay.
 
     Whether a glyph is kept depends only on earlier ones, so repeating the decision for all glyphs at once
-    from any start settles on the sequential answer. The start keeps the first glyph per unit cell, so the
+    from any start settles on the sequential answer: each round settles at least one more glyph of every page. The start keeps the first glyph per unit cell, so the
     kept glyphs a cell offers are few, and glyphs meet them through the 3×3 cells around each.
     """
     signature = ["page_id", "ch", "font", "__rot"]
@@ -86,7 +86,7 @@ def deduplicate_glyphs(glyphs: DataFrame, shadows: bool = True, max_rounds: int
     edges = ["x0", "y0", "x1", "y1"]
     order = Window.partitionBy("page_id").orderBy("char_idx").rowsBetween(Window.unboundedPreceding, -1)
     around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    for _ in range(max_rounds):
+    while True:
         seen = (
             state.where("__kept and not __blank")
             .groupBy(*signature, *edges, "__cx", "__cy").agg(F.min("char_idx").alias("k_idx"))
@@ -119,7 +119,6 @@ def deduplicate_glyphs(glyphs: DataFrame, shadows: bool = True, max_rounds: int
         state = after.drop("__moved")
         if settled:
             return state.where("__kept").select(*glyphs.columns)
-    raise RuntimeError(f"glyph deduplication did not settle in {max_rounds} rounds")
 
 
 def assign_glyphs_to_spans(glyphs: DataFrame, spans: DataFrame, cell: int = 16) -> DataFrame:

@@ -215,23 +215,39 @@ def relevance(links: DataFrame, sources: DataFrame, affinity: Column, types: Dat
     return typed.select("a", "b", score.alias("relevance"))
 
 
-def label_propagation(links: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """(node, label): every node takes the most frequent label of its neighbours, the smallest on ties, for at
-    most twenty rounds. Votes are counted before they are shuffled by node, so a hub's neighbours do not meet in
-    one task."""
+def label_propagation(links: DataFrame, patience: int = 8) -> DataFrame:
+    """(node, label): every node has a label that none of its neighbours' labels outnumbers, the smallest offered on ties.
+
+    A node wants to change only if another label has strictly more votes than its own. In each round a random half of
+    those (by a hash, another one every round) change, so neighbours do not swap labels for ever. When the number that want to change
+    has not fallen for ``patience`` rounds, only nodes whose hash is the smallest among such neighbours change from then on: they
+    are no neighbours, every change adds agreeing edges, and so the rounds end in a fixpoint in any case. Votes are
+    counted before they are shuffled by node, so a hub's neighbours do not meet in one task.
+    """
     edges = checkpointed(undirected(links))
     labels = checkpointed(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    turn, fewest, stale = 0, None, 0
+    while True:
         votes = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("new"))
-        after = checkpointed(
-            labels.join(best, labels["node"] == best["a"]).select("node", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("__m"))
+        own = labels.select(F.col("node").alias("a"), F.col("label").alias("mine"))
+        best = votes.join(own, "a").groupBy("a").agg(
+            F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best"), F.coalesce(F.max(F.when(F.col("label") == F.col("mine"), F.col("n"))), F.lit(0)).alias("had")
         )
-        settled = after.where("__m").isEmpty()
-        labels = after.drop("__m")
-        if settled:
-            break
-    return labels
+        wants = checkpointed(best.where(-F.col("best.n") > F.col("had")).select("a", F.col("best.label").alias("new"), F.xxhash64(F.lit(turn), "a").alias("draw")))
+        number = wants.count()
+        if not number:
+            return labels
+        stale = stale if stale >= patience else 0 if fewest is None or number < fewest else stale + 1
+        fewest = number if fewest is None else min(fewest, number)
+        if stale < patience:
+            moves = wants.where(F.pmod("draw", F.lit(2)) == 0)
+        else:
+            rival = edges.join(wants.select("a"), "a").join(wants.select(F.col("a").alias("b"), F.struct("draw", F.col("a").alias("id")).alias("other")), "b")
+            lowest = rival.groupBy("a").agg(F.min("other").alias("other"))
+            moves = wants.join(lowest, "a", "left").where(F.col("other").isNull() | (F.struct("draw", F.col("a").alias("id")) < F.col("other")))
+        moves = moves.select(F.col("a").alias("node"), "new")
+        labels = checkpointed(labels.join(moves, "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        turn += 1
 
 
 def community_cohesion(links: DataFrame, labels: DataFrame, sparse: float = 0.15) -> DataFrame:

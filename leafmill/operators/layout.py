@@ -216,27 +216,27 @@ def span_triage(spans: DataFrame) -> DataFrame:
     )
 
 
-def compose_transforms(groups: DataFrame, shapes: DataFrame, max_depth: int = 16) -> DataFrame:
+def compose_transforms(groups: DataFrame, shapes: DataFrame) -> DataFrame:
     """Boxes of shapes in page space: the affine maps of all enclosing groups applied.
 
-    groups: page_id, group_id, parent_id, sx, sy, tx, ty. Each round doubles the resolved chain, so the rounds
-    are the logarithm of the nesting depth.
+    groups: page_id, group_id, parent_id, sx, sy, tx, ty. Each round doubles the resolved chain; they end when no
+    group has an unresolved parent, after the logarithm of the nesting depth. Parents must not form a circle.
     """
     maps = groups.select("page_id", "group_id", "parent_id", "sx", "sy", "tx", "ty")
-    reach = 1
-    while reach < max_depth:
+    while True:
         up = maps.select(
             "page_id", F.col("group_id").alias("parent_id"), F.col("parent_id").alias("__next"),
             *[F.col(c).alias(f"u_{c}") for c in ("sx", "sy", "tx", "ty")],
         )
-        maps = maps.join(up, ["page_id", "parent_id"], "left").select(
+        maps = checkpointed(maps.join(up, ["page_id", "parent_id"], "left").select(
             "page_id", "group_id", F.col("__next").alias("parent_id"),
             (F.coalesce("u_sx", F.lit(1.0)) * F.col("sx")).alias("sx"),
             (F.coalesce("u_sy", F.lit(1.0)) * F.col("sy")).alias("sy"),
             (F.coalesce("u_sx", F.lit(1.0)) * F.col("tx") + F.coalesce("u_tx", F.lit(0.0))).alias("tx"),
             (F.coalesce("u_sy", F.lit(1.0)) * F.col("ty") + F.coalesce("u_ty", F.lit(0.0))).alias("ty"),
-        )
-        reach *= 2
+        ))
+        if maps.where("parent_id is not null").isEmpty():
+            break
     return shapes.join(maps.drop("parent_id"), ["page_id", "group_id"], "left").withColumns(
         {
             "x0": F.coalesce("sx", F.lit(1.0)) * F.col("x0") + F.coalesce("tx", F.lit(0.0)),
@@ -325,7 +325,7 @@ def _widest_gap(df: DataFrame, lo: str, hi: str, out: str) -> DataFrame:
     )
 
 
-def xy_cut_order(boxes: DataFrame, beta: float = 2.0, min_gap: float = 5.0, max_rounds: int = 64) -> DataFrame:
+def xy_cut_order(boxes: DataFrame, beta: float = 2.0, min_gap: float = 5.0) -> DataFrame:
     """Recursive XY-cut reading order, one round of cuts for all pages and regions at a time.
 
     A region is split at its widest empty stretch (at least ``min_gap``; the wider direction, vertical on a
@@ -338,7 +338,7 @@ def xy_cut_order(boxes: DataFrame, beta: float = 2.0, min_gap: float = 5.0, max_
     rest = valid.join(held.select("page_id", "span_idx"), ["page_id", "span_idx"], "left_anti")
     open_ = checkpointed(rest.select("page_id", "span_idx", "x0", "y0", "x1", "y1").withColumn("path", F.lit("")))
     done = None
-    for _ in range(max_rounds):
+    while True:  # every split leaves smaller regions
         size = open_.groupBy("page_id", "path").agg(
             F.count("*").alias("n"), (F.max("x1") - F.min("x0")).alias("__w")
         )
@@ -380,8 +380,6 @@ def xy_cut_order(boxes: DataFrame, beta: float = 2.0, min_gap: float = 5.0, max_
         open_ = moved.where("__ok").drop("__ok")
         if open_.isEmpty():
             break
-    else:
-        done = done.unionAll(open_)
     w = Window.partitionBy("page_id").orderBy("path", "y0", "x0", "span_idx")
     main = done.withColumn("position", F.row_number().over(w))
     return _merge_back(main, held)

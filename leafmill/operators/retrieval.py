@@ -239,7 +239,6 @@ def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, k: int = 60) ->
 
 # Match tiers.
 BRACKETS = {"exact_name": 700, "exact_path": 650, "prefix_name": 600, "prefix_segment": 550, "in_name": 500, "in_path": 450}
-CATEGORY_CAPS = {"lexical": 100, "body": 6, "path_only": 4}
 
 
 def lexical_bracket(query: str) -> Column:
@@ -255,21 +254,23 @@ def lexical_bracket(query: str) -> Column:
     )
 
 
-def tiered_results(pages: DataFrame, query: str, gap: int = 1000) -> DataFrame:
-    """Pages (name, path, body in [0,1]) by tier × 1000 + body score; per category at most its cap (the feature
-    of the result list): lexical 100, body 6, path only 4. Hidden paths count half."""
+def tiered_results(pages: DataFrame, query: str, gap: int = 1000, caps: dict[str, int] | None = None) -> DataFrame:
+    """Pages (name, path, body in [0,1]) by tier × 1000 + body score; a category named in ``caps`` (lexical, body,
+    path_only) shows its first so many. Hidden paths count half."""
     bracket = lexical_bracket(query)
     hidden = F.col("path").rlike(r"(^|/)\.")
     scored = pages.withColumn("bracket", bracket).where((F.col("bracket") > 0) | (F.col("body") > 0))
     category = F.when(F.col("bracket") == BRACKETS["in_path"], "path_only").when(F.col("bracket") > 0, "lexical").otherwise("body")
     score = (F.greatest("bracket", F.lit(0)) * gap + F.col("body")) * F.when(hidden, 0.5).otherwise(1.0)
     told = scored.withColumns({"category": category, "score": score})
+    if not caps:
+        return told
     w = Window.partitionBy("category").orderBy(F.col("score").desc(), "path")
-    ranked = told.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max(CATEGORY_CAPS.values()))
-    cap = F.when(F.col("category") == "lexical", CATEGORY_CAPS["lexical"]).when(
-        F.col("category") == "body", CATEGORY_CAPS["body"]
-    ).otherwise(CATEGORY_CAPS["path_only"])
-    return ranked.where(F.col("__r") <= cap).drop("__r")
+    ranked = told.withColumn("__r", F.row_number().over(w))
+    shown = F.lit(True)
+    for name, cap in caps.items():
+        shown = shown & ((F.col("category") != name) | (F.col("__r") <= cap))
+    return ranked.where(shown).drop("__r")
 
 
 # Weights of matched fields and tiers.

@@ -14,8 +14,8 @@ from leafmill.functions.text import escape_html
 from leafmill.operators.ordered import Scan, scan
 from leafmill.session import checkpointed
 
-MAX_HEADER_ROWS = 5
-MAX_POINTS = 100_000
+#: Slots of a chart series that one array holds.
+STRETCH = 1 << 14
 
 
 def parse_cells(tables: DataFrame, html: str = "html") -> DataFrame:
@@ -169,9 +169,9 @@ def normalized_text(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
-def row_signatures(placed: DataFrame) -> DataFrame:
-    """Structure, normalised texts and metrics of the first rows a header can have, plus one."""
-    front = placed.where(F.col("row_idx") <= MAX_HEADER_ROWS)
+def row_signatures(placed: DataFrame, header_rows: int | None = None) -> DataFrame:
+    """Structure, normalised texts and metrics of all rows, or of the first a header can have, plus one."""
+    front = placed if header_rows is None else placed.where(F.col("row_idx") <= header_rows)
     cells = F.sort_array(F.collect_list(F.struct("cell_idx", "colspan", "rowspan", normalized_text(F.col("text")).alias("t"))))
     signature = front.groupBy("table_id", "row_idx").agg(cells.alias("c")).select(
         "table_id", "row_idx", F.col("c.colspan").alias("colspans"), F.col("c.rowspan").alias("rowspans"), F.col("c.t").alias("texts")
@@ -179,11 +179,11 @@ def row_signatures(placed: DataFrame) -> DataFrame:
     return signature.join(row_metrics(front), ["table_id", "row_idx"]).join(segment_counts(front), ["table_id", "row_idx"])
 
 
-def common_header_rows(pairs: DataFrame, placed: DataFrame) -> DataFrame:
-    """Pairs (prev_id, table_id) with ``header_rows``: leading rows (at most five) equal in structure and text,
+def common_header_rows(pairs: DataFrame, placed: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs (prev_id, table_id) with ``header_rows``: leading rows (all, or at most ``most``) equal in structure and text,
     else equal in text and shown segments; stretched over the second table's row spans."""
-    sig = row_signatures(placed)
-    mine = sig.where(F.col("row_idx") < MAX_HEADER_ROWS)
+    sig = row_signatures(placed, most)
+    mine = sig if most is None else sig.where(F.col("row_idx") < most)
     other = mine.select(F.col("table_id").alias("prev_id"), "row_idx", *[F.col(c).alias(f"p_{c}") for c in mine.columns if c not in ("table_id", "row_idx")])
     aligned = pairs.join(mine, "table_id").join(other, ["prev_id", "row_idx"])
     texts = F.col("texts") == F.col("p_texts")
@@ -261,7 +261,7 @@ def mergeable_pairs(pairs: DataFrame, placed: DataFrame, notes: DataFrame) -> Da
     )
 
 
-def merge_chains(merges: DataFrame, tables: DataFrame, max_rounds: int = 32) -> DataFrame:
+def merge_chains(merges: DataFrame, tables: DataFrame) -> DataFrame:
     """Every table with ``root_id``: the first table of its chain, and ``chain_pos``.
 
     Links point to the previous page's table. Each round follows the link of the link, so a chain of n pages
@@ -271,7 +271,7 @@ def merge_chains(merges: DataFrame, tables: DataFrame, max_rounds: int = 32) ->
         "table_id", F.coalesce("prev_id", "table_id").alias("root_id"), F.when(F.col("prev_id").isNull(), 0).otherwise(1).alias("chain_pos")
     )
     links = checkpointed(links)
-    for _ in range(max_rounds):
+    while True:
         up = links.toDF("root_id", "__next", "__n")
         after = checkpointed(
             links.join(up, "root_id").select(
@@ -282,7 +282,6 @@ def merge_chains(merges: DataFrame, tables: DataFrame, max_rounds: int = 32) ->
         links = after.drop("__moved")
         if after.where("__moved").isEmpty():
             return links
-    raise RuntimeError(f"table chains longer than 2^{max_rounds}")
 
 
 def merge_tables(cells: DataFrame, merges: DataFrame, chains: DataFrame) -> DataFrame:
@@ -468,7 +467,7 @@ def table_signatures(cells: DataFrame) -> DataFrame:
     ).select("table_id", "rows", "cells", "images", F.array_join("c.t", "").alias("text"))
 
 
-def wide_series(points: DataFrame, keys: Sequence[str] = ("chart_id",), max_series: int = 64) -> DataFrame:
+def wide_series(points: DataFrame, keys: Sequence[str] = ("chart_id",)) -> DataFrame:
     """Long chart points (chart_id, series_idx, axis, point_idx, value) as one row per point index.
 
     Charts whose series share one x vector get ``shared_x`` and one ``x`` value; ``ys`` holds every series'
@@ -499,10 +498,12 @@ def wide_series(points: DataFrame, keys: Sequence[str] = ("chart_id",), max_seri
 
 
 def densify_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sparse points (keys, point_idx, value) filled from 0 to the highest index with ""; series that would
-    span more than 100,000 points are refused (left out)."""
-    spans = points.groupBy(*keys).agg(F.max("point_idx").alias("m")).where(F.col("m") < MAX_POINTS)
-    slots = spans.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long"))).alias("point_idx"))
+    """Sparse points (keys, point_idx, value) filled from 0 to the highest index with "", whatever the span: slots are
+    made in stretches, so no array grows with a series."""
+    spans = points.groupBy(*keys).agg(F.max("point_idx").cast("long").alias("m"))
+    step = F.lit(STRETCH).cast("long")
+    stretches = spans.select(*keys, "m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / step))).alias("s"))
+    slots = stretches.select(*keys, F.explode(F.sequence(F.col("s") * step, F.least(F.col("m"), (F.col("s") + 1) * step - 1))).alias("point_idx"))
     return slots.join(points, [*keys, "point_idx"], "left").withColumn("value", F.coalesce("value", F.lit("")))
 
 

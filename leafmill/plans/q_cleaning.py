@@ -150,7 +150,7 @@ def column_statistics(spark, sf):
 select round(quantile_cont(l_extendedprice,0.25),4) as q0, round(quantile_cont(l_extendedprice,0.5),4) as q1,
        round(quantile_cont(l_extendedprice,0.99),4) as q2 from lineitem""")
 def exact_quantiles_distributed(spark, sf):
-    q = S.exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.25, 0.5, 0.99], single_task_bytes=0)
+    q = S.exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.25, 0.5, 0.99])
     return q.select(*[F.round(c, 4).alias(c) for c in q.columns])
 
 

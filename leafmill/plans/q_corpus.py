@@ -124,7 +124,7 @@ with p as (select p_partkey, lower(p_type) as name, lower(p_brand) || '/' || low
 select p_partkey, bracket, category, round(score, 3) as score from r where k <= case category when 'lexical' then 100 when 'body' then 6 else 4 end""")
 def tiered_results(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("name"), F.lower(F.concat("p_brand", F.lit("/"), "p_name", F.lit("\u0001"), F.lpad(F.col("p_partkey").cast("string"), 12, "0"))).alias("path"), (F.col("p_size") % 10 / 10).alias("body"))
-    return R.tiered_results(p, "blue").select("p_partkey", "bracket", "category", F.round("score", 3).alias("score"))
+    return R.tiered_results(p, "blue", caps={"lexical": 100, "body": 6, "path_only": 4}).select("p_partkey", "bracket", "category", F.round("score", 3).alias("score"))
 
 
 @query("field_match_scores", """

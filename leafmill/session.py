@@ -1,4 +1,4 @@
-"""Session defaults, lineage cuts and plan-size estimates."""
+"""Session defaults and lineage cuts."""
 
 from __future__ import annotations
 
@@ -42,12 +42,6 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan. File scans are exact; joins err on the large side."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on columns that are expensive to compute.
 

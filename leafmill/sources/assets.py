@@ -50,8 +50,10 @@ def reference_statistics(assets: DataFrame, descriptions: DataFrame) -> DataFram
 
 
 def natural_order(name: Column) -> list[Column]:
-    """Sort keys: leading integer (else last), then name."""
-    return [F.coalesce(F.try_to_number(F.regexp_extract(name, r"^(\d{1,18})", 1), F.lit("999999999999999999")).cast("long"), F.lit(99999)), name]
+    """Sort keys: leading integer of any length (a name without one counts as 99999), then name."""
+    digits = F.regexp_extract(name, r"^0*(\d+)", 1)
+    number = F.when(digits == "", F.lit("99999")).otherwise(digits)
+    return [F.length(number), number, name]
 
 
 def _pieces(text: Column) -> Column:

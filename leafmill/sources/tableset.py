@@ -6,15 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.cleaning import observe_operations, run_operations, validate_config
 
 TableSet = dict[str, DataFrame]
 
-MAX_PREVIEW_COLUMNS = 20
-SAMPLE_CHARS = 50
 
 
 def list_members(spark: SparkSession, path: str, fmt: str = "parquet") -> list[str]:
@@ -94,27 +92,28 @@ def clean_and_write(
     return report
 
 
-def preview(tables: TableSet, samples: int = 3, order: dict[str, str] | None = None) -> DataFrame:
-    """(table, column, dtype, rows, columns, samples): up to 20 columns and three values of each.
+def preview(tables: TableSet, samples: int = 3, order: dict[str, str] | None = None, chars: int = 50) -> DataFrame:
+    """(table, column, dtype, rows, columns, samples): every column with the values of its first rows by the order key.
 
-    One pass per table: a count, and per column the values of the first rows by the order key, kept in a
-    bounded top-k (array_agg of an already limited input).
+    One pass per table: each column's smallest non-null (key, value) pairs are kept, ``samples`` of them at most, by
+    ``min`` over what is left after the one before. Values are cut to ``chars``.
     """
     parts = []
     for name, df in tables.items():
         key = (order or {}).get(name) or df.columns[0]
-        shown = df.columns[:MAX_PREVIEW_COLUMNS]
+        cells = df.select(
+            F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(key).alias("k"), F.substring(F.col(c).cast("string"), 1, chars).alias("s")) for i, c in enumerate(df.columns)])).alias("x")
+        ).select("x.*")
+        # the window group limit keeps a column's first rows in every task before anything is shuffled
+        place = F.row_number().over(Window.partitionBy("i").orderBy("k", "s"))
+        first = cells.where("s is not null").withColumn("r", place).where(F.col("r") <= samples)
+        shown = first.groupBy("i").agg(F.array_join(F.sort_array(F.collect_list(F.struct("r", "s")))["s"], ", ").alias("samples"))
+        kinds = [(i, c, df.schema[c].dataType.simpleString()) for i, c in enumerate(df.columns)]
+        columns = df.sparkSession.createDataFrame(kinds, "i int, column string, dtype string")
         total = df.agg(F.count("*").alias("rows")).scalar()
-        for c in shown:
-            first = df.where(F.col(c).isNotNull()).orderBy(key).limit(samples).select(F.col(key).alias("k"), F.col(c).cast("string").alias("s"))
-            parts.append(
-                first.agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("v")).select(
-                    F.lit(name).alias("table"),
-                    F.lit(c).alias("column"),
-                    F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                    total.alias("rows"),
-                    F.lit(len(df.columns)).alias("columns"),
-                    F.array_join(F.transform("v", lambda x: F.substring(x["s"], 1, SAMPLE_CHARS)), ", ").alias("samples"),
-                )
+        parts.append(
+            columns.join(shown, "i", "left").select(
+                F.lit(name).alias("table"), "column", "dtype", total.alias("rows"), F.lit(len(df.columns)).alias("columns"), F.coalesce("samples", F.lit("")).alias("samples")
             )
+        )
     return reduce(DataFrame.unionAll, parts)

@@ -39,19 +39,21 @@ def test_combined_dedup(spark):
 
 @pytest.mark.parametrize("text", ["2020-12-19", "2020/12/19", "20201219"])
 def test_dates(spark, text):
-    assert C.parse_datetime(text) == dt.datetime(2020, 12, 19)
     assert value(spark, C.parse_datetime_column(F.lit(text)).cast("string")) == "2020-12-19 00:00:00"
 
 
 @pytest.mark.parametrize("text", ["2020-12-19 15:19:27.000000", "2020-12-19T15:19:27"])
 def test_datetimes(spark, text):
-    assert C.parse_datetime(text) == dt.datetime(2020, 12, 19, 15, 19, 27)
     assert value(spark, C.parse_datetime_column(F.lit(text)).cast("string")) == "2020-12-19 15:19:27"
 
 
-def test_unparsed_dates():
-    assert C.parse_datetime("soon") is None
-    assert C.parse_datetime(0) == dt.datetime(1970, 1, 1)
+def test_unparsed_dates(spark):
+    assert value(spark, C.parse_datetime_column(F.lit("soon"))) is None
+    days = spark.createDataFrame([(1, dt.date(1969, 12, 31)), (2, dt.date(1970, 1, 2))], "n int, d date")
+    for literal in (0, dt.date(1970, 1, 1), dt.datetime(1970, 1, 1), "1970-01-01"):
+        kept = C.filter_rows(days, [{"column": "d", "operator": ">", "value": literal}])
+        assert [r["n"] for r in kept.collect()] == [2]
+    assert C.filter_rows(days, [{"column": "d", "operator": ">", "value": "soon"}]).count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
@@ -59,7 +61,7 @@ def test_distributed_quantiles_match_percentile(spark, n):
     df = spark.range(n).select(((F.col("id") * 7919) % 101 + F.col("id") / 3).alias("v")).unionAll(spark.range(n).select(F.lit(5.0)))
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
     a = S.exact_quantiles(df, "v", probs).first()
-    b = S.exact_quantiles(df, "v", probs, single_task_bytes=0).first()
+    b = df.agg(*[F.percentile("v", F.lit(p)) for p in probs]).first()
     assert [round(x, 9) for x in a] == [round(x, 9) for x in b]
 
 
@@ -70,6 +72,18 @@ def test_statistics_errors_and_nulls(spark):
         S.required_statistic(df, "v", "median").collect()
     with pytest.raises(ValueError):
         S.statistic(df, "v", "variance")
+    by_median = [{"column": "v", "operator": ">=", "value_type": "median"}]
+    with pytest.raises(ValueError, match="no values"):
+        C.filter_rows(df, by_median)
+    assert C.filter_rows(df.limit(0), by_median).count() == 0
+
+
+def test_statistics_of_a_step_in_one_pass(spark):
+    df = spark.range(200).selectExpr("double(id * 7 % 101) as a", "case when id % 3 = 0 then null else double(id) end as b", "'x' || id % 4 as c")
+    wanted = [("a", "median", "iqr"), ("a", "outlier_upper", "iqr_3"), ("b", "median", "iqr"), ("b", "mean", "iqr"), ("c", "mode", "iqr")]
+    got = S.statistics_of(df, wanted)
+    for key in wanted:
+        assert got[key] == S.statistic(df, *key).first()["stat"]
 
 
 def test_mode_lowest_on_ties(spark):
@@ -227,3 +241,17 @@ def test_table_alignment(spark):
     left = spark.createDataFrame([(1, 0, 1, 1, 0, "ab"), (1, 1, 2, 2, 0, ""), (1, 2, 1, 1, 0, "zz")], sig)
     right = spark.createDataFrame([(1, 0, 9, 9, 0, "ab"), (1, 1, 1, 3, 0, "abc"), (1, 2, 2, 2, 0, ""), (1, 3, 2, 2, 0, "")], sig)
     assert rows(T.align_tables(left, right), "l_ord") == [(1, 0, 1), (1, 1, 2)]
+
+
+def test_links_with_character_references(spark):
+    from leafmill.functions import text as X
+
+    html = (
+        '<td nowrap colspan=2><a href="http&#58;//e.org/?a=1&amp;b=&#x41;">x</a><a href="&#106;avascript:x">y</a>'
+        "<a href='java&#10;script:x'>w</a><img src=a/b.png alt='q\"r' onload=\"z\"/></td>"
+    )
+    got = value(spark, X.clean_table_html(F.lit(html)))
+    assert got == (
+        '<td colspan="2"><a href="http://e.org/?a=1&amp;b=A">x</a><a>y</a><a>w</a><img src="a/b.png" alt="q"r"/></td>'
+    )
+    assert value(spark, X.decode_references(F.lit("&#x1F600; &amp;lt; &bogus; & &#0;"))) == "😀 &lt; &bogus; & \x00"

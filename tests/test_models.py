@@ -269,23 +269,21 @@ def test_heading_chunks(spark):
 def test_label_propagation(spark):
     rnd = random.Random(2)
     edges = {(min(a, b), max(a, b)) for a, b in ((rnd.randint(0, 30), rnd.randint(0, 30)) for _ in range(45)) if a != b}
+    edges |= {(100, 101)} | {(200 + i, 300 + j) for i in range(4) for j in range(4)}  # a pair and a bipartite part
     near = {}
     for a, b in edges:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
-    labels = {n: n for n in near}
-    for _ in range(20):
-        new = {}
-        for n, others in near.items():
-            counts = {}
-            for o in others:
-                counts[labels[o]] = counts.get(labels[o], 0) + 1
-            new[n] = min(counts, key=lambda k: (-counts[k], k))
-        if new == labels:
-            break
-        labels = new
     df = spark.createDataFrame(sorted(edges), "src long, dst long")
-    assert {r["node"]: r["label"] for r in N.label_propagation(df).collect()} == labels
+    labels = {r["node"]: r["label"] for r in N.label_propagation(df).collect()}
+    assert labels.keys() == near.keys()
+    for n, others in near.items():
+        votes = {}
+        for o in others:
+            votes[labels[o]] = votes.get(labels[o], 0) + 1
+        assert max(votes.values()) == votes.get(labels[n], 0)
+    assert labels[100] == labels[101]
+    assert len({labels[n] for n in near if 200 <= n < 400}) == 1
 
 
 def test_similar_names_find_all_pairs(spark):
@@ -337,3 +335,33 @@ def test_upright_rotation(spark):
     angles = {0.0: True, math.pi / 2: True, 0.3: False, math.pi: True}
     for a, want in angles.items():
         assert spark.range(1).select(G.is_upright(F.lit(a)).alias("v")).first()["v"] is want
+
+
+def test_nothing_is_cut_at_a_depth_or_length(spark):
+    import json
+
+    from leafmill.operators import tables as T
+
+    # lists nested 30 deep, and back
+    node = {"attribute": "ordered", "ilevel": 29, "start": 3, "content": [{"type": "text", "content": "t29"}]}
+    for d in range(28, -1, -1):
+        node = {"attribute": "unordered", "ilevel": d, "content": [{"type": "text", "content": f"t{d}"}, {"type": "list", **node}]}
+    rows = K.explode_list_tree(spark.createDataFrame([(1, json.dumps(node)), (2, '{"content":[]}')], "list_id int, tree string"))
+    got = rows.collect()
+    assert sorted(r["text"] for r in got) == sorted(f"t{d}" for d in range(30)) and max(len(r["item_idx"]) for r in got) == 30
+    back = K.list_tree(rows).collect()
+    again = K.explode_list_tree(spark.createDataFrame([(r["list_id"], r["tree"]) for r in back], "list_id int, tree string")).collect()
+    assert {(tuple(r["item_idx"]), r["text"], r["attribute"], r["ilevel"], r["start"]) for r in got} == {
+        (tuple(r["item_idx"]), r["text"], r["attribute"], r["ilevel"], r["start"]) for r in again
+    }
+    # groups nested 40 deep
+    groups = spark.createDataFrame([(1, i, i - 1 if i else None, 1.0, 1.0, 1.0, 2.0) for i in range(40)], "page_id int, group_id int, parent_id int, sx double, sy double, tx double, ty double")
+    shape = spark.createDataFrame([(1, 39, 0.0, 0.0, 1.0, 1.0)], "page_id int, group_id int, x0 double, y0 double, x1 double, y1 double")
+    assert L.compose_transforms(groups, shape).select("x0", "y0").first() == (40.0, 80.0)
+    # titles of 12 levels
+    titles = spark.createDataFrame([(1, 0, i, f"t{i}", i + 1, True) for i in range(12)], "doc_id int, page_idx int, block_idx int, content string, level int, numbered boolean")
+    assert max((r["section_number"] for r in K.section_numbers(titles).collect()), key=len) == ".".join(["1"] * 12)
+    # a series with a point far out
+    points = spark.createDataFrame([(1, 0, "a"), (1, 150_000, "b")], "chart_id int, point_idx long, value string")
+    dense = T.densify_points(points, ["chart_id"])
+    assert dense.count() == 150_001 and dense.where("value <> ''").count() == 2
