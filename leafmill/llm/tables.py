@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +12,12 @@ from leafmill.llm.textbytes import CHUNK_PRIME, NULL_KEY
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``, or the session's own checkpoint folder."""
+    """The folder that the cluster shares: ``spark.checkpoint.dir``. Only a local master without one, as in tests, gets its own."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and sc.master.startswith("local["):
+        folder = tempfile.mkdtemp(prefix="leafmill-")
+        sc.setCheckpointDir(folder)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder.rstrip("/")
