@@ -6,8 +6,9 @@ within r could live in: by the triangle inequality such a cell j has d(x, p_j) -
 the home is no farther than r, and d(x, p_j) <= R_j + r for the cell's radius R_j. Then every close pair meets in exactly one
 cell, the earlier of the two homes.
 
-Cells join independently; a large cell is cut into blocks and its pairs of blocks join independently, so a group that
-holds a third of all vectors is spread as well. A task counts the links of its vectors and returns a spanning forest of
+Cells join independently. The homes of a cell are cut into blocks, its copies from other cells too; blocks of homes meet
+each other and the blocks of copies, each such pair in a task of its own, so a group that holds a third of all vectors is
+spread as well. A task counts the links of its vectors and returns a spanning forest of
 them, never the pairs. Equal vectors collapse first onto one weighted vector.
 """
 
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.components import components
 from leafmill.llm.near_dedup import _forest
-from leafmill.llm.tables import written
+from leafmill.llm.tables import parts, written
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
+#: Rows for each pivot, and the most pivots (they are sent to every task).
+PIVOT_ROWS, MOST_PIVOTS = 4096, 1024
 
 
 def clean_vectors(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -80,42 +83,81 @@ def _homes(pivots, radii, reach: float):
     return place
 
 
+class _Union:
+    """Components of local numbers, fed with many links at a time; keeps a spanning forest."""
+
+    def __init__(self, n: int):
+        self.root, self.edges = np.arange(n), []
+
+    def labels(self) -> np.ndarray:
+        while True:
+            up = self.root[self.root]
+            if (up == self.root).all():
+                return up
+            self.root = up
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        # one link of every node first: in a dense group that joins nearly all, and the many other links fall away
+        for node in (i, j):
+            first = np.unique(node, return_index=True)[1]
+            self._join(i[first], j[first])
+        label = self.labels()
+        apart = np.flatnonzero(label[i] != label[j])
+        if len(apart):
+            pair = np.unique(label[i[apart]] * len(label) + label[j[apart]], return_index=True)[1]
+            self._join(i[apart][pair], j[apart][pair])
+
+    def _join(self, i: np.ndarray, j: np.ndarray) -> None:
+        new = _forest_over(self.labels(), i, j)
+        self.edges += new
+        for p, q in new:
+            p, q = self._find(p), self._find(q)
+            self.root[max(p, q)] = min(p, q)
+
+    def _find(self, x: int) -> int:
+        while self.root[x] != x:
+            x = int(self.root[x])
+        return x
+
+
+def _forest_over(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    tree = _forest(len(label), label[i], label[j])
+    where = {}
+    for x, y, p, q in zip(label[i].tolist(), label[j].tolist(), i.tolist(), j.tolist()):
+        where.setdefault((x, y), (p, q))
+    return [where[x, y] for x, y in tree]
+
+
 def _join_cell(cosine: float):
     def join(table: pa.Table) -> pa.Table:
-        ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-        guest, block = table.column("guest").to_numpy(), table.column("block").to_numpy()
-        order = np.lexsort((ids, block, guest))
-        ids, n, guest, block = ids[order], n[order], guest[order], block[order]
-        u = units(matrix(table.column("v")))[order]
-        one_block = table.column("low")[0].as_py() == table.column("high")[0].as_py() if len(table) else True
-        links, a_out, b_out = np.zeros(len(ids), np.int64), [], []
-        for lo in range(0, int((~guest).sum()), 512):
-            hi = min(lo + 512, int((~guest).sum()))
-            close = u[lo:hi] @ u[lo:].T >= cosine - 1e-9
-            i, j = np.nonzero(close)
-            i, j = i + lo, j + lo
-            keep = (i < j) if one_block else ((i < j) & (block[i] != block[j]))
-            i, j = i[keep], j[keep]
+        ids, n, right = table.column("id").to_numpy(), table.column("n").to_numpy(), table.column("right").to_numpy()
+        order = np.lexsort((ids, right))
+        ids, n, u = ids[order], n[order], units(matrix(table.column("v")))[order]
+        lefts = int((~right).sum())
+        own = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        links, union = np.zeros(len(ids), np.int64), _Union(len(ids))
+        for lo in range(0, lefts, 512):
+            hi = min(lo + 512, lefts)
+            base = lo if own else lefts
+            i, j = np.nonzero(u[lo:hi] @ u[base:].T >= cosine - 1e-9)
+            i, j = i + lo, j + base
+            i, j = (i[i < j], j[i < j]) if own else (i, j)
             exact = np.zeros(len(i), bool)
             for k in range(0, len(i), 65536):
-                p, q = u[i[k : k + 65536]], u[j[k : k + 65536]]
-                exact[k : k + 65536] = (p * q).sum(1) >= cosine
+                exact[k : k + 65536] = (u[i[k : k + 65536]] * u[j[k : k + 65536]]).sum(1) >= cosine
             i, j = i[exact], j[exact]
             links += np.bincount(i, n[j], minlength=len(ids)).astype(np.int64) + np.bincount(j, n[i], minlength=len(ids)).astype(np.int64)
-            tree = _forest(len(ids), i, j)
-            a_out += [x for x, _ in tree]
-            b_out += [y for _, y in tree]
-        final = _forest(len(ids), np.array(a_out, np.int64), np.array(b_out, np.int64))
+            if len(i):
+                union.add(i, j)
         hit = np.flatnonzero(links)
-        a = np.r_[ids[hit], ids[[x for x, _ in final]] if final else np.zeros(0, np.int64)]
-        b = np.r_[np.full(len(hit), -1), ids[[y for _, y in final]] if final else np.zeros(0, np.int64)]
-        counted = np.r_[links[hit], np.full(len(final), -1)]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(counted, pa.int64())})
+        p, q = (np.array([e[k] for e in union.edges], np.int64) for k in (0, 1))
+        a, b = np.r_[ids[hit], ids[p]], np.r_[np.full(len(hit), -1), ids[q]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(np.r_[links[hit], np.full(len(p), -1)], pa.int64())})
 
     return join
 
 
-def near_vectors(table: DataFrame, cosine: float = 0.9, pivots: int = 64, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def near_vectors(table: DataFrame, cosine: float = 0.9, pivots: int | None = None, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row.
 
     A link is a pair of different rows with a cosine of ``cosine`` (above 0) or more in double precision. ``n_links`` counts the links of a row,
@@ -129,6 +171,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, pivots: int = 64, id_col
     # equal vectors: one of them stands for all, with their number
     groups = keyed.groupBy("h", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     stand = written(groups.select("id", "n", "v"), "stand")
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, parts(stand.count(), PIVOT_ROWS))
     sample = stand.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
     result = table.select(F.col(id_column).cast("long").alias("vec_id"))
     if not sample:
@@ -141,11 +185,18 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, pivots: int = 64, id_col
     for r in cells:
         radii[r["cell"]] = r["r"]
     placed = written(stand.mapInArrow(_homes(shared, sc.broadcast(radii), reach), "cell int, id long, guest boolean, n long, v array<double>"), "cells")
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))  # a row for each pivot
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with")).drop("rows", "blocks", "with")
-    met = written(dealt.groupBy("cell", "low", "high").applyInArrow(_join_cell(cosine), "a long, b long, links long"), "links")
+    sizes = placed.groupBy("cell").agg(*[F.ceil(F.count_if(F.col("guest") == g) / BLOCK_ROWS).cast("int").alias(c) for g, c in ((False, "hb"), (True, "gb"))])
+    dealt = placed.join(F.broadcast(sizes), "cell")  # a row for each pivot
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("guest"), F.col("gb")).otherwise(F.col("hb"))).cast("int")
+    # blocks of homes meet themselves, each other, and all blocks of guests; guests do not meet guests
+    dealt = dealt.withColumn("block", block)
+    task = lambda x, y, right: F.struct(x.alias("x"), y.alias("y"), F.lit(right).alias("right"))
+    here, hb, gb = F.col("block"), F.col("hb"), F.col("gb")
+    numbers = lambda lo, hi: F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
+    of_home = F.concat(F.transform(numbers(here, hb + gb), lambda y: task(here, y, False)), F.transform(numbers(F.lit(0), here), lambda x: task(x, here, True)))
+    of_guest = F.transform(numbers(F.lit(0), hb), lambda x: task(x, hb + here, True))
+    dealt = dealt.withColumn("task", F.explode(F.when(F.col("guest"), of_guest).otherwise(of_home))).select("cell", "task.*", "id", "n", "v")
+    met = written(dealt.groupBy("cell", "x", "y").applyInArrow(_join_cell(cosine), "a long, b long, links long"), "links")
     counts = met.where("links >= 0").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     tree = components(met.where("links < 0").select("a", "b"))
     of_stand = stand.select("id", "n").join(counts, "id", "left").join(tree, "id", "left").select(F.col("id").alias("stand"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
