@@ -14,18 +14,58 @@ def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-@query("paragraph_chunks")
+# the folds of the chunkers, one recursion step for each piece of a document
+PIECES = r"""paras as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as ps from documents),
+ p as (select doc_id, flatten(list_transform(ps, lambda x: case when length(x) <= 1400 then [x] else
+    flatten(list_transform(string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+      lambda y: list_transform(range(1, greatest(length(y), 1) + 1, 1400), lambda i: substr(y, cast(i as int), 1400)))) end)) as pieces from paras)"""
+
+
+@query("paragraph_chunks", f"""with recursive {PIECES},
+ r as (select doc_id, 0 as i, '' as buf, cast([] as varchar[]) as done from p
+  union all
+  select doc_id, i + 1, case when length(b) >= 800 then '' else b end, case when length(b) >= 800 then list_append(o, b) else o end from (
+    select r.doc_id, i, case when buf = '' or length(buf) + 2 + length(pieces[i + 1]) > 1400 then pieces[i + 1] else buf || chr(10) || chr(10) || pieces[i + 1] end as b,
+      case when buf <> '' and length(buf) + 2 + length(pieces[i + 1]) > 1400 then list_append(done, buf) else done end as o
+    from r join p on r.doc_id = p.doc_id where i < len(pieces)) t),
+ f as (select r.doc_id, buf, done from r join p on r.doc_id = p.doc_id where i = len(pieces)),
+ c as (select doc_id, case when buf = '' then done
+    when len(done) > 0 and length(buf) < 200 and length(done[-1]) + 2 + length(buf) <= 1400 then list_append(done[:len(done) - 1], done[-1] || chr(10) || chr(10) || buf)
+    else list_append(done, buf) end as chunks from f)
+select doc_id, cast(k as int) as chunk_idx, md5(chunks[k + 1]) as h, length(chunks[k + 1]) as n from (select *, unnest(range(len(chunks))) as k from c) u""")
 def paragraph_chunks(spark, sf):
     return R.paragraph_chunks(docs(spark, sf), separator="\n+").select("doc_id", "chunk_idx", F.md5("chunk").alias("h"), F.length("chunk").alias("n"))
 
 
-@query("heading_chunks")
+@query("heading_chunks", r"""with recursive p as (
+  select doc_id, list_filter(regexp_split_to_array('# Doc ' || doc_id || chr(10) || text, '\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') as ps from documents),
+ r as (select doc_id, 0 as i, '' as buf, '' as crumb, cast([] as struct(lv int, title varchar)[]) as heads, cast([] as struct(chunk varchar, crumb varchar)[]) as done from p
+  union all
+  select doc_id, i + 1, case when buf = '' then x when is_full then right(buf, 512) || chr(10) || chr(10) || x else buf || chr(10) || chr(10) || x end,
+    case when buf = '' or is_full then array_to_string(list_transform(hs, lambda h: h.title), ' > ') else crumb end, hs,
+    case when is_full then list_append(done, {'chunk': buf, 'crumb': crumb}) else done end
+  from (select *, buf <> '' and (length(buf) + 2 + length(x)) // 4 > 512 as is_full,
+      case when marks <> '' then list_append(list_filter(heads, lambda h: h.lv < length(marks)), {'lv': length(marks), 'title': trim(regexp_extract(x, '^#{1,6}\s+([^\n]*)', 1), ' ')}) else heads end as hs
+    from (select r.*, ps[i + 1] as x, regexp_extract(ps[i + 1], '^(#{1,6})\s', 1) as marks from r join p on r.doc_id = p.doc_id where i < len(ps)) a) b),
+ f as (select r.doc_id, case when buf = '' then done else list_append(done, {'chunk': buf, 'crumb': crumb}) end as chunks from r join p on r.doc_id = p.doc_id where i = len(ps)),
+ e as (select doc_id, k, chunks[k + 1].chunk as chunk, chunks[k + 1].crumb as crumb from (select *, unnest(range(len(chunks))) as k from f) u),
+ s as (select doc_id, k, crumb, case when length(chunk) <= 10000 then [chunk] else
+    flatten(list_transform(string_split(regexp_replace(chunk, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+      lambda y: list_transform(range(1, greatest(length(y), 1) + 1, 10000), lambda i: substr(y, cast(i as int), 10000)))) end as cut from e),
+ t as (select doc_id, k, crumb, unnest(cut) as chunk, unnest(range(len(cut))) as j from s)
+select doc_id, cast(row_number() over (partition by doc_id order by k, j) - 1 as int) as chunk_idx, crumb as breadcrumb, length(chunk) // 4 as token_count, md5(chunk) as h from t""")
 def heading_chunks(spark, sf):
     d = docs(spark, sf).withColumn("text", F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), "text"))
     return R.heading_chunks(d, separator="\n+").select("doc_id", "chunk_idx", "breadcrumb", "token_count", F.md5("chunk").alias("h"))
 
 
-@query("window_chunks")
+@query("window_chunks", r"""with recursive d as (select doc_id, text, length(text) as n from documents),
+ w as (select doc_id, text, n, 0 as i, 0 as pos from d where n > 0
+  union all
+  select doc_id, text, n, i + 1, pos + wide - 400 from (select *, case when blank > 4000 then blank else 8000 end as wide
+    from (select *, length(regexp_extract(substr(text, pos + 1, 8000), '(?s)^(.*)\s', 1)) as blank from w where pos + 8000 < n) a) b)
+select doc_id, i as chunk_idx, pos as start, md5(substr(text, pos + 1, case when pos + 8000 >= n then n - pos
+  when length(regexp_extract(substr(text, pos + 1, 8000), '(?s)^(.*)\s', 1)) > 4000 then length(regexp_extract(substr(text, pos + 1, 8000), '(?s)^(.*)\s', 1)) else 8000 end)) as h from w""")
 def window_chunks(spark, sf):
     return R.window_chunks(docs(spark, sf)).select("doc_id", "chunk_idx", "start", F.md5("chunk").alias("h"))
 
