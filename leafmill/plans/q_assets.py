@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.operators import annotations as N
-from leafmill.plans.registry import derived, query, table
+from leafmill.plans.registry import derived, query, scratch, table
 from leafmill.sources import assets as A
 from leafmill.sources import documents as D
 
@@ -31,6 +31,20 @@ def asset_content_addressing(spark, sf):
     return A.unique_assets(assets(spark, sf), ["doc_id"]).select("doc_id", "name")
 
 
+@query("asset_sink", "select distinct sha256(text) || '.png' as name, md5(text) as content from documents")
+def asset_sink(spark, sf):
+    path = scratch(spark)
+    A.write_assets(assets(spark, sf), path, ["doc_id"])
+    return spark.read.parquet(path).select("name", F.md5("bytes").alias("content"))
+
+
+@query("document_sink", "select doc_id, md5('# ' || text) as content from documents")
+def document_sink(spark, sf):
+    path = scratch(spark)
+    D.write_documents(table(spark, sf, "documents").withColumn("md", F.concat(F.lit("# "), "text")), path, "md")
+    return spark.read.parquet(path).select("doc_id", F.md5("value").alias("content"))
+
+
 @query("asset_sequential_names", f"with {HASHED} select a.doc_id, a.hash || '.png' as name, k || '.png' as new_name from a join s on a.hash=s.hash")
 def asset_sequential_names(spark, sf):
     return A.sequential_names(assets(spark, sf), ["doc_id"], F.lit(".PNG")).select("doc_id", "name", "new_name")

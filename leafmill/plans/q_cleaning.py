@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import cleaning as C
 from leafmill.operators import statistics as S
-from leafmill.plans.registry import query, table
+from leafmill.plans.registry import query, scratch, table
 from leafmill.sources import tableset as TS
 
 PIPELINE = [
@@ -252,3 +252,12 @@ def named_operation_registry(spark, sf):
     steps = [{"type": "filter", "conditions": [{"column": "o_orderstatus", "operator": "==", "value": "F"}]},
              {"type": "keep_even", "column": "o_orderkey"}]
     return C.run_operations(orders(spark, sf), steps, ORDER).select("o_orderkey", "o_totalprice")
+
+
+@query("table_set_sink", "select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F' union all select c_custkey, c_nationkey, c_acctbal from customer")
+def table_set_sink(spark, sf):
+    path = scratch(spark)
+    TS.write_tables({"orders": table(spark, sf, "orders").where("o_orderstatus = 'F'"), "customer": table(spark, sf, "customer")}, path)
+    back = TS.scan_tables(spark, path)
+    orders = back["orders"].select("o_orderkey", "o_custkey", "o_totalprice")
+    return orders.unionAll(back["customer"].selectExpr("c_custkey", "cast(c_nationkey as bigint)", "c_acctbal"))

@@ -98,7 +98,20 @@ def table_signatures(spark, sf):
     return T.table_signatures(c)
 
 
-@query("table_alignment")
+@query("table_alignment", """with recursive sg as (
+  select table_id // 8 as doc_id, table_id % 8 as ord, count(distinct row_idx) as n_rows, count(*) as n_cells,
+    string_agg(regexp_replace(text, '\\s+', '', 'g'), '' order by row_idx, cell_idx) as body from cells group by table_id),
+ lt as (select *, row_number() over (partition by doc_id order by ord) as k from sg where ord % 3 <> 1),
+ mt as (select lt.doc_id, lt.k, lt.ord as l_ord, r.ord as r_ord from lt join sg r on r.doc_id = lt.doc_id where
+   (lt.body <> '' and r.body <> '' and (starts_with(lt.body, r.body) or starts_with(r.body, lt.body)) and (lt.n_rows = r.n_rows or lt.n_cells = r.n_cells))
+   or (lt.body = '' and r.body = '' and lt.n_rows = r.n_rows and lt.n_cells = r.n_cells)),
+ sz as (select doc_id, max(k) as m from lt group by 1),
+ wk as (select doc_id, cast(0 as bigint) as k, cast(-1 as bigint) as last_r, cast(null as bigint) as l_ord, cast(null as bigint) as r_ord from sz
+  union all
+  select doc_id, k + 1, coalesce(nxt, last_r), l, nxt from (
+    select wk.doc_id, wk.k, wk.last_r, (select min(mt.r_ord) from mt where mt.doc_id = wk.doc_id and mt.k = wk.k + 1 and mt.r_ord > wk.last_r) as nxt, lt.ord as l
+    from wk join sz on sz.doc_id = wk.doc_id and wk.k < sz.m join lt on lt.doc_id = wk.doc_id and lt.k = wk.k + 1) t)
+select doc_id, l_ord, r_ord from wk where r_ord is not null""", uses=("cells",))
 def table_alignment(spark, sf):
     sig = T.table_signatures(cells(spark, sf))
     listed = sig.selectExpr("cast(floor(table_id / 8) as bigint) as doc_id", "table_id % 8 as ord", "rows", "cells", "images", "text")

@@ -20,10 +20,10 @@ def content_names(assets: DataFrame, extension: Column) -> DataFrame:
 
 
 def unique_assets(assets: DataFrame, order: list[str]) -> DataFrame:
-    """The first reference of every content: the smallest order key per hash, found by a map-side minimum, so
-    bytes of repeats are not shuffled."""
-    first = assets.groupBy("hash").agg(F.min(F.struct(*order)).alias("__o")).select("__o")
-    return assets.withColumn("__o", F.struct(*order)).join(first, "__o", "left_semi").drop("__o")
+    """The first reference of every content: the row with the smallest order key per hash. Every task keeps one row of a
+    content before anything is shuffled, so the bytes of its repeats do not travel."""
+    first = F.min_by(F.struct(*assets.columns), F.struct(*order))
+    return assets.groupBy("hash").agg(first.alias("__a")).select("__a.*")
 
 
 def write_assets(assets: DataFrame, path: str, order: list[str]) -> None:

@@ -40,6 +40,7 @@ def parse_annotations(text: Column) -> Column:
 
 
 def write_documents(documents: DataFrame, path: str, column: str, by: str = "doc_id") -> None:
-    """One folder per document under ``path`` holding its text. Texts are single rows, so the rows are spread
-    by document and never collected."""
-    documents.select(by, F.col(column).alias("value")).repartition(by).write.mode("overwrite").partitionBy(by).text(path)
+    """The texts of documents as (``by``, ``value``) rows in Parquet files, dealt and sorted by document: as many files as
+    shuffle partitions, whatever the number of documents. Texts are single rows and never collected."""
+    keyed = documents.select(by, F.col(column).alias("value"))
+    keyed.repartition(by).sortWithinPartitions(by).write.mode("overwrite").parquet(path)

@@ -188,7 +188,7 @@ def test_annotation_replies(spark):
 
 def test_document_sink(spark, tmp_path):
     D.write_documents(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, md string"), str(tmp_path / "o"), "md")
-    assert rows(spark.read.text(str(tmp_path / "o")), "doc_id") == [("a", 1), ("b", 2)]
+    assert rows(spark.read.parquet(str(tmp_path / "o")), "doc_id") == [(1, "a"), (2, "b")]
 
 
 def test_asset_sink(spark, tmp_path):
