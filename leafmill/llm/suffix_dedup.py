@@ -8,8 +8,10 @@ How the work is dealt out
    packed in one blob for each bucket of fingerprints.
 2. *Candidates.* A bucket answers with the stretches that can hold a repeated string: those whose fingerprint occurs more
    than once. A stretch whose whole content has occurred earlier is a copy (all its strings start earlier too): it is
-   collapsed onto its first occurrence, so hot passages are pre-aggregated instead of sorted. A fingerprint that occurs
-   once cannot repeat and is left out.
+   collapsed onto its first occurrence, so hot passages are pre-aggregated instead of sorted; a task that meets a content
+   often sends its first occurrence only. A fingerprint that occurs once cannot repeat and is left out. A fingerprint
+   with very many contents, as at the edges of a passage that a third of all documents share, is split: its strings go
+   by themselves, by their hash, after each chunk has kept the first of each.
 3. *Suffix arrays.* The remaining stretches, as bytes, go to shards of fingerprints. Each shard builds the suffix array of
    its stretches: triples at the positions of the difference cover {1, 2} mod 3 are sorted and named, the names are
    sorted by recursion until they cover ``length`` bytes, the suffixes at 0 mod 3 are merged in, and neighbours in the
@@ -35,7 +37,10 @@ from leafmill.llm.tables import chunk_column, doc_key, parts, text_volume, writt
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 SHARD_BYTES = 4 << 20
-_NONE, _COPY, _SORT = 0, 1, 2
+#: A content that a task has seen so often is sent once; a fingerprint with more contents, in a task or in all, is split.
+OFTEN, SPLIT_TASK, SPLIT_ALL = 64, 1000, 50_000
+_NONE, _COPY, _SORT, _SPLIT = 0, 1, 2, 3
+_ANSWER = "chunk int, bucket int, blob binary"
 
 
 # --- stretches of a document -------------------------------------------------------------------------------------
@@ -77,22 +82,62 @@ def _rank_in(rows: np.ndarray, buckets: np.ndarray, n: int) -> np.ndarray:
     return rank
 
 
-def _sender(length: int, k: int, buckets: int):
+def _answers(bucket: int, chunks: int, key: np.ndarray, nth: np.ndarray, state: np.ndarray) -> list[tuple[int, int, bytes]]:
+    return [(c, bucket, tb.pack(k, n.astype(np.int32), x.astype(np.int8))) for c, k, n, x in tb.by_group(tb.chunk_of(key, chunks), key, nth, state)]
+
+
+def _new_runs(*columns: np.ndarray) -> np.ndarray:
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def _settle_here(bucket: int, chunks: int, often_from: int, split_from: int, key, nth, fp, content):
+    """What a task can settle of a bucket: entries to send (first those of hot fingerprints, as marks), and answers."""
+    order = np.lexsort((nth, key, content, fp))
+    f, c = fp[order], content[order]
+    new = _new_runs(f, c)
+    run = np.cumsum(new) - 1
+    often = np.bincount(run)[run] >= often_from
+    kinds = np.bincount((np.cumsum(_new_runs(f)) - 1)[new])
+    split = (kinds > split_from)[np.cumsum(_new_runs(f)) - 1]
+    first = np.flatnonzero(new)[run]
+    same = (key[order] == key[order][first]) & (nth[order] == nth[order][first])
+    state = np.where(split, _SPLIT, np.where(often & ~same, _COPY, _NONE))
+    told = state != _NONE
+    answers = _answers(bucket, chunks, key[order][told], nth[order][told], state[told])
+    marks = order[split & _new_runs(f)]
+    stay = np.ones(len(order), bool)
+    stay[order[told | (often & ~new)]] = False
+    k, n = key[stay], nth[stay]
+    begins = np.flatnonzero(_new_runs(k))
+    counts = np.diff(np.r_[begins, len(k)]).astype(np.int32)
+    if len(k) or len(marks):
+        sent = tb.pack(
+            np.r_[key[marks], k[begins]], np.r_[np.ones(len(marks), np.int32), counts].astype(np.int32),
+            np.r_[np.full(len(marks), -1, np.int32), n].astype(np.int32), np.r_[fp[marks], fp[stay]], np.r_[np.zeros(len(marks), np.uint64), content[stay]],
+        )
+        return sent, answers
+    return None, answers
+
+
+def _sender(length: int, k: int, buckets: int, chunks: int, often_from: int, split_from: int):
+    """Rows ``chunk, bucket, blob``: entries for the bucket (chunk -1), or answers that a task can give by itself."""
+
     def send(batches):
         held: dict[int, list] = {}
         size = 0
 
         def flush():
             nonlocal size
-            out = pa.record_batch(
-                {
-                    "bucket": pa.array(list(held), pa.int32()),
-                    "blob": pa.array([tb.pack(*[np.concatenate(c) for c in zip(*held[b])]) for b in held], pa.binary()),
-                }
-            )
+            out = []
+            for b, parts_ in held.items():
+                blob, told = _settle_here(b, chunks, often_from, split_from, *[np.concatenate(c) for c in zip(*parts_)])
+                out += ([(-1, b, blob)] if blob is not None else []) + told
             held.clear()
             size = 0
-            return out
+            return _rows(out)
 
         for batch in batches:
             keys = tb.doc_keys(batch.column("key"))
@@ -100,9 +145,10 @@ def _sender(length: int, k: int, buckets: int):
             for lo, hi in tb.slices(offsets):
                 part = buf[offsets[lo] : offsets[hi]]
                 row, _, _, fp, content = stretches(part, offsets[lo : hi + 1] - offsets[lo], length, k)
-                for b, r, f, c in tb.by_group(_bucket(fp, buckets), row, fp, content):
-                    r0, counts = np.unique(r, return_counts=True)
-                    held.setdefault(b, []).append((keys[lo:hi][r0], counts.astype(np.int32), (f & np.uint64(0xFFFFFFFF)).astype(np.uint32), c))
+                bucket = _bucket(fp, buckets)
+                nth = _rank_in(row, bucket, buckets)
+                for b, r, n, f, c in tb.by_group(bucket, row, nth, fp, content):
+                    held.setdefault(b, []).append((keys[lo:hi][r], n, (f & np.uint64(0xFFFFFFFF)).astype(np.uint32), c))
                 size += 12 * len(fp)
                 if size > 16 << 20:
                     yield flush()
@@ -112,38 +158,37 @@ def _sender(length: int, k: int, buckets: int):
     return send
 
 
-def _judge_bucket(chunks: int):
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    c, b, x = zip(*rows) if rows else ((), (), ())
+    return pa.record_batch({"chunk": pa.array(c, pa.int32()), "bucket": pa.array(b, pa.int32()), "blob": pa.array(x, pa.binary())})
+
+
+def _judge_bucket(chunks: int, split_from: int):
     """Which stretches of a bucket are copies, and which have to be sorted."""
 
     def judge(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py() if len(table) else 0
-        got = [tb.unpack(blob.as_buffer(), np.int64, np.int32, np.uint32, np.uint64) for blob in table.column("blob").combine_chunks()]
-        keys, counts, fp, content = (np.concatenate(x) for x in zip(*got))
+        got = [tb.unpack(blob.as_buffer(), np.int64, np.int32, np.int32, np.uint32, np.uint64) for blob in table.column("blob").combine_chunks()]
+        keys, counts, nth, fp, content = (np.concatenate(x) for x in zip(*got))
         del got
         ordered = np.sort(fp)
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        hot = np.unique(fp[nth < 0])
+        again = np.union1d(again, hot)
         at = np.flatnonzero(again[np.minimum(np.searchsorted(again, fp), max(len(again) - 1, 0))] == fp) if len(again) else np.zeros(0, int)
+        at = at[nth[at] >= 0]
         entry = np.searchsorted(np.cumsum(counts), at, "right")
-        nth = at - (np.cumsum(counts) - counts)[entry]
-        key, f, c = keys[entry], fp[at], content[at]
+        key, nth, f, c = keys[entry], nth[at], fp[at], content[at]
         order = np.lexsort((nth, key, c, f))
         key, f, c, nth = key[order], f[order], c[order], nth[order]
-        new_f = np.r_[True, f[1:] != f[:-1]] if len(f) else np.zeros(0, bool)
-        new_c = new_f.copy()
-        new_c[1:] |= c[1:] != c[:-1]
-        group = np.cumsum(new_c) - 1
-        first = np.flatnonzero(new_c)
-        is_first = (key == key[first][group]) & (nth == nth[first][group]) if len(f) else np.zeros(0, bool)
-        contents = np.bincount(np.cumsum(new_f)[first] - 1) if len(f) else np.zeros(0, int)
-        alone = contents[np.cumsum(new_f) - 1] < 2 if len(f) else np.zeros(0, bool)
-        state = np.where(~is_first, _COPY, np.where(alone, _NONE, _SORT)).astype(np.int8)
+        new_f, new_c = _new_runs(f), _new_runs(f, c)
+        first = np.flatnonzero(new_c)[np.cumsum(new_c) - 1]
+        is_first = (key == key[first]) & (nth == nth[first])
+        contents = np.bincount((np.cumsum(new_f) - 1)[new_c])[np.cumsum(new_f) - 1] if len(f) else np.zeros(0, int)
+        state = np.where(~is_first, _COPY, np.where(contents < 2, _NONE, _SORT))
+        state[(contents > split_from) | np.isin(f, hot)] = _SPLIT
         told = state != _NONE
-        key, nth, state = key[told], nth[told].astype(np.int32), state[told]
-        out_chunk, blobs = [], []
-        for ch, kk, nn, ss in tb.by_group(tb.chunk_of(key, chunks), key, nth, state):
-            out_chunk.append(ch)
-            blobs.append(tb.pack(kk, nn, ss))
-        return pa.table({"chunk": pa.array(out_chunk, pa.int32()), "bucket": pa.array([bucket] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        return pa.Table.from_batches([_rows(_answers(bucket, chunks, key[told], nth[told], state[told]))])
 
     return judge
 
@@ -191,28 +236,63 @@ def _row_groups(rows: np.ndarray, offsets: np.ndarray):
 
 
 def _to_shards(length: int, k: int, buckets: int, shards: int):
-    """The bytes of the stretches to sort, packed by shard."""
+    """Rows ``chunk, shard, blob``: the bytes of the stretches to sort (chunk -1), or removed starts of this chunk."""
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
         keys = tb.doc_keys(docs.column("key"))
         held: dict[int, list] = {}
+        singles: list[tuple] = []
         for i, part, at, row, a, b, fp, state in _answered(docs, length, k, buckets, answers):
+            alone = np.flatnonzero(state == _SPLIT)
+            if len(alone):
+                # strings of a split fingerprint go by themselves, by their hash, and only the first of this chunk
+                n = b[alone] - a[alone]
+                start = np.repeat(a[alone] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                r = np.repeat(row[alone], n)
+                name = tb.RangeHash(part).of(start, start + length)
+                once = np.lexsort((start, keys[i][r], name))
+                once = once[_new_runs(name[once])]
+                text = part[start[once][:, None] + np.arange(length)]
+                singles.append((name, keys[i][r], start - at[r], np.isin(np.arange(len(name)), once), dict(zip(name[once].tolist(), text))))
             take = state == _SORT
             row, a, b, fp = row[take], a[take], b[take], fp[take]
             size = b - a + length - 1
             for s, r, aa, bb, n in tb.by_group((tb.mix(fp, 11) % np.uint64(shards)).astype(np.int64), row, a, b, size):
                 where = np.repeat(aa - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 held.setdefault(s, []).append((keys[i][r], (aa - at[r]).astype(np.int64), (bb - aa).astype(np.int32), part[where]))
-        return pa.table(
-            {
-                "shard": pa.array(list(held), pa.int32()),
-                "blob": pa.array([tb.pack(*[np.concatenate(c) for c in zip(*v)]) for v in held.values()], pa.binary()),
-            }
-        )
+        gone = []
+        if singles:
+            name, key, start = (np.concatenate([x[j] for x in singles]) for j in range(3))
+            texts = {k_: v for x in singles for k_, v in x[4].items()}
+            order = np.lexsort((start, key, name))
+            name, key, start = name[order], key[order], start[order]
+            new = _new_runs(name)
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            later = (key != key[first]) | (start != start[first])
+            gone = _runs_of_starts(key[later], start[later])
+            for s, n_, k_, st in tb.by_group((tb.mix(name[new], 13) % np.uint64(shards)).astype(np.int64), name[new], key[new], start[new]):
+                held.setdefault(s, []).append((k_, st.astype(np.int64), np.ones(len(k_), np.int32), np.concatenate([texts[x] for x in n_.tolist()])))
+        out = [(-1, s, tb.pack(*[np.concatenate(c) for c in zip(*v)])) for s, v in held.items()]
+        if len(gone) and len(gone[0]):
+            chunk = docs.column("chunk")[0].as_py()
+            out.append((chunk, -1, tb.pack(*gone)))
+        return pa.Table.from_batches([_rows(out)])
 
     return send
 
 
+def _runs_of_starts(doc: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Removed starts as runs: document, first start, end of starts."""
+    if not len(doc):
+        return [doc, at, at]
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)] if len(doc) else np.zeros(0, bool)
+    a = np.flatnonzero(new)
+    b = np.r_[a[1:], len(doc)].astype(int) - 1
+    return [doc[a], at[a], at[b] + 1]
+
+
 # --- suffix array by difference cover ------------------------------------------------------------------------------
 
 
@@ -321,17 +401,8 @@ def _sort_shard(length: int, chunks: int):
         new = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
         first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(g) else np.zeros(0, int)
         later = (doc != doc[first]) | (at != at[first])
-        doc, at = doc[later], at[later]
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)] if len(doc) else np.zeros(0, bool)
-        a = np.flatnonzero(new)
-        b = np.r_[a[1:], len(doc)].astype(int) - 1
-        out_chunk, blobs = [], []
-        for ch, kk, lo, hi in tb.by_group(tb.chunk_of(doc[a], chunks), doc[a], at[a], at[b] + 1):
-            out_chunk.append(ch)
-            blobs.append(tb.pack(kk, lo, hi))
-        return pa.table({"chunk": pa.array(out_chunk, pa.int32()), "bucket": pa.array([-1] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        runs = _runs_of_starts(doc[later], at[later])
+        return pa.Table.from_batches([_rows([(c, -1, tb.pack(*cols)) for c, *cols in tb.by_group(tb.chunk_of(runs[0], chunks), *runs)])])
 
     return sort
 
@@ -424,11 +495,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int | None = None, kee
     )
     _, volume = text_volume(rows)
     chunks, buckets, shards = parts(volume, CHUNK_BYTES), parts(volume // 2, BUCKET_BYTES), parts(volume, SHARD_BYTES)
-    sent = rows.select("key", "text").mapInArrow(_sender(length, k, buckets), "bucket int, blob binary")
-    answers = written(sent.groupBy("bucket").applyInArrow(_judge_bucket(chunks), "chunk int, bucket int, blob binary"), "repeats")
+    sent = written(rows.select("key", "text").mapInArrow(_sender(length, k, buckets, chunks, OFTEN, SPLIT_TASK), _ANSWER), "stretches")
+    judged = sent.where("chunk < 0").groupBy("bucket").applyInArrow(_judge_bucket(chunks, SPLIT_ALL), _ANSWER)
+    answers = written(judged.unionByName(sent.where("chunk >= 0")), "repeats")
     by_chunk = rows.withColumn("chunk", chunk_column(F.col("key"), chunks))
-    pieces = by_chunk.drop(*carried).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_to_shards(length, k, buckets, shards), "shard int, blob binary")
-    intervals = written(pieces.groupBy("shard").applyInArrow(_sort_shard(length, chunks), "chunk int, bucket int, blob binary"), "intervals")
+    pieces = written(by_chunk.drop(*carried).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_to_shards(length, k, buckets, shards), _ANSWER), "pieces")
+    sorted_ = pieces.where("chunk < 0").groupBy("bucket").applyInArrow(_sort_shard(length, chunks), _ANSWER)
+    intervals = written(sorted_.unionByName(pieces.where("chunk >= 0")), "intervals")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
         schema += ", kept string, span_start array<long>, span_end array<long>"

@@ -210,13 +210,16 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [16, 100])
-def test_repeated_bytes(docs, none, documents, length, monkeypatch):
+@pytest.mark.parametrize("length, often, split", [(16, 64, 1000), (100, 64, 1000), (16, 2, 2), (100, 2, 1)])
+def test_repeated_bytes(docs, none, documents, length, often, split, monkeypatch):
     from leafmill.llm import suffix_dedup
 
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 20_000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 10_000)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
+    monkeypatch.setattr(suffix_dedup, "SPLIT_TASK", split)
+    monkeypatch.setattr(suffix_dedup, "SPLIT_ALL", 50 * split)
     known = {r[0]: r[1] for r in documents if r[0] is not None}
     want = brute_repeats(sorted(known.items()), length)
     rows = suffix_dedup.remove_repeats(docs, length=length, keep_text=True, carry=["chunk", "blob"]).collect()
