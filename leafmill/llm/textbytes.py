@@ -170,3 +170,46 @@ def by_group(group: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
     cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
     for lo, hi in zip(cuts, np.r_[cuts[1:], len(g)].astype(int)):
         yield (int(g[lo]), *[a[order[lo:hi]] for a in arrays])
+
+
+def pack_texts(chunks: int, flush_bytes: int = 32 << 20):
+    """A task's texts (columns key, text) as compressed blobs by chunk, so that less is shuffled."""
+
+    def send(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush():
+            rows = [(c, press.compress(pack(*[np.concatenate(x) for x in zip(*v)]))) for c, v in held.items()]
+            held.clear()
+            return pa.record_batch({"chunk": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+        for batch in batches:
+            keys = doc_keys(batch.column("key"))
+            buf, offsets = text_bytes(batch.column("text"))
+            for c, rows in by_group(chunk_of(keys, chunks), np.arange(len(keys))):
+                texts = [buf[offsets[r] : offsets[r + 1]] for r in rows]
+                held.setdefault(c, []).append((keys[rows], np.diff(offsets)[rows], np.concatenate(texts)))
+            size += len(buf)
+            if size > flush_bytes:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    return send
+
+
+def unpack_texts(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, bytes and offsets of the texts of a chunk."""
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor()
+    got = [unpack(open_.decompress(b), np.int64, np.int64, np.uint8) for b in blobs.to_pylist()]
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    keys, lengths, buf = (np.concatenate(x) for x in zip(*got))
+    return keys, buf, np.r_[0, np.cumsum(lengths)]
