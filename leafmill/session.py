@@ -31,7 +31,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir():
         return
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not sc.master.startswith("local["):
+    if not shared and not sc.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
 
