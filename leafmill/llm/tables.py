@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares: ``spark.checkpoint.dir``. Only a local master without one, as in tests, gets its own."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder and sc.master.startswith("local["):
+    if not folder and sc.master.split("[")[0] == "local":
         folder = tempfile.mkdtemp(prefix="leafmill-")
         sc.setCheckpointDir(folder)
     if not folder:
