@@ -26,6 +26,10 @@ from leafmill.llm.tables import parts, written
 BLOCK_ROWS = 8192
 #: Rows for each pivot, and the most pivots (they are sent to every task).
 PIVOT_ROWS, MOST_PIVOTS = 4096, 1024
+#: Pivots closer than this to an earlier one are left out: a bisector between them would be made of rounding errors.
+LEAST_GAP = 1e-3
+#: Distances near 0 come out of products with an error of about 2e-8.
+SLACK = 1e-7
 
 
 def clean_vectors(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -47,12 +51,21 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def apart(p: np.ndarray) -> np.ndarray:
+    """The rows that are not within ``LEAST_GAP`` of an earlier row that stays."""
+    kept: list[int] = []
+    for i in range(len(p)):
+        if not kept or ((p[kept] - p[i]) ** 2).sum(1).min() > LEAST_GAP**2:
+            kept.append(i)
+    return p[kept]
+
+
 def _homes(pivots, radii, reach: float):
     """Cells of vectors; with ``radii`` also the copies for earlier cells."""
 
     def place(batches):
         p = pivots.value
-        gaps = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+        gaps = np.array([np.sqrt(((p - x) ** 2).sum(1)) for x in p])
         for batch in batches:
             u = units(matrix(batch.column("v")))
             for lo in range(0, len(u), 4096):
@@ -66,12 +79,11 @@ def _homes(pivots, radii, reach: float):
                     cell = pa.array(home, pa.int32())
                     yield pa.record_batch({"cell": cell, "d": pa.array(own)})
                     continue
-                slack = 1e-9
-                near = far - own[:, None] <= 2 * reach + slack
-                near &= far <= radii.value[None, :] + reach + slack
+                near = far - own[:, None] <= 2 * reach + SLACK
+                near &= far <= radii.value[None, :] + reach + SLACK
                 with np.errstate(divide="ignore", invalid="ignore"):
                     bisector = (dot[np.arange(len(part)), home][:, None] - dot) / gaps[home]
-                near &= ~(bisector > reach + slack)
+                near &= ~(bisector > reach + SLACK)
                 near &= np.arange(len(p))[None, :] < home[:, None]
                 row, cell = np.nonzero(near)
                 row, cell = np.r_[np.arange(len(part)), row], np.r_[home, cell]
@@ -177,7 +189,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, pivots: int | None = Non
     result = table.select(F.col(id_column).cast("long").alias("vec_id"))
     if not sample:
         return result.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    p = units(np.array([r["v"] for r in sample], np.float64))
+    p = apart(units(np.array([r["v"] for r in sample], np.float64)))
     sc, reach = spark.sparkContext, float(np.sqrt(2 - 2 * cosine))
     shared = sc.broadcast(p)  # at most ``pivots`` vectors
     cells = stand.mapInArrow(_homes(shared, None, reach), "cell int, d double").groupBy("cell").agg(F.max("d").alias("r")).collect()  # a row for each pivot

@@ -317,6 +317,20 @@ def test_metric_join(spark, monkeypatch):
     assert metric_join.near_vectors(table.limit(0)).count() == 0
 
 
+def test_metric_join_with_parallel_pivots(spark):
+    from leafmill.llm import metric_join
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=64)
+    rows = [(i, (base * rng.uniform(0.5, 2)).tolist()) for i in range(150)]
+    rows += [(200 + i, (base + rng.uniform(0.2, 0.6) * rng.normal(size=64)).tolist()) for i in range(250)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    u = metric_join.units(np.array([v for _, v in rows]))
+    want = ((u[:, None, :] * u[None, :, :]).sum(2) >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in metric_join.near_vectors(table, cosine=0.9, pivots=40).collect()}
+    assert [got[i] for i, _ in rows] == want.tolist()
+
+
 def test_hash_search(spark):
     from leafmill.llm.hash_search import ShardIndex, nearest_by_codes
 
