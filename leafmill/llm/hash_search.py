@@ -4,16 +4,19 @@
 Rotations are learned on a bounded sample by alternating signs and Procrustes steps; several rotations give ``bits`` bits.
 *Index.* Every vector has a code; shards of about ``shard_rows`` vectors hold, for each substring of 16 bits, the vectors in
 the order of its value, so a value is a bucket.
-*Search.* Two codes within ``radius`` bits agree in some substring up to radius // substrings bits (pigeonhole). A query
-probes all such buckets of each substring, keeps the codes within the radius and ranks those by the true inner product of the
-original vectors. Where the buckets to probe would hold more entries than the shard has codes, the codes are compared one by
-one instead, which finds the same ones. If a shard has fewer than ``least`` codes within the radius, the radius grows.
+*Search.* Two codes within a radius agree in some substring up to radius // substrings bits (pigeonhole). A query first probes
+the buckets that equal its substrings, then those one bit away, two bits and so on, and ranks what it finds by the true
+inner product of the original vectors. Codes at an angle a differ in about bits * a / pi bits, so it stops at the radius that
+covers this distance for the angle of its k-th best, with ``SURE`` standard deviations to spare. If the next buckets to look
+up and their entries would pass the number of codes in the shard, the query is left to a comparison with the codes one by one, which keeps those
+within ``radius`` bits, or the ``least`` nearest if these are more.
 Shards answer blocks of queries independently; the best of all shards are merged by rank.
 """
 
 from __future__ import annotations
 
-from math import comb
+from functools import cache
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from leafmill.llm.tables import parts, written
 
 SUBSTRING = 16
 QUERY_BLOCK = 2048
+SURE = 3.0
 
 
 def learn_rotations(x: np.ndarray, bits: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -45,6 +49,19 @@ def encode(x: np.ndarray, rotation: np.ndarray, extra: np.ndarray) -> np.ndarray
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
+@cache
+def _flips(near: int) -> np.ndarray:
+    """The values of a substring with ``near`` bits set."""
+    values = np.arange(1 << SUBSTRING, dtype=np.uint16)
+    return values[np.bitwise_count(values) == near]
+
+
+def covered(angle: float, radius: int, bits: int) -> bool:
+    """Whether codes of vectors within the angle lie within the radius, but for ``SURE`` standard deviations."""
+    p = min(1.0, angle / pi)
+    return bits * p + SURE * sqrt(max(1.0, bits * p * (1 - p))) <= radius
+
+
 class ShardIndex:
     """Codes of a shard and the buckets of their substrings."""
 
@@ -77,20 +94,36 @@ class ShardIndex:
         at = np.flatnonzero(found)
         return at[np.bitwise_count(self.codes[at] ^ code).sum(1) <= radius]
 
-    def probing_pays(self, radius: int) -> bool:
-        m = self.parts.shape[1]
-        shares = [sum(comb(SUBSTRING, i) for i in range((radius // m if j <= radius % m else radius // m - 1) + 1)) / 2.0**SUBSTRING for j in range(m)]
-        return sum(shares) < 0.5
+    def widen(self, code: np.ndarray, enough) -> np.ndarray | None:
+        """Positions of all codes within the first radius at which ``enough(positions, radius)`` holds; None if the buckets would
+        cost more than the codes themselves. The radius grows by one bit in every substring."""
+        m, cost, own = self.parts.shape[1], 0, code.view(np.uint16)
+        found = np.zeros(len(self.codes), bool)
+        for near in range(SUBSTRING + 1):
+            cost += m * comb(SUBSTRING, near)
+            if cost > len(self.codes):
+                return None
+            hit = [(order, start, own[j] ^ _flips(near)) for j, (order, start) in enumerate(self.buckets())]
+            ranges = [(order, start[v], start[v + np.int64(1)]) for order, start, v in hit]
+            cost += sum(int((hi - lo).sum()) for _, lo, hi in ranges)
+            if cost > len(self.codes):
+                return None
+            for order, lo, hi in ranges:
+                full = np.flatnonzero(hi > lo)
+                lo, n = lo[full], (hi - lo)[full]
+                found[order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]] = True
+            radius = m * (near + 1) - 1
+            at = np.flatnonzero(found)
+            at = at[np.bitwise_count(self.codes[at] ^ code).sum(1) <= radius]
+            if enough(at, radius):
+                return at
+        return None
 
     def within(self, codes: np.ndarray, radius: int, least: int) -> list[np.ndarray]:
-        """For each query code the positions of all codes within the radius, which grows to hold ``least`` codes at least."""
-        out, least = [], min(least, len(self.codes))
-        if self.probing_pays(radius):
-            out = [self.probe(c, radius) for c in codes]
-        open_ = [i for i in range(len(codes)) if not out or len(out[i]) < least]
-        out = out or [np.zeros(0, np.int64)] * len(codes)
-        for lo in range(0, len(open_), 256):
-            rows = open_[lo : lo + 256]
+        """By comparison with every code: for each query code the positions of all codes within the radius, which grows to hold ``least`` codes at least."""
+        out, least = [np.zeros(0, np.int64)] * len(codes), min(least, len(self.codes))
+        for lo in range(0, len(codes), 256):
+            rows = list(range(lo, min(lo + 256, len(codes))))
             far = np.zeros((len(rows), len(self.codes)), np.uint16)
             for w in range(codes.shape[1]):
                 far += np.bitwise_count(codes[rows, w][:, None] ^ self.codes[None, :, w])
@@ -100,7 +133,35 @@ class ShardIndex:
         return out
 
 
-def _searcher(k: int, radius: int, least: int):
+def search_shard(ids: np.ndarray, x: np.ndarray, shard: ShardIndex, q_ids: np.ndarray, q: np.ndarray, codes: np.ndarray, k: int, radius: int, least: int, longest: float):
+    """For each query the ids and scores of its best k rows, and whether probing settled it."""
+    bits, out = 64 * codes.shape[1], [None] * len(q)
+
+    def ranked(i: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = near[ids[near] != q_ids[i]]
+        score = (x[near] * q[i]).sum(1)
+        best = np.lexsort((ids[near], -score))[:k]
+        return ids[near][best], score[best]
+
+    for i in range(len(q)):
+        size = sqrt(float(q[i] @ q[i])) * longest
+
+        def enough(near: np.ndarray, reached: int) -> bool:
+            if len(near) <= k:
+                return False
+            out[i] = ranked(i, near)
+            return covered(acos(max(-1.0, min(1.0, float(out[i][1][-1]) / size))), reached, bits)
+
+        if shard.widen(codes[i], enough) is None:
+            out[i] = None
+    probed = np.array([o is not None for o in out], bool)
+    left = np.flatnonzero(~probed)
+    for i, near in zip(left, shard.within(codes[left], radius, least)):
+        out[i] = ranked(i, near)
+    return out, probed
+
+
+def _searcher(k: int, radius: int, least: int, longest: float):
     def search(index: pa.Table, queries: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if len(index) and len(queries):
@@ -108,14 +169,10 @@ def _searcher(k: int, radius: int, least: int):
             ids, x = index.column("id").to_numpy()[order], matrix(index.column("v"))[order]
             words = lambda t: np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint64).reshape(len(t), -1)
             q_ids, q, codes = queries.column("id").to_numpy(), matrix(queries.column("v")), words(queries)
-            shard = ShardIndex(words(index)[order])
-            for i, near in enumerate(shard.within(codes, radius, least + 1)):
-                near = near[ids[near] != q_ids[i]]
-                score = (x[near] * q[i]).sum(1)
-                best = np.lexsort((ids[near], -score))[:k]
-                out_q.append(np.full(len(best), q_ids[i]))
-                out_v.append(ids[near][best])
-                out_s.append(score[best])
+            for q_id, (near, score) in zip(q_ids, search_shard(ids, x, ShardIndex(words(index)[order]), q_ids, q, codes, k, radius, least + 1, longest)[0]):
+                out_q.append(np.full(len(near), q_id))
+                out_v.append(near)
+                out_s.append(score)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return pa.table({"query_id": pa.array(join(out_q, np.int64), pa.int64()), "vec_id": pa.array(join(out_v, np.int64), pa.int64()), "score": pa.array(join(out_s, np.float64), pa.float64())})
 
@@ -162,6 +219,6 @@ def nearest_by_codes(
     number = F.xxhash64("id")
     index = both.where("not asks").withColumn("shard", F.pmod(number, F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = both.where("asks").withColumn("block", F.pmod(F.shiftright(number, 20), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_searcher(k, radius, least), "query_id long, vec_id long, score double")
+    found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_searcher(k, radius, least, longest), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

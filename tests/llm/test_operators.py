@@ -331,6 +331,26 @@ def test_metric_join_with_parallel_pivots(spark):
     assert [got[i] for i, _ in rows] == want.tolist()
 
 
+def test_hash_search_probes_clusters():
+    from leafmill.llm.hash_search import ShardIndex, encode, learn_rotations, search_shard
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 32))
+    x = np.repeat(centres, 40, 0) + 0.15 * rng.normal(size=(8000, 32))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    none, ids, asked = np.zeros(len(x)), np.arange(len(x)), np.arange(0, len(x), 40)
+    codes = encode(x, learn_rotations(np.c_[x, none], 256), none)
+    out, probed = search_shard(ids, x, ShardIndex(codes), ids[asked], x[asked], codes[asked], 20, 109, 201, 1.0)
+    assert probed.mean() > 0.9
+    hits = 0
+    for i, (near, score) in zip(asked, out):
+        true = x @ x[i]
+        true[i] = -9
+        hits += len(set(near.tolist()) & set(np.argsort(-true, kind="stable")[:20].tolist()))
+        assert np.allclose(score, true[near])
+    assert hits >= 0.99 * 20 * len(asked)
+
+
 def test_hash_search(spark):
     from leafmill.llm.hash_search import ShardIndex, nearest_by_codes
 
