@@ -23,13 +23,13 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents with a score of one half or more in which a sentence was found that is offending by itself.
+    """Leave out documents that the operator rejects: those with a score of one half or more.
 
     Learns from all labelled documents. Texts that are null, empty or without a word stay.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_toxicity(docs, fit_toxicity(docs, labels))
-    return scored.where(~((F.col("toxicity") >= 0.5) & (F.size("offending") > 0))).select(docs.columns)
+    return scored.where(F.col("toxicity") < 0.5).select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -402,6 +402,21 @@ def test_toxicity(spark, docs, none):
     assert score_toxicity(docs, unlearned).agg(F.max("toxicity")).first()[0] < 0.5
 
 
+def test_pipeline_drops_what_toxicity_rejects(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from leafmill.llm import toxicity
+
+    table = spark.createDataFrame([(1, "all good here"), (2, "mean words. mean looks. mean ends."), (3, None)], "doc_id long, text string")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # a model that gives every sentence a probability of about 0.3
+    model = toxicity.ToxicityModel(np.zeros(1 << 18, np.float32), -0.85, 18)
+    monkeypatch.setattr(corpus_pipeline, "fit_toxicity", lambda *_: model)
+    scored = {r["doc_id"]: r for r in toxicity.score_toxicity(table, model).collect()}
+    assert scored[2]["toxicity"] >= 0.5 and not scored[2]["offending"]
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, table, str(tmp_path)).collect()}
+    assert kept == {i for i, r in scored.items() if r["toxicity"] < 0.5} and 3 in kept and 2 not in kept
+
+
 def test_language(spark, docs, none):
     from leafmill.llm.language_id import learn_languages, predict_language
 
