@@ -274,6 +274,38 @@ def test_passages(docs, none, documents):
     assert near_passages(none).count() == 0
 
 
+def test_passages_with_edits(spark):
+    from leafmill.llm import textbytes as tb
+    from leafmill.llm.passage_dedup import near_passages
+
+    rng = random.Random(3)
+    some = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    texts, due = [], []
+    for i in range(300):
+        passage, at = some(50), [rng.randint(30, 60) for _ in range(2)]
+        other = list(passage)
+        other[rng.choice([0, 1, 2, 3, 10, 25, 40, 46, 47, 48, 49])] = "edited"
+        pair = [some(at[0]) + passage + some(40), some(at[1]) + other + some(40)]
+        texts += pair
+        tokens = []
+        for words in pair:
+            raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+            word, row, _, _ = tb.words(raw, np.array([0, len(raw)]))
+            tokens.append(tb.shingles(word, row, 1)[0])
+        one, two = (t[p : p + 46] for t, p in zip(tokens, at))
+        agree = sum(tb.mix(one, 500 + f).argmin() == tb.mix(two, 500 + f).argmin() and tb.mix(one, 500 + f).min() == tb.mix(two, 500 + f).min() for f in range(6))
+        if agree >= 4 and len(set(one) & set(two)) / len(set(one) | set(two)) >= 0.8:
+            due.append((2 * i, at))
+    assert len(due) > 200
+    found = collections.defaultdict(set)
+    for r in near_passages(spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")).collect():
+        assert r["similarity"] >= 0.8
+        if r["other_id"] == r["doc_id"] + 1:
+            found[r["doc_id"]].add((r["start_word"], r["end_word"], r["other_start"], r["other_end"]))
+    lost = [(d, at) for d, at in due if not any(s <= at[0] and at[0] + 50 <= e and u <= at[1] and at[1] + 50 <= v for s, e, u, v in found[d])]
+    assert not lost, (len(lost), len(due))
+
+
 def test_compact_windows_cover_each_passage_once():
     from leafmill.llm.passage_dedup import compact_windows
 
