@@ -32,7 +32,7 @@ _PART = 4096
 
 def text_key(id_column: str, text_column: str):
     """Documents without an id are told apart by their text."""
-    return F.coalesce(F.col(id_column).cast("long"), F.xxhash64(F.col(text_column)))
+    return F.coalesce(F.col(id_column).cast("long"), F.xxhash64(F.lit("no id"), F.col(text_column).isNull(), F.col(text_column)))
 
 
 # --- weights -------------------------------------------------------------------------------------------------------

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import textbytes as tb
-from leafmill.llm.tables import chunk_column, doc_key, parts, text_volume, written
+from leafmill.llm.tables import chunk_column, parts, text_volume, with_keys, written
 
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
@@ -482,17 +482,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int | None = None, kee
     kept_sha256``, with ``keep_text`` also ``kept`` (the text left, less characters cut in half), ``span_start`` and
     ``span_end`` (removed runs of bytes), and the columns of ``docs`` named in ``carry``, unchanged.
 
-    Null text counts as empty; a null id sorts last. Rows that repeat an id with the same text are one document, and each
-    of them is returned with its result. Other columns are ignored. An empty table gives an empty table.
+    Null text counts as empty; null ids sort last. Rows that repeat an id, or null, with the same text are one document, and each
+    of them is returned with its result; with different texts they are documents in the order of a hash of the text. Other columns are ignored. An empty table gives an empty table.
     """
     if length < 16:
         raise ValueError("length must be 16 bytes or more")
     k = k or length // 2
     carry = list(carry or [])
     carried = [f"carried{i}" for i in range(len(carry))]
-    rows = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), doc_key(id_column).alias("key"), F.col(text_column).alias("text"), *[docs[c].alias(x) for c, x in zip(carry, carried)]
-    )
+    rows = with_keys(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *[docs[c].alias(x) for c, x in zip(carry, carried)]))
     _, volume = text_volume(rows)
     chunks, buckets, shards = parts(volume, CHUNK_BYTES), parts(volume // 2, BUCKET_BYTES), parts(volume, SHARD_BYTES)
     sent = written(rows.select("key", "text").mapInArrow(_sender(length, k, buckets, chunks, OFTEN, SPLIT_TASK), _ANSWER), "stretches")

@@ -232,6 +232,21 @@ def test_repeated_bytes(docs, none, documents, length, often, split, monkeypatch
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_repeats_in_rows_that_share_an_id(spark):
+    from leafmill.llm.near_dedup import text_key
+    from leafmill.llm.suffix_dedup import remove_repeats
+
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    old = some(400)
+    rows = [(1, old), (None, old + some(300)), (None, some(700)), (None, None), (7, some(500)), (7, old[:300] + some(300)), (42, some(200))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]): r["n_removed"] for r in remove_repeats(table.withColumn("t", F.col("text")), carry=["t"]).withColumnRenamed("t", "text").collect()}
+    want = {row: 0 for row in rows} | {rows[1]: 400, rows[5]: 300}
+    assert got == want
+    assert table.select(text_key("doc_id", "text")).where("doc_id is null or doc_id = 42").distinct().count() == 4
+
+
 def test_suffix_array():
     from leafmill.llm.suffix_dedup import equal_prefix_groups, suffix_ranks
 
