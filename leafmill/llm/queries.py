@@ -153,3 +153,21 @@ def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.passage_dedup import near_passages
 
     return near_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.sharding import shard_documents
+
+    sharded = shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    text = F.coalesce("text", F.lit(""))
+    return sharded.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("home").alias("home_shard"),
+    )
