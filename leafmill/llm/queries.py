@@ -171,3 +171,26 @@ def op12_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("home").alias("home_shard"),
     )
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.conversations import damaged, repair_conversations
+
+    turns = table(spark, sf_dir, "conversations")
+    found = repair_conversations(damaged(turns)).withColumnRenamed("conv", "conv_id")
+    every = turns.select("conv_id").unionByName(found, allowMissingColumns=True)  # conversations that lost all rows too
+    zero = lambda c: F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c)
+    return every.groupBy("conv_id").agg(
+        *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op11_golub_kahan_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.whitening import fit_whitening, whiten
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten(vectors, fit_whitening(vectors, components=16))
