@@ -10,39 +10,94 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import escape_html
+from leafmill.functions.text import escape_html, full_to_half
 from leafmill.operators.ordered import Scan, scan
-from leafmill.session import checkpointed
+from leafmill.session import written
 
 #: Slots of a chart series that one array holds.
 STRETCH = 1 << 14
 
 
-def parse_cells(tables: DataFrame, html: str = "html") -> DataFrame:
-    """Rows and cells of flat HTML tables (no table inside a cell)."""
-    rows = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    cell = F.lit(r"(?is)(<t[dh]\b[^>]*>.*?</t[dh]>)")
+#: Tags (quoted attribute values may hold ``>``), comments, runs of text, and a stray ``<``.
+TOKEN = r"""(?s)<!--.*?-->|<[a-zA-Z/!](?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+|<"""
+
+
+def parse_nested_cells(tables: DataFrame, html: str = "html") -> DataFrame:
+    """Cells of HTML tables of any depth: table_id, table_no, depth, parent_no, parent_row, parent_cell, row_idx, cell_idx, text, rowspan, colspan.
 
-    def span(c: Column, name: str) -> Column:
-        found = F.regexp_extract(c, rf"(?is)^<t[dh]\b[^>]*?\b{name}\s*=\s*[\"']?(\d+)", 1)
-        return F.when(found == "", 1).otherwise(found.cast("int"))
+    ``table_no`` counts the tables of a document from 1 in the order they open, ``depth`` is 1 for one in no other; the parent is
+    the cell that holds a table (null for depth 1). ``text`` is all markup of the cell, inner tables included, and their
+    cells are rows of their own. A cell ends at its end tag or at the next cell, row or table end of its own table; cells outside a row are
+    left out. A document without a ``<table>`` is one table.
 
-    by_row = tables.select("table_id", F.posexplode(rows).alias("row_idx", "__row"))
-    cells = by_row.select("table_id", "row_idx", F.posexplode(F.regexp_extract_all("__row", cell, F.lit(1))).alias("cell_idx", "__c"))
-    return cells.select(
-        "table_id", "row_idx", "cell_idx",
-        F.regexp_extract("__c", r"(?is)^<t[dh]\b[^>]*>(.*)</t[dh]>\z", 1).alias("text"),
-        span(F.col("__c"), "rowspan").alias("rowspan"), span(F.col("__c"), "colspan").alias("colspan"),
+    Tags and texts become rows; depth is the running number of open tables. Every piece counts once on each level it lies in, and on a
+    level the current table, row and cell are running counts, so the work is pieces times depth.
+    """
+    rooted = F.when(F.col(html).rlike(r"(?i)<table\b"), F.col(html)).otherwise(F.concat(F.lit("<table>"), F.col(html), F.lit("</table>")))
+    pieces = tables.select("table_id", F.posexplode(F.regexp_extract_all(rooted, F.lit(TOKEN), F.lit(0))).alias("pos", "piece"))
+    tag = F.lower(F.regexp_extract("piece", r"(?i)^<(/?(?:table|tr|td|th))(?=[\s/>])", 1))
+    tagged = pieces.withColumn("tag", F.regexp_replace(tag, "th$", "td"))
+    order = Window.partitionBy("table_id").orderBy("pos")
+    opened = lambda name: (F.col("tag") == name).cast("int")
+    # an end tag that closes nothing must not count: the running sum is measured from its lowest value so far
+    deep = tagged.withColumn("sum", F.sum(opened("table") - opened("/table")).over(order))
+    deep = deep.withColumn("after", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order)))
+    # a table's own two tags lie on its level
+    deep = deep.withColumn("depth", F.col("after") + opened("/table")).where("depth > 0")
+    levels = deep.withColumn("level", F.explode(F.sequence(F.lit(1), F.col("depth").cast("int"))))
+    own = F.col("level") == F.col("depth")
+    is_ = lambda *names: own & F.col("tag").isin(*names)
+    on_level = Window.partitionBy("table_id", "level").orderBy("pos")
+    # tables are numbered over the whole document, so an inner and an outer one never share a number
+    numbered = levels.withColumn("opens", F.when(is_("table"), F.col("pos")))
+    numbered = numbered.withColumn("at", F.last("opens", ignorenulls=True).over(on_level))
+    in_table = Window.partitionBy("table_id", "level", "at").orderBy("pos")
+    flag = lambda c: c.cast("int")
+    rows = (
+        numbered.withColumn("row_idx", F.sum(flag(is_("tr"))).over(in_table) - 1)
+        .withColumn("in_row", F.last(F.when(is_("tr"), True).when(is_("/tr", "table", "/table"), False), ignorenulls=True).over(in_table))
+        .withColumn("in_cell", F.last(F.when(is_("td"), True).when(is_("/td", "tr", "/tr", "table", "/table"), False), ignorenulls=True).over(in_table))
+        .where("in_row and in_cell")
+    )
+    in_row = Window.partitionBy("table_id", "level", "at", "row_idx").orderBy("pos")
+    content = rows.withColumn("cell_idx", F.sum(flag(is_("td"))).over(in_row) - 1)
+    key = ["table_id", "level", "at", "row_idx", "cell_idx"]
+    heads = F.max(F.when(is_("td"), F.col("piece")))
+    inner = F.transform(F.sort_array(F.collect_list(F.when(~is_("td"), F.struct("pos", "piece")))), lambda x: x["piece"])
+    cells = content.groupBy(key).agg(heads.alias("__head"), F.array_join(inner, "").alias("text"))
+
+    def span(name: str) -> Column:
+        found = F.regexp_extract("__head", rf"(?is)\s{name}\s*=\s*[\"']?\s*(\d+)", 1)
+        return F.when(found.isin("", "0"), 1).otherwise(found.cast("int"))
+
+    number = deep.where("tag = 'table'").select("table_id", F.col("pos").alias("at"), F.row_number().over(order).cast("long").alias("table_no"))
+    # the cell on the level above that a table's tag lies in
+    holders = content.where((F.col("tag") == "table") & (F.col("level") == F.col("depth") - 1)).select(
+        "table_id", F.col("pos").alias("at"), F.col("at").alias("__up"), F.col("row_idx").alias("parent_row"), F.col("cell_idx").alias("parent_cell")
+    )
+    above = number.select("table_id", F.col("at").alias("__up"), F.col("table_no").alias("parent_no"))
+    named = number.join(holders, ["table_id", "at"], "left").join(above, ["table_id", "__up"], "left").drop("__up")
+    return cells.join(named, ["table_id", "at"]).select(
+        "table_id", "table_no", F.col("level").cast("long").alias("depth"), "parent_no", "parent_row", "parent_cell",
+        "row_idx", "cell_idx", "text", span("rowspan").alias("rowspan"), span("colspan").alias("colspan"),
     )
 
 
-def row_bands(cells: DataFrame) -> DataFrame:
+def parse_cells(tables: DataFrame, html: str = "html") -> DataFrame:
+    """Cells of the first outermost table of each document; the texts of cells hold the markup of tables inside them."""
+    return parse_nested_cells(tables, html).where("table_no = 1").select("table_id", "row_idx", "cell_idx", "text", "rowspan", "colspan")
+
+
+def row_bands(cells: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """One row per table row with its cells (array in order) and ``band``: the first row of the stretch of rows
-    tied together by row spans. Placement in one band never looks at another."""
+    tied together by row spans. Placement in one band never looks at another. Spans ``carried`` in tie the first rows."""
     rows = cells.groupBy("table_id", "row_idx").agg(
         F.sort_array(F.collect_list(F.struct("cell_idx", "rowspan", "colspan"))).alias("cells"),
         F.max(F.col("row_idx") + F.col("rowspan")).alias("reach"),
     )
+    if carried is not None:
+        into = carried.groupBy("table_id").agg((F.max("row_offset") + 1).alias("__into"))
+        rows = rows.join(into, "table_id", "left").withColumn("reach", F.greatest("reach", F.when(F.col("row_idx") == 0, F.col("__into")))).drop("__into")
     seen = scan(rows, ["table_id"], ["row_idx"], {"__r": Scan("max", F.col("reach"), inclusive=False)})
     starts = F.col("__r").isNull() | (F.col("__r") <= F.col("row_idx"))
     return scan(
@@ -50,12 +105,13 @@ def row_bands(cells: DataFrame) -> DataFrame:
     ).drop("__r", "__s")
 
 
-def place_cells(cells: DataFrame) -> DataFrame:
-    """Add ``col`` (first visual column) to every cell: cells fill the columns row spans from above leave free."""
-    bands = row_bands(cells).groupBy("table_id", "band").agg(
-        F.sort_array(F.collect_list(F.struct("row_idx", "cells"))).alias("rows")
-    )
-    grid = "struct<rem:array<long>,row:long,out:array<struct<row_idx:long,cell_idx:long,col:long>>>"
+#: Rows of a band that one fold places; the columns still occupied below them are handed to the next stretch.
+BAND_ROWS = 64
+
+
+def _fold_rows(rows: Column, rem: Column, first: Column) -> Column:
+    """Place the cells of consecutive rows under ``rem`` (rows each column is still occupied, counted from row ``first``): struct of ``rem``
+    after the last row, ``row`` (the one after it) and ``out``, the placements."""
 
     def free_from(rem: Column, at: Column) -> Column:
         tried = F.sequence(at, F.greatest(at, F.size(rem).cast("long")))
@@ -70,9 +126,11 @@ def place_cells(cells: DataFrame) -> DataFrame:
             ).otherwise(F.coalesce(F.get(rem, c.cast("int")), F.lit(0).cast("long"))),
         )
 
+    def lowered(rem: Column, rows: Column) -> Column:
+        return F.transform(rem, lambda v: F.greatest(v - rows, F.lit(0).cast("long")))
+
     def add_row(state: Column, row: Column) -> Column:
-        gap = row["row_idx"] - state["row"]
-        rem = F.transform(state["rem"], lambda v: F.greatest(v - gap, F.lit(0).cast("long")))
+        rem = lowered(state["rem"], row["row_idx"] - state["row"])
         first = F.struct(rem.alias("rem"), F.lit(0).cast("long").alias("at"), state["out"].alias("out"))
 
         def add_cell(s: Column, c: Column) -> Column:
@@ -87,9 +145,42 @@ def place_cells(cells: DataFrame) -> DataFrame:
         done = F.aggregate(row["cells"], first, add_cell)
         return F.struct(done["rem"].alias("rem"), row["row_idx"].cast("long").alias("row"), done["out"].alias("out"))
 
-    start = F.from_json(F.lit('{"rem":[],"row":0,"out":[]}'), grid)
+    def finish(state: Column) -> Column:
+        left = lowered(state["rem"], F.lit(1).cast("long"))
+        # trailing free columns say nothing
+        used = F.coalesce(F.array_max(F.transform(left, lambda v, i: F.when(v > 0, i + 1))), F.lit(0))
+        return F.struct(F.slice(left, F.lit(1), used).alias("rem"), (state["row"] + 1).alias("row"), state["out"].alias("out"))
+
+    placements = F.from_json(F.lit("[]"), "array<struct<row_idx:long,cell_idx:long,col:long>>")
+    return F.aggregate(rows, F.struct(rem.alias("rem"), first.cast("long").alias("row"), placements.alias("out")), add_row, finish)
+
+
+def place_cells(cells: DataFrame, carried: DataFrame | None = None, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Add ``col`` (first visual column) to every cell: cells fill the columns row spans from above leave free.
+
+    ``carried`` (table_id, row_offset, col) are columns that spans of a table before still occupy in the first rows, as
+    ``carried_columns`` gives them; rows then count from 0.
+
+    A band of tied rows is cut into stretches of ``band_rows``. A stretch needs only the columns that the one before it leaves
+    occupied: all stretches are placed at once under the state known so far, and those whose state turns out
+    to be another are placed again until none is. Spans seldom reach over a whole stretch, so that is a round or two.
+    """
+    rows = row_bands(cells, carried)
+    nth = F.row_number().over(Window.partitionBy("table_id", "band").orderBy("row_idx")) - 1
+    stretches = rows.withColumn("part", F.floor(nth / F.lit(band_rows)))
+    bands = stretches.groupBy("table_id", "band", "part").agg(F.sort_array(F.collect_list(F.struct("row_idx", "cells"))).alias("rows"))
+    nothing = F.array().cast("array<long>")
+    if carried is None:
+        bands = bands.withColumn("rem", nothing).withColumn("first", F.col("rows")[0]["row_idx"])
+    else:
+        held = carried.groupBy("table_id", F.col("col").cast("long").alias("col")).agg((F.max("row_offset") + 1).cast("long").alias("n"))
+        vector = held.groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "n"))).alias("__m"), F.max("col").alias("__c"))
+        rem = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__c")), lambda c: F.coalesce(F.element_at("__m", c), F.lit(0).cast("long")))
+        head = (F.col("part") == 0) & (F.col("band") == 0) & F.col("__m").isNotNull()
+        bands = bands.join(vector, "table_id", "left").withColumn("rem", F.when(head, rem).otherwise(nothing))
+        bands = bands.withColumn("first", F.when(head, F.lit(0)).otherwise(F.col("rows")[0]["row_idx"])).drop("__m", "__c")
     # a single row without spans from above needs no fold: columns are running sums
-    single = F.size("rows") == 1
+    single = (F.size("rows") == 1) & (F.size("rem") == 0) & (F.col("part") == 0)
     plain = F.transform(
         F.col("rows")[0]["cells"],
         lambda c, i: F.struct(
@@ -97,8 +188,22 @@ def place_cells(cells: DataFrame) -> DataFrame:
             F.aggregate(F.slice(F.col("rows")[0]["cells"], F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["colspan"]).alias("col"),
         ),
     )
-    folded = F.aggregate("rows", start, add_row)["out"]
-    placed = bands.select("table_id", F.explode(F.when(single, plain).otherwise(folded)).alias("p")).select("table_id", "p.*")
+    fold = _fold_rows(F.col("rows"), F.col("rem"), F.col("first"))
+    alone = F.struct(nothing.alias("rem"), (F.col("first") + 1).cast("long").alias("row"), plain.alias("out"))
+    parts = F.max("part").over(Window.partitionBy("table_id", "band")) + 1
+    tried = written(bands.withColumn("parts", parts).withColumn("done", F.when(single & (F.col("parts") == 1), alone).otherwise(fold)))
+    placed = tried.where("parts = 1").select("table_id", F.explode("done.out").alias("p")).select("table_id", "p.*")
+    long = tried.where("parts > 1").drop("parts")
+    while not long.isEmpty():
+        above = F.lag(F.struct(F.col("done.rem").alias("rem"), F.col("done.row").alias("row"))).over(Window.partitionBy("table_id", "band").orderBy("part"))
+        told = long.withColumn("above", above).withColumn("__new", F.col("above").isNotNull() & ~F.col("above").eqNullSafe(F.struct(F.col("rem"), F.col("first").cast("long").alias("row"))))
+        told = told.withColumn("rem", F.when(F.col("__new"), F.col("above.rem")).otherwise(F.col("rem"))).withColumn("first", F.when(F.col("__new"), F.col("above.row")).otherwise(F.col("first")))
+        again = F.when(F.col("__new"), _fold_rows(F.col("rows"), F.col("rem"), F.col("first"))).otherwise(F.col("done"))
+        after = written(told.drop("above").withColumn("done", again))
+        if after.where("__new").isEmpty():
+            placed = placed.unionByName(after.select("table_id", F.explode("done.out").alias("p")).select("table_id", "p.*"))
+            break
+        long = after.drop("__new")
     return cells.join(placed, ["table_id", "row_idx", "cell_idx"])
 
 
@@ -137,11 +242,15 @@ def table_metrics(placed: DataFrame) -> DataFrame:
     ).withColumn("tail_rows", F.col("reach") - F.col("last_row")).drop("reach")
 
 
-def carried_columns(placed: DataFrame) -> DataFrame:
-    """Columns (table_id, row_offset, col) that row spans still occupy below the last row."""
+def carried_columns(placed: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """Columns (table_id, row_offset, col) that row spans still occupy below the last row: those of the table itself, and
+    those of ``carried`` in spans that reach past it."""
     last = placed.groupBy("table_id").agg(F.max("row_idx").alias("__last"))
+    squares = expand_grid(placed).select("table_id", "row", "col")
+    if carried is not None:
+        squares = squares.unionByName(carried.select("table_id", F.col("row_offset").alias("row"), "col"))
     return (
-        expand_grid(placed).join(last, "table_id").where(F.col("row") > F.col("__last"))
+        squares.join(last, "table_id").where(F.col("row") > F.col("__last"))
         .select("table_id", (F.col("row") - F.col("__last") - 1).alias("row_offset"), "col").distinct()
     )
 
@@ -166,7 +275,14 @@ def segment_counts(placed: DataFrame) -> DataFrame:
 
 
 def normalized_text(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+", "")
+    """Text of a cell without markup and white space, full-width forms as ASCII."""
+    return F.regexp_replace(full_to_half(F.regexp_replace(text, r"(?s)<[^>]*>", "")), r"\s+", "")
+
+
+def says_nothing(text: Column) -> Column:
+    """A cell without visible text, picture, formula, inner table or embedded object."""
+    shown = r"(?i)<(img|svg|math|eq|table|figure|object|embed|canvas)\b"
+    return (F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<[^>]*>|\s", "")) == "") & ~F.coalesce(text, F.lit("")).rlike(shown)
 
 
 def row_signatures(placed: DataFrame, header_rows: int | None = None) -> DataFrame:
@@ -179,11 +295,14 @@ def row_signatures(placed: DataFrame, header_rows: int | None = None) -> DataFra
     return signature.join(row_metrics(front), ["table_id", "row_idx"]).join(segment_counts(front), ["table_id", "row_idx"])
 
 
-def common_header_rows(pairs: DataFrame, placed: DataFrame, most: int | None = None) -> DataFrame:
+def common_header_rows(pairs: DataFrame, placed: DataFrame, most: int | None = None, own_rows: DataFrame | None = None) -> DataFrame:
     """Pairs (prev_id, table_id) with ``header_rows``: leading rows (all, or at most ``most``) equal in structure and text,
-    else equal in text and shown segments; stretched over the second table's row spans."""
+    else equal in text and shown segments; stretched over the second table's row spans. ``own_rows`` (table_id, own_rows) keeps rows
+    that an earlier merge has added out of the comparison."""
     sig = row_signatures(placed, most)
     mine = sig if most is None else sig.where(F.col("row_idx") < most)
+    if own_rows is not None:
+        mine = mine.join(own_rows, "table_id").where("row_idx < own_rows").drop("own_rows")
     other = mine.select(F.col("table_id").alias("prev_id"), "row_idx", *[F.col(c).alias(f"p_{c}") for c in mine.columns if c not in ("table_id", "row_idx")])
     aligned = pairs.join(mine, "table_id").join(other, ["prev_id", "row_idx"])
     texts = F.col("texts") == F.col("p_texts")
@@ -226,13 +345,14 @@ def adjacent_tables(blocks: DataFrame) -> DataFrame:
     )
 
 
-def mergeable_pairs(pairs: DataFrame, placed: DataFrame, notes: DataFrame) -> DataFrame:
+def mergeable_pairs(pairs: DataFrame, placed: DataFrame, notes: DataFrame, most: int | None = None, own_rows: DataFrame | None = None) -> DataFrame:
     """Adjacent pairs that form one table, with ``header_rows``.
 
     notes (table_id, captions, continued, footnotes) counts a table's captions above its body, those that say
     "continued", and its footnotes. A new caption must say so (then at most one footnote before), else no
     footnote may precede; widths differ by less than a tenth of the narrower; columns or boundary rows match.
-    Pairs are judged on the tables as read.
+    Pairs are judged on the tables as given. At most ``most`` rows count as header; a boundary row must be among
+    the second table's ``own_rows`` (table_id, own_rows) and the first ``most`` + 1, where these are given.
     """
     mine = notes.select("table_id", "captions", "continued")
     before = notes.select(F.col("table_id").alias("prev_id"), F.col("footnotes").alias("prev_footnotes"))
@@ -245,13 +365,15 @@ def mergeable_pairs(pairs: DataFrame, placed: DataFrame, notes: DataFrame) -> Da
     prev_total = total.toDF("prev_id", "prev_cols", "prev_last")
     sized = (
         kept.join(total.drop("last_row"), "table_id").join(prev_total, "prev_id")
-        .join(common_header_rows(kept.select("prev_id", "table_id"), placed), ["prev_id", "table_id"], "left")
+        .join(common_header_rows(kept.select("prev_id", "table_id"), placed, most, own_rows), ["prev_id", "table_id"], "left")
         .fillna(0, ["header_rows"])
     )
     rows = row_metrics(placed).join(segment_counts(placed), ["table_id", "row_idx"])
     columns = ["effective_cols", "actual_cols", "segments"]
     last = rows.select(F.col("table_id").alias("prev_id"), F.col("row_idx").alias("prev_last"), *[F.col(c).alias(f"l_{c}") for c in columns])
-    first = rows.select("table_id", F.col("row_idx").alias("header_rows"), *[F.col(c).alias(f"f_{c}") for c in columns])
+    first = rows if most is None else rows.where(F.col("row_idx") <= most)
+    first = first if own_rows is None else first.join(own_rows, "table_id").where("row_idx < own_rows")
+    first = first.select("table_id", F.col("row_idx").alias("header_rows"), *[F.col(c).alias(f"f_{c}") for c in columns])
     compared = sized.join(last, ["prev_id", "prev_last"], "left").join(first, ["table_id", "header_rows"], "left")
     boundary = F.lit(False)
     for c in columns:
@@ -270,10 +392,10 @@ def merge_chains(merges: DataFrame, tables: DataFrame) -> DataFrame:
     links = tables.select("table_id").join(merges.select("table_id", "prev_id"), "table_id", "left").select(
         "table_id", F.coalesce("prev_id", "table_id").alias("root_id"), F.when(F.col("prev_id").isNull(), 0).otherwise(1).alias("chain_pos")
     )
-    links = checkpointed(links)
+    links = written(links)
     while True:
         up = links.toDF("root_id", "__next", "__n")
-        after = checkpointed(
+        after = written(
             links.join(up, "root_id").select(
                 "table_id", F.col("__next").alias("root_id"), (F.col("chain_pos") + F.col("__n")).alias("chain_pos"),
                 (F.col("__next") != F.col("root_id")).alias("__moved"),
@@ -328,12 +450,12 @@ def pad_columns(cells: DataFrame, targets: DataFrame) -> DataFrame:
     row) and own_spans (column spans of the row that must look like it). A row shaped like the reference takes
     its column spans; any other has its last cell widened by the missing columns.
     """
-    placed = place_cells(cells)
+    placed = written(place_cells(cells))  # read four times below
     shape = F.sort_array(F.collect_list(F.struct("cell_idx", "colspan")))
     rows = placed.groupBy("table_id", "row_idx").agg(shape.alias("s")).select(
         "table_id", "row_idx", F.col("s.colspan").alias("spans"), F.size("s").alias("__n")
     ).join(row_metrics(placed).select("table_id", "row_idx", "effective_cols", "actual_cols"), ["table_id", "row_idx"])
-    told = placed.join(rows, ["table_id", "row_idx"]).join(targets, "table_id", "left")
+    told = placed.join(written(rows), ["table_id", "row_idx"]).join(targets, "table_id", "left")
     narrow = (
         (F.col("row_idx") >= F.col("first_row")) & (F.col("effective_cols") < F.col("target_cols"))
         & (F.col("actual_cols") < F.col("target_cols"))
@@ -356,7 +478,7 @@ def continue_cells(merged: DataFrame, boundaries: DataFrame) -> DataFrame:
     continue). A source cell is emptied once moved, and the row goes when nothing visible is left in it;
     blank cells spanning further down move to the next row with one row less.
     """
-    placed = checkpointed(place_cells(merged))  # read by both sides of the move
+    placed = written(place_cells(merged))  # read by both sides of the move
     flagged = boundaries.select("table_id", F.col("row_idx").alias("src_row"), F.posexplode("flags").alias("vcol", "flag")).where("flag = 1")
     wide = placed.select(
         "table_id", "row_idx", "cell_idx", "text", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)).alias("vcol")
@@ -381,7 +503,7 @@ def continue_cells(merged: DataFrame, boundaries: DataFrame) -> DataFrame:
     heads = boundaries.select("table_id", "row_idx").withColumn("__head", F.lit(True))
     blank_rows = (
         updated.join(heads, ["table_id", "row_idx"], "left_semi").groupBy("table_id", "row_idx")
-        .agg(F.max(F.trim("text") != "").alias("__any")).where("not __any").select("table_id", "row_idx").withColumn("__drop", F.lit(True))
+        .agg(F.max(~says_nothing(F.col("text"))).alias("__any")).where("not __any").select("table_id", "row_idx").withColumn("__drop", F.lit(True))
     )
     marked = updated.join(blank_rows, ["table_id", "row_idx"], "left")
     carried = marked.where("__drop and rowspan > 1").withColumns({"row_idx": F.col("row_idx") + 1, "rowspan": F.col("rowspan") - 1})
@@ -400,7 +522,7 @@ def clip_blank_spans(part: DataFrame, carried: DataFrame) -> DataFrame:
 
     part: placed cells of the part's data rows, rows counted from 0; carried: table_id, row_offset, col.
     """
-    blank = (F.col("rowspan") > 1) & (F.trim("text") == "")
+    blank = (F.col("rowspan") > 1) & says_nothing(F.col("text"))
     keys = ["table_id", "row_idx", "cell_idx"]
     squares = part.where(blank).select(
         *keys, "rowspan", "colspan",

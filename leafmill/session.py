@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+INFERENCE = "spark.sql.constraintPropagation.enabled"
+
+
 def get_session(app: str = "leafmill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE with skew handling)."""
     builder = SparkSession.builder.appName(app)
@@ -42,6 +46,25 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a Parquet table below the shared checkpoint folder.
+
+    For jobs of many steps on wide expressions: a checkpoint keeps what the optimizer inferred about its columns, expressions and
+    all, a table read back starts with nothing. While the table is written no constraints are inferred either; on folds and
+    spans that takes the optimizer longer than the job and prunes nothing.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/step-{uuid.uuid4().hex}"
+    infer = spark.conf.get(INFERENCE)
+    spark.conf.set(INFERENCE, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(INFERENCE, infer)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on columns that are expensive to compute.
 
