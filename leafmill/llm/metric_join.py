@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.components import components
 from leafmill.llm.near_dedup import _forest
-from leafmill.llm.tables import parts, written
+from leafmill.llm.tables import parts, with_keys, written
 
 BLOCK_ROWS = 8192
 #: Rows for each pivot, and the most pivots (they are sent to every task).
@@ -33,10 +33,13 @@ SLACK = 1e-7
 
 
 def clean_vectors(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """``id, v`` (array of doubles) of the vectors that can take part: not null, not zero, every component finite."""
+    """``id, v`` (array of doubles) of the vectors that can take part: an id, not null, not zero, every component finite, and of the most
+    frequent length (of equally frequent ones the longest)."""
     v = F.col(vector_column).cast("array<double>")
     good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    return table.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(good & F.col("id").isNotNull())
+    rows = table.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(good & F.col("id").isNotNull())
+    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return rows if length is None else rows.where(F.size("v") == length["d"])
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -172,21 +175,24 @@ def _join_cell(cosine: float):
 def near_vectors(table: DataFrame, cosine: float = 0.9, pivots: int | None = None, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row.
 
-    A link is a pair of different rows with a cosine of ``cosine`` (above 0) or more in double precision. ``n_links`` counts the links of a row,
-    ``component_id`` is the smallest id it reaches by links, ``kept`` marks the row that has it. Vectors that are null, zero
-    or hold null or non-finite components link with nothing; so do rows without an id, whose component is null. All others
-    must have one length. Ids are unique. An empty table gives an empty table. Other columns are ignored.
+    A link is a pair of different vectors with a cosine of ``cosine`` (above 0) or more in double precision. ``n_links`` counts the links of a
+    vector, ``component_id`` is the smallest id it reaches by links, ``kept`` marks rows that have it. Rows that repeat an id with the
+    same vector are one vector, each is returned with its result; with another vector they are vectors of their own. Vectors that are null,
+    zero, of another length than most or hold null or non-finite components link with nothing; so do rows without an id, whose component
+    is null. An empty table gives an empty table. Other columns are ignored.
     """
     spark = table.sparkSession
     good = clean_vectors(table, id_column, vector_column)
-    keyed = written(good.withColumn("h", F.xxhash64("v")), "vectors")
+    told = with_keys(good.withColumn("h", F.xxhash64("v")).withColumn("print", F.col("h").cast("string")), "id", "print")
+    keyed = written(told.select("id", "key", "h", "v"), "vectors")
     # equal vectors: one of them stands for all, with their number
-    groups = keyed.groupBy("h", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    stand = written(groups.select("id", "n", "v"), "stand")
+    once = keyed.dropDuplicates(["key"])
+    groups = once.groupBy("h", "v").agg(F.min("key").alias("id"), F.min_by("id", "key").alias("own"), F.count(F.lit(1)).alias("n"))
+    stand = written(groups.select("id", "own", "n", "h", "v"), "stand")
     if pivots is None:
         pivots = min(MOST_PIVOTS, parts(stand.count(), PIVOT_ROWS))
     sample = stand.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
-    result = table.select(F.col(id_column).cast("long").alias("vec_id"))
+    result = table.select(F.col(id_column).cast("long").alias("vec_id"), F.xxhash64(F.col(vector_column).cast("array<double>")).alias("vec_h"))
     if not sample:
         return result.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     p = apart(units(np.array([r["v"] for r in sample], np.float64)))
@@ -211,10 +217,11 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, pivots: int | None = Non
     met = written(dealt.groupBy("cell", "x", "y").applyInArrow(_join_cell(cosine), "a long, b long, links long"), "links")
     counts = met.where("links >= 0").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     tree = components(met.where("links < 0").select("a", "b"))
-    of_stand = stand.select("id", "n").join(counts, "id", "left").join(tree, "id", "left").select(F.col("id").alias("stand"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    members = keyed.join(groups.select("h", "v", F.col("id").alias("stand")), ["h", "v"]).select("id", "stand")
-    told = members.join(of_stand, "stand")
-    return result.join(told, result["vec_id"] == told["id"], "left").select(
+    of_stand = stand.select("id", "n", "h", "v").join(counts, "id", "left").join(tree, "id", "left")
+    of_stand = of_stand.select("h", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("root"))
+    named = of_stand.join(stand.select(F.col("id").alias("root"), F.col("own").alias("component_id")), "root").drop("root")
+    told = keyed.dropDuplicates(["key"]).join(named, ["h", "v"]).select("id", F.col("h").alias("h"), "n_links", "component_id")
+    return result.join(told, (F.col("vec_id") == F.col("id")) & (F.col("vec_h") == F.col("h")), "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),

@@ -142,11 +142,13 @@ def mix_sources(
     id_column: str = "doc_id",
     text_column: str = "text",
     source_column: str = "source",
+    row_column: str | None = None,
 ) -> Mix:
     """Mix the sources of ``docs`` to target weights.
 
     A null source is a source of its own, the last one. Null and empty texts have size 0 and are never taken. Rows that
-    repeat an id are separate documents. An empty table gives empty results. Other columns are ignored.
+    repeat an id are separate documents; ``row_column`` may hold a number that tells rows apart, which ``row`` then is. An empty
+    table gives empty results. Other columns are ignored.
     """
     name = F.col(source_column).cast("string")
     rows = written(
@@ -156,9 +158,11 @@ def mix_sources(
             F.coalesce(name, F.lit("")).alias("name"),
             word_count(F.col(text_column)).alias("size"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))).cast("binary")).alias("h"),
+            *([] if row_column is None else [F.col(row_column).alias("own_row")]),
         )
         .withColumn("slot", F.substring("h", 1, slot_digits))
-        .withColumn("row", F.monotonically_increasing_id()),
+        .withColumn("row", F.monotonically_increasing_id() if row_column is None else F.col("own_row"))
+        .drop("own_row"),
         "mix",
     )
     slots = rows.groupBy("absent", "name", "slot").agg(F.sum("size").alias("slot_size"))

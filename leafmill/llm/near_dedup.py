@@ -23,18 +23,13 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import textbytes as tb
 from leafmill.llm.components import components
-from leafmill.llm.tables import parts, written
+from leafmill.llm.tables import parts, with_keys, written
 
 UNIT_BYTES = 1 << 20
 BLOCK_DOCS = 256
 _PART = 4096
 
 
-def text_key(id_column: str, text_column: str):
-    """Documents without an id are told apart by their text."""
-    return F.coalesce(F.col(id_column).cast("long"), F.xxhash64(F.lit("no id"), F.col(text_column).isNull(), F.col(text_column)))
-
-
 # --- weights -------------------------------------------------------------------------------------------------------
 
 
@@ -233,13 +228,13 @@ def similar_pairs(row, shingle, idf, count, n: int, pairs: tuple[np.ndarray, np.
         shared = np.bincount(name) > 1
         keep = shared[name]
         column = (np.cumsum(shared) - 1)[name[keep]]
-        r, v = row[rep[keep]], np.sqrt(idf[rep[keep]]).astype(np.float32)
+        r, v = row[rep[keep]], np.sqrt(idf[rep[keep]])
         order = np.argsort(column, kind="stable")
         column, r, v = column[order], r[order], v[order]
         grid = np.zeros((n, n), np.float64)
         for lo in range(0, int(shared.sum()), 4096):
             p, q = np.searchsorted(column, lo), np.searchsorted(column, lo + 4096)
-            x = np.zeros((n, 4096), np.float32)
+            x = np.zeros((n, 4096))
             x[r[p:q], column[p:q] - lo] = v[p:q]
             grid += x @ x.T
         common = grid[a, b]
@@ -276,20 +271,21 @@ def _verifier(idf, width: int, threshold: float):
     return verify
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 12, rows: int = 4, bits: int = 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Classes of near-duplicate documents: ``doc_id, class_id, kept`` for every row.
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 14, rows: int = 4, bits: int = 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Classes of near-duplicate documents: ``doc_id, key, class_id, kept`` for every row.
 
     Links are pairs of texts with a weighted Jaccard similarity of ``threshold`` or more over shingles of ``width`` words (a
     text with fewer words is one shingle), found with probability 1 - (1 - s ** rows) ** bands for similarity s. A class is a
-    component of links; ``class_id`` is its smallest id and ``kept`` marks that document. Equal texts are always in one
-    class, empty and null ones too (null counts as empty); other texts without a word link with nothing. A document without an
-    id gets one from its text. Rows that repeat an id are one document. An empty table gives an empty table.
+    component of links; ``class_id`` is the smallest id in it (a hash of its first text where none has an id) and ``kept`` marks its first
+    document. Equal texts are always in one class, empty and null ones too (null counts as empty); other texts without a word link
+    with nothing. Rows that repeat an id, or null, with the same text are one document, with different texts they are different ones:
+    ``key`` tells them apart, as ``with_keys`` numbers them. Null ids come last. Other columns are ignored. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_key(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
+    texts = with_keys(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
     idf = spark.sparkContext.broadcast(inverse_frequency(word_frequencies(texts, bits), texts.count()))  # 2 ** bits floats
     sketches = written(texts.mapInArrow(_sketcher(idf, bands, rows, width), "doc_id long, key long, digest binary, bytes long, bands array<long>"), "sketches")
-    reps = written(sketches.groupBy("digest").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "reps")
+    reps = written(sketches.groupBy("digest").agg(F.min("key").alias("rep"), F.min_by("doc_id", "key").alias("rep_id"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "reps")
     members = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     leaders = members.groupBy("band", "bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     links = members.join(leaders, ["band", "bucket"]).where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
@@ -308,5 +304,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     shipped = texts.select("key", "text").join(met, "key").dropDuplicates(["key", "cluster", "block", "unit"])
     edges = shipped.groupBy("unit").applyInArrow(_verifier(idf, width, threshold), "a long, b long")
     classes = components(edges)
-    resolved = reps.join(classes, reps["rep"] == classes["id"], "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    return sketches.join(resolved, "digest").select("doc_id", "key", "class_id", (F.col("key") == F.col("class_id")).alias("kept"))
+    resolved = reps.join(classes, reps["rep"] == classes["id"], "left").select("digest", F.coalesce("component", "rep").alias("class_key"))
+    named = reps.select(F.col("rep").alias("class_key"), F.coalesce("rep_id", F.xxhash64("digest")).alias("class_id"))
+    told = sketches.join(resolved.join(named, "class_key"), "digest")
+    return told.select("doc_id", "key", "class_id", (F.col("key") == F.col("class_key")).alias("kept"))

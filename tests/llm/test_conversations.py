@@ -1,6 +1,5 @@
 """Conversation repair against a plain dynamic program over suffixes and a sequential model of the whole query."""
 
-import functools
 import hashlib
 import random
 import re
@@ -16,25 +15,27 @@ MARK = re.compile(r"[^\x20\x09-\x0D]")
 def least(turns, start, ends):
     """Least (cost, audit) by suffixes; at most one more insert than the pattern has states is ever of use in a row."""
 
-    @functools.lru_cache(None)
-    def rest(i, s, inserted):
-        ways = [(0, "")] if i == len(turns) and s in ends else []
-        if inserted < 3:
-            ways.append(rest(i, THEN[s], inserted + 1) and (3 + rest(i, THEN[s], inserted + 1)[0], "I" + rest(i, THEN[s], inserted + 1)[1]))
-        if i < len(turns):
-            initial, fault = turns[i]
-            extra = 3 * (fault == CUT)
-            steps = [(s, 4, "D")]
-            if fault != GONE:
-                steps += [(THEN[s], extra, "K")] if initial == ASKS[s] else []
-                steps += [(1, extra, "K")] if initial == "s" and s == 0 else []
-                steps.append((THEN[s], 3 + extra, "R"))
-            for t, cost, audit in steps:
-                after = rest(i + 1, t, 0)
-                ways.append(after and (cost + after[0], audit + after[1]))
-        return min((w for w in ways if w), default=None)
-
-    return rest(0, start, 0)
+    after = None
+    for i in range(len(turns), -1, -1):
+        plain = []
+        for s in range(4):
+            ways = [(0, "")] if i == len(turns) and s in ends else []
+            if i < len(turns):
+                initial, fault = turns[i]
+                extra = 3 * (fault == CUT)
+                steps = [(s, 4, "D")]
+                if fault != GONE:
+                    steps += [(THEN[s], extra, "K")] if initial == ASKS[s] else []
+                    steps += [(1, extra, "K")] if initial == "s" and s == 0 else []
+                    steps.append((THEN[s], 3 + extra, "R"))
+                ways += [(cost + after[t][0], audit + after[t][1]) for t, cost, audit in steps if after[t]]
+            plain.append(min(ways, default=None))
+        best = plain
+        for _ in range(3):
+            inserted = [best[THEN[s]] and (3 + best[THEN[s]][0], "I" + best[THEN[s]][1]) for s in range(4)]
+            best = [min([w for w in (plain[s], inserted[s]) if w], default=None) for s in range(4)]
+        after = best
+    return after[start]
 
 
 def test_search_against_suffixes():

@@ -197,6 +197,23 @@ def test_large_cluster_of_near_copies(spark):
     assert sizes[:50] == [1] * 50 and sizes[-1] >= 395  # more than one block
 
 
+def test_near_copies_in_rows_that_share_an_id(spark, tmp_path):
+    """Rows of one id, or of none, with different texts are documents of their own, in the operator and in the pipeline's stage."""
+    import corpus_pipeline
+    from leafmill.llm.near_dedup import near_duplicates
+
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [(1, a), (7, a + " one"), (7, b + " one"), (2, b), (None, c), (None, d), (3, d + " two"), (9, c), (9, c)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["class_id"], r["kept"]) for r in near_duplicates(table).collect())
+    want = [(1, 1, True), (7, 1, False), (7, 2, False), (2, 2, True), (None, 9, False), (None, 3, False), (3, 3, True), (9, 9, True), (9, 9, True)]
+    assert got == collections.Counter(want)
+    stayed = corpus_pipeline.keep_one_of_near_copies(spark, table, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in stayed) == sorted([(1, a), (2, b), (3, d + " two"), (9, c)])
+    lonely = near_duplicates(spark.createDataFrame([(None, a), (None, b), (None, a + " one")], "doc_id long, text string")).collect()
+    assert len({r["class_id"] for r in lonely}) == 2 and all(r["class_id"] is not None for r in lonely) and sum(r["kept"] for r in lonely) == 2
+
+
 def brute_repeats(rows, length):
     seen, out = {}, {}
     for d, text in rows:
@@ -233,7 +250,6 @@ def test_repeated_bytes(docs, none, documents, length, often, split, monkeypatch
 
 
 def test_repeats_in_rows_that_share_an_id(spark):
-    from leafmill.llm.near_dedup import text_key
     from leafmill.llm.suffix_dedup import remove_repeats
 
     rng = random.Random(5)
@@ -244,7 +260,6 @@ def test_repeats_in_rows_that_share_an_id(spark):
     got = {(r["doc_id"], r["text"]): r["n_removed"] for r in remove_repeats(table.withColumn("t", F.col("text")), carry=["t"]).withColumnRenamed("t", "text").collect()}
     want = {row: 0 for row in rows} | {rows[1]: 400, rows[5]: 300}
     assert got == want
-    assert table.select(text_key("doc_id", "text")).where("doc_id is null or doc_id = 42").distinct().count() == 4
 
 
 def test_suffix_array():
@@ -364,6 +379,17 @@ def test_metric_join(spark, monkeypatch):
     assert metric_join.near_vectors(table.limit(0)).count() == 0
 
 
+def test_metric_join_with_repeated_ids_and_lengths(spark):
+    from leafmill.llm import metric_join
+
+    v, w, x = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [1.0, 0.05, 0.1]
+    rows = [(1, v), (1, v), (2, w), (2, x), (3, w), (4, [1.0, 0.0]), (4, v), (None, v), (5, None)]
+    got = collections.Counter(tuple(r) for r in metric_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    # 1 and 4 hold v, one of the rows of 2 holds x beside them; the other one holds w as 3 does
+    want = [(1, 2, 1, True)] * 2 + [(2, 1, 2, True), (2, 2, 1, False), (3, 1, 2, False), (4, 0, 4, True), (4, 2, 1, False), (None, 0, None, False), (5, 0, 5, True)]
+    assert got == collections.Counter(want)
+
+
 def test_metric_join_with_parallel_pivots(spark):
     from leafmill.llm import metric_join
 
@@ -549,3 +575,23 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
                 assert {r["blob"] for r in rows} == {"b"}
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+#: Every name that a stage adds on its way.
+ADDED = ["toxicity", "offending", "__key", "kept", "shard", "round", "shuffle_key", "row", "own_row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_start"]
+ADDED += ["span_end", "carried0", "c0", "c1", "id", "y", "class_id", "class_key", "rep", "digest", "bands", "__id", "__text", "absent", "name", "slot", "block", "start"]
+
+
+def test_pipeline_stages_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, int(i == 12)) for i in range(30)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i % 9 if i < 12 else None, prose(40), "en", "ab"[i % 2], 1, *[f"{c}{i}" for c in ADDED]) for i in range(15)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in ADDED))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, str(tmp_path))
+        assert out.columns == table.columns
+        got = out.collect()
+        assert {r["shard"][5:] for r in got} <= {str(i) for i in range(15)} and all(r["row"][3:] == r["shard"][5:] for r in got)
+        # different texts under one id, or none, are different documents
+        assert {r["shard"] for r in got} == {f"shard{i}" for i in range(15)} or name == "source_mixing", name

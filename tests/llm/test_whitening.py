@@ -50,7 +50,7 @@ def test_whitening(spark):
 def test_fewer_dimensions_than_components(spark):
     rng = np.random.default_rng(3)
     low = rng.standard_normal((90, 3)) @ rng.integers(-4, 5, (3, 7))
-    check(spark, [[*np.round(v), 2.0, 0.0] for v in low.tolist()])  # constant columns, rank 3 at most 9
+    check(spark, [[*map(float, np.round(v)), 2.0, 0.0] for v in low.tolist()])  # constant columns, rank 3 at most 9
 
 
 def test_equal_eigenvalues(spark):
