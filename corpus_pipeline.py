@@ -12,51 +12,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.mixing import mix_sources
-from leafmill.llm.near_dedup import near_duplicates, text_key
+from leafmill.llm.near_dedup import near_duplicates
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.suffix_dedup import remove_repeats
-from leafmill.llm.tables import shared_folder
+from leafmill.llm.tables import shared_folder, with_keys, written
 from leafmill.llm.toxicity import fit_toxicity, score_toxicity
 
 #: No stage but the mix can be said in SQL: two train models or sample hashes, two work on bytes and token ids.
 ORACLE_SQL = None
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents under names c0, c1, … that no stage adds, and the name each column has got."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that the operator rejects: those with a score of one half or more.
 
     Learns from all labelled documents. Texts that are null, empty or without a word stay.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_toxicity(docs, fit_toxicity(docs, labels))
-    return scored.where(F.col("toxicity") < 0.5).select(docs.columns)
+    model = fit_toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    plain, names = _plain(docs)
+    scored = score_toxicity(plain, model, id_column=names["doc_id"], text_column=names["text"])
+    return scored.where(F.col("toxicity") < 0.5).select(*names.values()).toDF(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays; rows that repeat an id are one document."""
-    kept = near_duplicates(docs).where("kept").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", text_key("doc_id", "text")).join(kept, "__key").dropDuplicates(["__key"]).select(docs.columns)
+    """Of each class of near copies the document with the smallest id stays. Rows that repeat an id, or null, with the same text are one
+    document, with different texts they are different ones."""
+    plain, names = _plain(docs)
+    ident, text = names["doc_id"], names["text"]
+    kept = near_duplicates(plain, id_column=ident, text_column=text).where("kept").select("key").distinct()
+    keyed = with_keys(plain, ident, text)
+    return keyed.join(kept, "key").dropDuplicates(["key"]).select(*names.values()).toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut byte strings of 100 that occur earlier; a document of which nothing is left stays with an empty text."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = remove_repeats(docs.select("doc_id", "text", *others), keep_text=True, carry=others)
-    renewed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return cut.select(*[renewed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    plain, names = _plain(docs)
+    others = [n for c, n in names.items() if c not in ("doc_id", "text")]
+    cut = remove_repeats(plain, keep_text=True, carry=others, id_column=names["doc_id"], text_column=names["text"])
+    renewed = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*[renewed.get(c, F.col(n)).alias(n) for c, n in names.items()]).toDF(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (none to three times), by output shard, in the order of the shard.
 
     A document whose last words fall outside its source's target is taken whole, so texts stay whole; sources end at most one
-    document above their target. Documents without words are not taken.
+    document above their target. Documents without words are not taken. Every row is a document, whatever ids repeat.
     """
-    keyed = docs.withColumn("__key", text_key("doc_id", "text"))
-    mix = mix_sources(keyed, id_column="__key")
-    taken = mix.pieces.where("start = 0").select(F.col("doc_id").alias("__key"), "round", "shard", "shuffle_key").dropDuplicates(["__key", "round"])
-    rows = keyed.join(taken, "__key").repartition("shard").sortWithinPartitions("shard", "shuffle_key")
-    return rows.select(docs.columns)
+    plain, names = _plain(docs)
+    rows = written(plain.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    mix = mix_sources(rows, id_column=names["doc_id"], text_column=names["text"], source_column=names["source"], row_column="row")
+    taken = mix.pieces.where("start = 0").select("row", "round", "shard", "shuffle_key").dropDuplicates(["row", "round"])
+    shards = rows.join(taken, "row").repartition("shard").sortWithinPartitions("shard", "shuffle_key")
+    return shards.select(*names.values()).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
