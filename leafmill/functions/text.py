@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FULL_WIDTH_SHIFT = 0xFEE0
 
@@ -70,6 +71,65 @@ def object_md5(fields: dict[str, Column]) -> Column:
     return F.md5(canonical_json(fields))
 
 
+def _json_string(text: Column) -> Column:
+    """A JSON string with other than ASCII characters as they are and lower-case ``\\u`` escapes."""
+    quoted = F.regexp_extract(F.to_json(F.struct(text.alias("v"))), "(?s)^\\{\"v\":(.*)\\}$", 1)
+    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):  # escapes written with capital digits
+        quoted = F.regexp_replace(quoted, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\\\u00{code.lower()}")
+    return quoted
+
+
+def _json_double(value: Column) -> Column:
+    """The shortest digits that give the number back, without exponent from 1e-4 up to 1e16."""
+    java = value.cast("double").cast("string")
+    part = lambda n: F.regexp_extract(java, r"^-?(\d+)\.(\d+)(?:E(-?\d+))?$", n)
+    exponent = F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+    digits = F.rtrim(F.ltrim(F.concat(part(1), part(2)), F.lit("0")), F.lit("0"))
+    lead = F.length(part(2)) - F.length(F.ltrim(part(2), F.lit("0")))
+    x = exponent + F.when(part(1) == "0", -lead - 1).otherwise(F.length(part(1)) - 1)
+    n = F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), k)
+    plain = (
+        F.when(x >= n - 1, F.concat(digits, zeros(x - n + 1), F.lit(".0")))
+        .when(x >= 0, F.concat(F.substring(digits, F.lit(1), x + 1), F.lit("."), F.substring(digits, x + 2, n)))
+        .otherwise(F.concat(F.lit("0."), zeros(-x - 1), digits))
+    )
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+    power = F.concat(F.when(x < 0, "e-").otherwise("e+"), F.lpad(F.abs(x).cast("string"), F.greatest(F.lit(2), F.length(F.abs(x).cast("string"))), F.lit("0")))
+    sign = F.when(java.startswith("-"), "-").otherwise("")
+    number = F.when(n == 0, "0.0").when((x >= -4) & (x < 16), plain).otherwise(F.concat(F.substring(digits, 1, 1), tail, power))
+    return F.when(java.isin("NaN", "Infinity", "-Infinity"), java).otherwise(F.concat(sign, number))
+
+
+def canonical_value(value: Column, kind: T.DataType) -> Column:
+    """A value of any type as JSON, keys of structs and maps sorted at every depth, ``", "`` and ``": "`` between parts; null is ``null``.
+
+    The serializer follows the type: structs and maps become objects, arrays arrays; binary is base64, dates, times and decimals are strings.
+    """
+    if isinstance(kind, T.StructType):
+        parts = [F.concat(_json_string(F.lit(f.name)), F.lit(": "), canonical_value(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        out = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), canonical_value(e["value"], kind.valueType).alias("value"))))
+        out = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(_json_string(e["key"]), F.lit(": "), e["value"])), ", "), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(value, lambda e: canonical_value(e, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        out = _json_double(value)
+    elif isinstance(kind, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        out = value.cast("string")
+    elif isinstance(kind, T.BinaryType):
+        out = _json_string(F.base64(value))
+    else:
+        out = _json_string(value.cast("string"))
+    return F.when(value.isNull(), "null").otherwise(out)
+
+
+def typed_object_md5(rows: DataFrame, column: str) -> Column:
+    """MD5 of the canonical JSON of a column of ``rows``, nested as deep as its type."""
+    return F.md5(canonical_value(F.col(column), rows.schema[column].dataType))
+
+
 def escape_markdown(text: Column) -> Column:
     """Backslash before ``* _ ` ~ $`` that an even number of backslashes precedes."""
     return F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)([*_`~$])", r"$1\\$2")

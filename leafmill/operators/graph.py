@@ -49,6 +49,25 @@ def backlinks(resolved: DataFrame) -> DataFrame:
     )
 
 
+def link_index(links: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(page, kind, other): the link index of a wiki, a row for each entry.
+
+    ``forward``: a page of the wiki that the page links to; ``backlink``: a page that links to it; ``missing``: a name no page
+    has; ``external``: an address outside. Equal entries count once. A hub's entries are rows, never one array.
+    """
+    inside = resolved.where("resolved is not null")
+    parts = [
+        inside.select("page", F.lit("forward").alias("kind"), F.col("resolved").alias("other")),
+        inside.select(F.col("resolved").alias("page"), F.lit("backlink").alias("kind"), F.col("page").alias("other")),
+        resolved.where("resolved is null").select("page", F.lit("missing").alias("kind"), F.col("target").alias("other")),
+        links.where("external").select("page", F.lit("external").alias("kind"), F.col("target").alias("other")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.distinct()
+
+
 def link_lint(pages: DataFrame, resolved: DataFrame, phantom: int = 3) -> DataFrame:
     """(kind, name): broken links, orphans (no link in), dead ends (no link out), phantom hubs (missing pages
     named by at least three pages)."""
@@ -151,17 +170,61 @@ def shortest_paths(links: DataFrame, seeds: DataFrame, max_hops: int = 4) -> Dat
     return neighbourhood(links, seeds, max_hops).withColumnRenamed("depth", "hops")
 
 
+def typed_paths(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, direction: str = "both", types: list[str] | None = None) -> DataFrame:
+    """(node, hops, path, types, directions): a shortest path from the seeds (node) to every node within ``max_hops``.
+
+    edges: src, dst, type; ``types`` keeps some of them. ``path`` holds the nodes from the seed on, ``types`` and ``directions`` (``out``
+    along an edge, ``in`` against it) one entry a step. Of several last steps the one from the smallest node, then of the least
+    type and direction, is taken: a node keeps that pointer, found by a minimum that combines before the shuffle, and then
+    fetches the path of the node it points to, so a hub's edges never carry paths.
+    """
+    kept = edges if types is None else edges.where(F.col("type").isin(*types))
+    out = kept.select(F.col("src").alias("a"), F.col("dst").alias("b"), "type", F.lit("out").alias("direction"))
+    into = kept.select(F.col("dst").alias("a"), F.col("src").alias("b"), "type", F.lit("in").alias("direction"))
+    steps = {"out": out, "in": into, "both": out.unionByName(into)}[direction]
+    none = F.array().cast("array<string>")
+    seen = checkpointed(seeds.select("node").distinct().select("node", F.lit(0).alias("hops"), F.array("node").alias("path"), none.alias("types"), none.alias("directions")))
+    frontier = seen
+    for hop in range(1, max_hops + 1):
+        ends = frontier.select(F.col("node").alias("a"))
+        pointed = steps.join(ends, "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "type", "direction")).alias("step"))
+        fresh = pointed.join(seen.select("node"), "node", "left_anti").withColumn("a", F.col("step.a"))
+        before = frontier.select(F.col("node").alias("a"), F.col("path").alias("p"), F.col("types").alias("t"), F.col("directions").alias("d"))
+        frontier = checkpointed(
+            fresh.join(before, "a").select(
+                "node", F.lit(hop).alias("hops"), F.concat("p", F.array("node")).alias("path"),
+                F.concat("t", F.array("step.type")).alias("types"), F.concat("d", F.array("step.direction")).alias("directions"),
+            )
+        )
+        if frontier.isEmpty():
+            break
+        seen = seen.unionAll(frontier)
+    return seen
+
+
+def shared_members(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, member) for every member (node, member, distinct) that both ends of an edge (a, b, distinct) have.
+
+    Each edge lists the members of the end that has fewer and looks them up at the other end, so the rows are the sum of
+    the smaller sizes: a hub is looked up, by (hub, member), and listed only for edges to still larger hubs.
+    """
+    size = members.groupBy("node").agg(F.count("*").alias("n"))
+    sized = edges.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    lower = F.col("na") <= F.col("nb")
+    turned = sized.select("a", "b", F.when(lower, F.col("a")).otherwise(F.col("b")).alias("few"), F.when(lower, F.col("b")).otherwise(F.col("a")).alias("many"))
+    listed = turned.join(members.toDF("few", "member"), "few")
+    return listed.join(members.toDF("many", "member"), ["many", "member"]).select("a", "b", "member")
+
+
 def co_citation(links: DataFrame) -> DataFrame:
     """(a, b, co_citation) for linked pairs: shared in-links over the larger in-degree.
 
-    Only linked pairs matter, so the pairs meet the in-links of one end, then look the other end up: work is
-    edges × in-degree, not all pairs under a common source.
+    Only linked pairs matter; each meets the in-links of the end that has fewer.
     """
     edges = links.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     cited = links.select("src", "dst").distinct()
     inn = cited.groupBy("dst").agg(F.count("*").alias("n"))
-    one = edges.join(cited.select(F.col("dst").alias("a"), F.col("src").alias("s")), "a")
-    shared = one.join(cited.select(F.col("dst").alias("b"), F.col("src").alias("s")), ["b", "s"]).groupBy("a", "b").agg(F.count("*").alias("k"))
+    shared = shared_members(edges, cited.select(F.col("dst").alias("node"), F.col("src").alias("member"))).groupBy("a", "b").agg(F.count("*").alias("k"))
     sized = edges.join(shared, ["a", "b"], "left").join(inn.toDF("a", "na"), "a", "left").join(inn.toDF("b", "nb"), "b", "left")
     most = F.greatest(F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0)), F.lit(1))
     return sized.select("a", "b", (F.coalesce("k", F.lit(0)) / most).alias("co_citation"))
@@ -171,9 +234,7 @@ def _shared_sources(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(a, b, k, na, nb): sources the two ends share, and how many each has. sources: node, source."""
     s = sources.distinct()
     size = s.groupBy("node").agg(F.count("*").alias("n"))
-    shared = (
-        edges.join(s.toDF("a", "s"), "a").join(s.toDF("b", "s"), ["b", "s"]).groupBy("a", "b").agg(F.count("*").alias("k"))
-    )
+    shared = shared_members(edges, s.toDF("node", "member")).groupBy("a", "b").agg(F.count("*").alias("k"))
     return edges.join(shared, ["a", "b"], "left").join(size.toDF("a", "na"), "a", "left").join(size.toDF("b", "nb"), "b", "left")
 
 
@@ -201,11 +262,8 @@ def relevance(links: DataFrame, sources: DataFrame, affinity: Column, types: Dat
     edges = directed.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("direct"))
     near = undirected(links)
     deg = near.groupBy("a").agg(F.count("*").alias("d"))
-    weighted = near.join(deg.toDF("b", "d"), "b").select("a", F.col("b").alias("m"), (1 / F.log("d")).alias("w")).where("w is not null")
-    common = (
-        edges.select("a", "b").join(weighted, "a")
-        .join(near.select(F.col("a").alias("b"), F.col("b").alias("m")), ["b", "m"]).groupBy("a", "b").agg(F.sum("w").alias("aa"))
-    )
+    weight = deg.select(F.col("a").alias("member"), (1 / F.log("d")).alias("w")).where("w is not null")
+    common = shared_members(edges.select("a", "b"), near.toDF("node", "member")).join(weight, "member").groupBy("a", "b").agg(F.sum("w").alias("aa"))
     told = _shared_sources(edges.select("a", "b"), sources).select("a", "b", F.coalesce("k", F.lit(0)).alias("k"))
     typed = (
         edges.join(common, ["a", "b"], "left").join(told, ["a", "b"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import boxes as B
 from leafmill.operators.ordered import Scan, islands, scan
-from leafmill.session import checkpointed
+from leafmill.session import checkpointed, written
 
 ALONE = ("image", "table", "interline_equation")
 
@@ -247,25 +247,60 @@ def compose_transforms(groups: DataFrame, shapes: DataFrame) -> DataFrame:
     ).drop("sx", "sy", "tx", "ty")
 
 
+#: Children of a node of slabs; a rectangle ends inside two of them at most.
+FAN = 16
+
+
 def union_area(rects: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Area covered by the rectangles of a group, overlap counted once.
+    """Area covered by the rectangles of a group (x0, y0, x1, y1), overlap counted once; empty ones count nothing.
 
-    Vertical edges cut the group into slabs. A rectangle joins the slabs between its edges by their rank, and
-    y-intervals are merged per slab.
+    The vertical edges of a group cut it into slabs, ranges of slabs form a tree of ``FAN`` children a node. A rectangle goes down to
+    the children it touches. In a child that rectangles span from side to side their heights are merged and count with the
+    child's whole width; then those heights are taken out: the rectangles that end inside the child are moved up by what is covered
+    below them. What is left of them is new area in any case, so nothing is compared twice. A rectangle ends inside two children at most, so
+    the rows are n log n, whatever nests in what, and there are as many rounds as the tree is deep.
     """
-    edges = rects.select(*keys, F.explode(F.array("x0", "x1")).alias("x")).distinct()
-    w = Window.partitionBy(*keys).orderBy("x")
-    slabs = edges.withColumns({"r": F.row_number().over(w), "next": F.lead("x").over(w)})
-    ranks = slabs.select(*keys, F.col("x").alias("__x"), "r")
-    bounds = (
-        rects.join(ranks.withColumnsRenamed({"__x": "x0", "r": "r0"}), [*keys, "x0"])
-        .join(ranks.withColumnsRenamed({"__x": "x1", "r": "r1"}), [*keys, "x1"])
-        .where("r1 > r0")
-        .select(*keys, F.explode(F.sequence(F.col("r0"), F.col("r1") - 1)).alias("r"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))
-    )
-    heights = merge_intervals(bounds, [*keys, "r"]).groupBy(*keys, "r").agg(F.sum(F.col("hi") - F.col("lo")).alias("h"))
-    widths = slabs.where("next is not null").select(*keys, "r", (F.col("next") - F.col("x")).alias("w"))
-    return heights.join(widths, [*keys, "r"]).groupBy(*keys).agg(F.sum(F.col("h") * F.col("w")).alias("area"))
+    whole = rects.where("x0 < x1 and y0 < y1")
+    edges = whole.select(*keys, F.explode(F.array("x0", "x1")).alias("x")).distinct()
+    ranked = edges.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("x")) - 1)
+    ranked = written(ranked.withColumn("last", F.max("r").over(Window.partitionBy(*keys))))
+    at = lambda x, r: ranked.select(*keys, F.col("x").alias(x), F.col("r").alias(r))
+    told = whole.join(at("x0", "r0").join(ranked.select(*keys, "last").distinct(), list(keys)), [*keys, "x0"]).join(at("x1", "r1"), [*keys, "x1"])
+    open_ = written(told.select(*keys, "r0", "r1", "last", F.col("y0").alias("lo"), F.col("y1").alias("hi"), F.monotonically_increasing_id().alias("__id")))
+    width = 1
+    while width < (ranked.agg(F.max("last")).first()[0] or 0):
+        width *= FAN
+    covered = []
+    while True:
+        w = F.lit(width)
+        down = open_.withColumn("child", F.explode(F.sequence(F.expr(f"r0 div {width}"), F.expr(f"(r1 - 1) div {width}"))))
+        left, right = F.col("child") * w, F.least((F.col("child") + 1) * w, F.col("last"))
+        down = down.withColumn("spans", (F.col("r0") <= left) & (F.col("r1") >= right))
+        down = down.withColumns({"r0": F.greatest("r0", left), "r1": F.least("r1", right)})
+        side = lambda y, d, s: F.struct(F.col(y).alias("y"), F.when(F.col("spans"), d).otherwise(0).alias("d"), F.lit(s).alias("s"))
+        events = down.withColumn("e", F.explode(F.array(side("lo", 1, 0), side("hi", -1, 1)))).select("*", "e.*").drop("e")
+        sweep = Window.partitionBy(*keys, "child").orderBy("y")
+        depth = F.sum("d").over(sweep.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        step = events.withColumn("depth", depth).withColumn("next", F.lead("y").over(sweep))
+        step = step.withColumn("part", F.when((F.col("depth") > 0) & F.col("next").isNotNull(), F.col("next") - F.col("y")).otherwise(F.lit(0)))
+        below = F.coalesce(F.sum("part").over(sweep.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        swept = written(step.withColumn("y", F.col("y") - below).drop("depth", "next", "d", "lo", "hi"))
+        lengths = swept.groupBy(*keys, "child").agg(F.sum("part").alias("h"), F.max("last").alias("last")).where("h > 0")
+        covered.append(lengths.select(*keys, F.col("child") * w, F.least((F.col("child") + 1) * w, F.col("last")), "h").toDF(*keys, "r0", "r1", "h"))
+        if width == 1:
+            break
+        rest = swept.where("not spans").groupBy(*keys, "child", "__id").agg(
+            F.max("r0").alias("r0"), F.max("r1").alias("r1"), F.max("last").alias("last"),
+            F.max(F.when(F.col("s") == 0, F.col("y"))).alias("lo"), F.max(F.when(F.col("s") == 1, F.col("y"))).alias("hi"),
+        )
+        # a rectangle goes on under a number of its own in each child
+        open_ = rest.where("lo < hi").select(*keys, "r0", "r1", "last", "lo", "hi", F.xxhash64("__id", "child").alias("__id"))
+        width //= FAN
+    parts = covered[0]
+    for more in covered[1:]:
+        parts = parts.unionByName(more)
+    measured = parts.join(at("x0", "r0"), [*keys, "r0"]).join(at("x1", "r1"), [*keys, "r1"])
+    return measured.groupBy(*keys).agg(F.sum(F.col("h") * (F.col("x1") - F.col("x0"))).alias("area"))
 
 
 def background_pictures(pictures: DataFrame, texts: DataFrame, share: float = 0.1) -> DataFrame:
@@ -409,20 +444,3 @@ def _merge_back(main: DataFrame, held: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("page_id").orderBy("k", "s", "a", "b", "span_idx")
     return left.unionByName(right).select("page_id", "span_idx", F.row_number().over(w).alias("position"))
-
-
-def even_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[str], asked: int, workers: int, min_rows: int, cap: int) -> DataFrame:
-    """Contiguous ranges (first, last, n) of a group's rows, remainder in front: k = min(workers, asked, cap,
-    rows // min_rows), at least 1."""
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w)
-    k = F.greatest(F.lit(1), F.least(F.lit(workers), F.lit(asked), F.lit(cap), F.floor(n / min_rows)))
-    pos = F.row_number().over(w.orderBy(*order)) - 1
-    base, extra = F.floor(n / k), n % k
-    # the first `extra` ranges hold one row more
-    bucket = F.when(pos < extra * (base + 1), F.floor(pos / (base + 1))).otherwise(
-        extra + F.floor((pos - extra * (base + 1)) / base)
-    )
-    return rows.withColumn("range_idx", bucket).withColumn("__pos", pos).groupBy(*keys, "range_idx").agg(
-        F.min("__pos").alias("first"), F.max("__pos").alias("last"), F.count("*").alias("n")
-    )

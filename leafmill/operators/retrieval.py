@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.ordered import global_row_number
-from leafmill.session import where_computed
+from leafmill.session import where_computed, written
 
 _BLANK = " \t\r\n"
 
@@ -321,10 +321,22 @@ def token_match_score(query: str, title: Column, body: Column) -> Column:
 
 
 def budgeted(items: DataFrame, group: Sequence[str], budget: Column | int, score: str = "score", key: str = "doc_id", size: str = "size") -> DataFrame:
-    """Items by falling score per group while their running length fits the budget."""
-    w = Window.partitionBy(*group).orderBy(F.col(score).desc(), key).rowsBetween(Window.unboundedPreceding, 0)
+    """Items by falling score per group (ties by ``key``) while their running length fits the budget; sizes are not negative.
+
+    Rows are dealt out by ranges of (group, score), so a group of any size is spread over tasks. The lengths of the ranges, a row for
+    each group in a range, give the length before each; ranges that begin beyond the budget are left out unread.
+    """
+    order = [F.col(score).desc(), F.col(key)]
+    ranged = written(items.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
+    keys = [F.struct(F.lit(1), *group).alias("__g"), "__part"]  # a struct of nulls is no null
+    lengths = ranged.groupBy(*keys).agg(F.sum(size).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = lengths.select("__g", "__part", F.coalesce(before, F.lit(0)).alias("__before"))
     limit = F.lit(budget) if isinstance(budget, int) else budget
-    return items.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= limit)
+    told = ranged.withColumn("__g", keys[0]).join(starts, ["__g", "__part"]).where(F.col("__before") <= limit)
+    inside = Window.partitionBy("__g", "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = F.col("__before") + F.coalesce(F.sum(size).over(inside), F.lit(0))
+    return told.withColumn("running", running).where(F.col("running") <= limit).drop("__g", "__part", "__before")
 
 
 def confidence(evidence: DataFrame, pages: DataFrame, today: Column, stale_days: int = 90) -> DataFrame:

@@ -506,7 +506,9 @@ def continue_cells(merged: DataFrame, boundaries: DataFrame) -> DataFrame:
         .agg(F.max(~says_nothing(F.col("text"))).alias("__any")).where("not __any").select("table_id", "row_idx").withColumn("__drop", F.lit(True))
     )
     marked = updated.join(blank_rows, ["table_id", "row_idx"], "left")
-    carried = marked.where("__drop and rowspan > 1").withColumns({"row_idx": F.col("row_idx") + 1, "rowspan": F.col("rowspan") - 1})
+    # below the last row there is nothing left to align
+    ends = placed.groupBy("table_id").agg(F.max("row_idx").alias("__end"))
+    carried = marked.where("__drop and rowspan > 1").join(ends, "table_id").where("row_idx < __end").drop("__end").withColumns({"row_idx": F.col("row_idx") + 1, "rowspan": F.col("rowspan") - 1})
     stay = marked.where("__drop is null")
     rows = stay.unionByName(carried)
     cell = Window.partitionBy("table_id", "row_idx").orderBy("col", "cell_idx")

@@ -282,6 +282,15 @@ def backlink_index(spark, sf):
     return G.backlinks(resolved(spark, sf)[0]).select("target", F.array_join("sources", "|").alias("sources"), "n")
 
 
+@query("link_index", f"""with {LINKED} select resolved as page, 'backlink' as kind, page as other from rs where resolved is not null union select page, 'forward', resolved from rs where resolved is not null
+union select page, 'missing', target from rs where resolved is null
+union select page, 'external', 'https://e.org/' from pg join l on l.page_id = pg.page_id""")
+def link_index(spark, sf):
+    pages = wiki_pages(spark, sf)
+    found = G.extract_links(pages)
+    return G.link_index(found, G.resolve_links(found, pages))
+
+
 @query("link_lint", f"""with {LINKED} select 'broken_link' as kind, page || ' -> ' || target as name from rs where resolved is null
 union all select 'orphan', page from nm where page not in (select resolved from rs where resolved is not null)
 union all select 'dead_end', page from nm where page not in (select page from rs where resolved is not null)
@@ -364,6 +373,22 @@ def graph_shortest_paths(spark, sf):
     return G.shortest_paths(links(spark, sf), seeds)
 
 
+@query("graph_typed_paths", """with recursive e as (select distinct src, dst, case (src + dst) % 3 when 0 then 'cites' when 1 then 'extends' else 'uses' end as type from links),
+ s as (select src as a, dst as b, type, 'out' as d from e where type <> 'uses' union all select dst, src, type, 'in' from e where type <> 'uses'),
+ r as (select p_partkey as node, 0 as hops from part where p_size = 1 union select s.b, r.hops + 1 from r join s on s.a = r.node where r.hops < 3),
+ lv as (select node, min(hops) as hops from r group by 1),
+ pt as (select lv.node, lv.hops, min(row(s.a, s.type, s.d)) as p from lv join s on s.b = lv.node join lv u on u.node = s.a and u.hops = lv.hops - 1 group by 1, 2),
+ w as (select node, hops, cast(node as varchar) as path, '' as steps from lv where hops = 0
+   union all select pt.node, pt.hops, w.path || '>' || pt.node, w.steps || '|' || pt.p[2] || ' ' || pt.p[3] from w join pt on pt.p[1] = w.node and pt.hops = w.hops + 1)
+select node, hops, path, steps from w""", uses=("links",))
+def graph_typed_paths(spark, sf):
+    kind = F.expr("case (src + dst) % 3 when 0 then 'cites' when 1 then 'extends' else 'uses' end")
+    seeds = table(spark, sf, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"))
+    found = G.typed_paths(links(spark, sf).withColumn("type", kind), seeds, 3, "both", ["cites", "extends"])
+    steps = F.array_join(F.zip_with("types", "directions", lambda t, d: F.concat(F.lit("|"), t, F.lit(" "), d)), "")
+    return found.select("node", "hops", F.array_join("path", ">").alias("path"), steps.alias("steps"))
+
+
 SIG = """ed as (select distinct least(src,dst) as a, greatest(src,dst) as b from links where src <> dst), ci as (select distinct src, dst from links),
  ind as (select dst, count(*) as n from ci group by 1),
  sh as (select ed.a, ed.b, count(*) as k from ed join ci x on x.dst=ed.a join ci y on y.dst=ed.b and y.src=x.src group by 1,2),

@@ -58,6 +58,18 @@ def text_hashes(spark, sf):
         X.object_md5({"lang": F.col("lang"), "doc": F.col("doc_id")}).alias("object_md5"))
 
 
+@query("nested_object_hashes", """
+select o_orderkey, md5('{"customer": {"id": ' || o_custkey || ', "rank": null, "tags": ["' || o_orderstatus || '", "' || o_orderpriority || '"]}, "flags": {"a": '
+  || case when o_custkey % 2 = 0 then 'true' else 'false' end || ', "b": false}, "half": ' || cast(o_custkey / 2.0 as double) || ', "price": ' || o_totalprice || ', "small": ' || case when o_custkey % 3 = 0 then '1e-07' else '0.0025' end || '}') as object_md5
+from orders""")
+def nested_object_hashes(spark, sf):
+    nested = table(spark, sf, "orders").selectExpr(
+        "o_orderkey",
+        "named_struct('small', if(o_custkey % 3 = 0, 1e-7, 25e-4), 'price', o_totalprice, 'half', o_custkey / 2, 'flags', map('b', false, 'a', o_custkey % 2 = 0), "
+        "'customer', named_struct('tags', array(o_orderstatus, o_orderpriority), 'id', o_custkey, 'rank', cast(null as int))) as o")
+    return nested.select("o_orderkey", X.typed_object_md5(nested, "o").alias("object_md5"))
+
+
 @query("markdown_escape", r"""
 select page_id, md5(array_to_string(list_transform(regexp_extract_all(html, '(?s)\\.|.'),
     lambda t: case when t in ('*', '_', '`', '~', '$') then '\' || t else t end), '')) as escaped,

@@ -200,13 +200,3 @@ def reading_order_xy_cut(spark, sf):
 @query("reading_order_xy_cut_cross_layout")
 def reading_order_xy_cut_cross_layout(spark, sf):
     return L.xy_cut_order(spans(spark, sf), beta=0.7)
-
-
-@query("even_page_ranges", """
-with d as (select l_suppkey as doc, count(*) as n from lineitem group by 1), k as (select *, greatest(1, least(4, 6, 8, n // 50)) as k from d),
- r as (select *, unnest(range(k)) as range_idx from k)
-select doc, range_idx, cast(range_idx * (n // k) + least(range_idx, n % k) as bigint) as first,
-  cast((range_idx+1) * (n // k) + least(range_idx+1, n % k) - 1 as bigint) as last, cast(n // k + (case when range_idx < n % k then 1 else 0 end) as bigint) as n from r""")
-def even_page_ranges(spark, sf):
-    li = derived(spark, sf, "lineitem").selectExpr("l_suppkey as doc", "l_orderkey", "l_partkey", "l_linenumber")
-    return L.even_ranges(li, ["doc"], ["l_orderkey", "l_partkey", "l_linenumber"], asked=6, workers=4, min_rows=50, cap=8)

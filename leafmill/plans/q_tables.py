@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.operators import tables as T
+from leafmill.operators.page_merge import merge_page_tables
 from leafmill.plans.registry import derived, query
-from leafmill.session import checkpointed
+from leafmill.session import checkpointed, written
 
 # cells one after the other, remembering occupied squares as row * 100 + column (spans are at most 2)
 PLACED = """with recursive o as (select *, row_number() over (partition by table_id order by row_idx, cell_idx) as n from cells),
@@ -77,6 +79,38 @@ def html_to_cells(spark, sf):
     return T.parse_cells(T.cells_to_html(cells(spark, sf)))
 
 
+NESTED = """with k as (select *, row_number() over (partition by table_id // 4 order by table_id) as r from (select distinct table_id from cells)),
+ c as (select cells.*, table_id // 4 as doc, r from cells join k using (table_id))"""
+for _r in (4, 3, 2, 1):
+    _inner = "c.text" if _r == 4 else f"c.text || case when c.row_idx = 0 and c.cell_idx = 0 then coalesce(h{_r + 1}.html, '') else '' end"
+    _join = "" if _r == 4 else f" left join h{_r + 1} on h{_r + 1}.doc = c.doc"
+    NESTED += f""",
+ c{_r} as (select c.doc, c.r, c.row_idx, c.cell_idx, {_inner} as text, c.rowspan, c.colspan from c{_join} where c.r = {_r}),
+ h{_r} as (select doc, '<table>' || string_agg('<tr>' || x || '</tr>', '' order by row_idx) || '</table>' as html from (
+   select doc, row_idx, string_agg('<' || t || case when rowspan > 1 then ' rowspan="' || rowspan || '"' else '' end || case when colspan > 1 then ' colspan="' || colspan || '"' else '' end
+     || '>' || text || '</' || t || '>', '' order by cell_idx) as x from (select *, case when row_idx = 0 then 'th' else 'td' end as t from c{_r}) group by 1, 2) group by 1)"""
+
+
+@query("nested_table_cells", NESTED + """, a as (select * from c1 union all select * from c2 union all select * from c3 union all select * from c4)
+select doc as table_id, r as table_no, r as depth, r - 1 as parent_no, case when r > 1 then 0 else -1 end as parent_row, case when r > 1 then 0 else -1 end as parent_cell,
+  row_idx, cell_idx, md5(text) as text_md5, rowspan, colspan from a""", uses=("cells",))
+def nested_table_cells(spark, sf):
+    """Four tables in each other: every next one lies in the first cell of the one before."""
+    c = cells(spark, sf).withColumn("doc", F.expr("table_id div 4"))
+    rank = F.dense_rank().over(Window.partitionBy("doc").orderBy("table_id"))
+    c = c.withColumn("r", rank).drop("table_id").withColumnRenamed("doc", "table_id")
+    html = None
+    for r in (4, 3, 2, 1):
+        here = c.where(F.col("r") == r)
+        if html is not None:
+            first = (F.col("row_idx") == 0) & (F.col("cell_idx") == 0)
+            here = here.join(html, "table_id", "left").withColumn("text", F.concat("text", F.when(first, F.coalesce("html", F.lit(""))).otherwise("")))
+        html = written(T.cells_to_html(here, escape=False))
+    found = T.parse_nested_cells(html)
+    parent = {c: F.coalesce(c, F.lit(d)) for c, d in (("parent_no", 0), ("parent_row", -1), ("parent_cell", -1))}
+    return found.withColumns({**parent, "text": F.md5("text")}).withColumnRenamed("text", "text_md5")
+
+
 @query("colspan_normalization", """
 with r as (select table_id, row_idx, sum(colspan) as w, max(rowspan) as mr from cells group by 1,2),
  f as (select table_id, w, count(*) n, min(row_idx) f0 from r group by 1,2),
@@ -171,6 +205,18 @@ def table_cell_continuation(spark, sf):
     return T.continue_cells(checkpointed(merged.drop("source_id")), checkpointed(starts))
 
 
+@query("table_merge_over_pages")
+def table_merge_over_pages(spark, sf):
+    """Documents of three pages: headers, padding, clipped spans and continued cells decided as the tables merge from the last page back."""
+    c, pages, _ = page_tables(spark, sf)
+    pages = pages.selectExpr("cast(floor(table_id / 3) as bigint) as doc_id", "table_id % 3 as page_idx", "block_idx", "type", "table_id", "x0", "x1")
+    notes = pages.selectExpr(
+        "table_id", "0 as note_idx", "case when table_id % 7 = 0 then 'footnote' else 'caption' end as kind",
+        "case when table_id % 10 = 0 then 'Table 4 (continued)' else 'Table 4' end as text", "table_id % 5 <> 0 as below")
+    flags = pages.where("table_id % 2 = 0").select("table_id", F.array(F.lit(1), F.lit(0), F.lit(1)).alias("flags"))
+    return merge_page_tables(c, pages, notes, flags).cells
+
+
 @query("table_column_padding")
 def table_column_padding(spark, sf):
     c = cells(spark, sf)

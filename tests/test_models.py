@@ -312,15 +312,6 @@ def test_similar_names_find_all_pairs(spark):
     assert {(r["name"], r["candidate"]): round(r["score"], 9) for r in got} == want
 
 
-def test_even_ranges_partition_the_pages(spark):
-    df = spark.range(103).select((F.col("id") % 3).alias("doc"), "id")
-    got = L.even_ranges(df, ["doc"], ["id"], asked=5, workers=4, min_rows=3, cap=9).orderBy("doc", "range_idx").collect()
-    for doc in range(3):
-        mine = [(r["first"], r["last"], r["n"]) for r in got if r["doc"] == doc]
-        assert mine[0][0] == 0 and all(b[0] == a[1] + 1 for a, b in zip(mine, mine[1:]))
-        assert [n for *_, n in mine] == sorted([n for *_, n in mine], reverse=True)
-
-
 def test_lines_cover_every_span_once(spark):
     boxes = random_boxes(6)
     df = boxes_frame(spark, boxes).withColumn("type", F.lit("text"))
