@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,30 +77,48 @@ def _json_string(text: Column) -> Column:
     """A JSON string with other than ASCII characters as they are and lower-case ``\\u`` escapes."""
     quoted = F.regexp_extract(F.to_json(F.struct(text.alias("v"))), "(?s)^\\{\"v\":(.*)\\}$", 1)
     for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):  # escapes written with capital digits
-        quoted = F.regexp_replace(quoted, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\\\u00{code.lower()}")
+        quoted = F.regexp_replace(quoted, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
     return quoted
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, whatever the number of mentions."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _json_double(value: Column) -> Column:
     """The shortest digits that give the number back, without exponent from 1e-4 up to 1e16."""
-    java = value.cast("double").cast("string")
-    part = lambda n: F.regexp_extract(java, r"^-?(\d+)\.(\d+)(?:E(-?\d+))?$", n)
-    exponent = F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
-    digits = F.rtrim(F.ltrim(F.concat(part(1), part(2)), F.lit("0")), F.lit("0"))
-    lead = F.length(part(2)) - F.length(F.ltrim(part(2), F.lit("0")))
-    x = exponent + F.when(part(1) == "0", -lead - 1).otherwise(F.length(part(1)) - 1)
-    n = F.length(digits)
     zeros = lambda k: F.repeat(F.lit("0"), k)
-    plain = (
-        F.when(x >= n - 1, F.concat(digits, zeros(x - n + 1), F.lit(".0")))
-        .when(x >= 0, F.concat(F.substring(digits, F.lit(1), x + 1), F.lit("."), F.substring(digits, x + 2, n)))
-        .otherwise(F.concat(F.lit("0."), zeros(-x - 1), digits))
-    )
-    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
-    power = F.concat(F.when(x < 0, "e-").otherwise("e+"), F.lpad(F.abs(x).cast("string"), F.greatest(F.lit(2), F.length(F.abs(x).cast("string"))), F.lit("0")))
-    sign = F.when(java.startswith("-"), "-").otherwise("")
-    number = F.when(n == 0, "0.0").when((x >= -4) & (x < 16), plain).otherwise(F.concat(F.substring(digits, 1, 1), tail, power))
-    return F.when(java.isin("NaN", "Infinity", "-Infinity"), java).otherwise(F.concat(sign, number))
+
+    def shortest(number: Column) -> Column:
+        # the string form may have a digit too many: fewer do where they read back as the same number
+        cut = F.regexp_replace(number.cast("string"), r"^(-?\d+\.\d+)\d(E.*)?$", "$1$2")
+        fewer = [*[F.format_string(f"%.{n}e", number) for n in (14, 15)], cut]
+        plain = (F.abs(number) < float("inf")) & (number != 0)
+        return F.coalesce(*[F.when(plain & (text.try_cast("double") == number), text) for text in fewer], number.cast("string"))
+
+    def parsed(text: Column) -> Column:
+        part = lambda n: F.regexp_extract(text, r"^-?(\d+)\.(\d+)(?:[eE]\+?(-?\d+))?$", n)
+        exponent = F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+        lead = F.length(part(2)) - F.length(F.ltrim(part(2), F.lit("0")))
+        point = exponent + F.when(part(1) == "0", -lead - 1).otherwise(F.length(part(1)) - 1)
+        digits = F.rtrim(F.ltrim(F.concat(part(1), part(2)), F.lit("0")), F.lit("0"))
+        return F.struct(text.alias("text"), digits.alias("d"), point.alias("x"), F.when(text.startswith("-"), "-").otherwise("").alias("sign"))
+
+    def shown(p: Column) -> Column:
+        d, x, n = p["d"], p["x"], F.length(p["d"])
+        plain = (
+            F.when(x >= n - 1, F.concat(d, zeros(x - n + 1), F.lit(".0")))
+            .when(x >= 0, F.concat(F.substring(d, F.lit(1), x + 1), F.lit("."), F.substring(d, x + 2, n)))
+            .otherwise(F.concat(F.lit("0."), zeros(-x - 1), d))
+        )
+        tail = F.when(n > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), n))).otherwise("")
+        size = F.abs(x).cast("string")
+        power = F.concat(F.when(x < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
+        number = F.when(n == 0, "0.0").when((x >= -4) & (x < 16), plain).otherwise(F.concat(F.substring(d, F.lit(1), F.lit(1)), tail, power))
+        return F.when(p["text"].isin("NaN", "Infinity", "-Infinity"), p["text"]).otherwise(F.concat(p["sign"], number))
+
+    return _with(value.cast("double"), lambda number: _with(_with(shortest(number), parsed), shown))
 
 
 def canonical_value(value: Column, kind: T.DataType) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.operators.statistics import STATISTICS, statistics_of
+from leafmill.session import written
 
 COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
     ">": operator.gt,
@@ -190,8 +191,16 @@ def apply_operation(df: DataFrame, step: dict[str, Any], order: Sequence[str] =
 
 
 def run_operations(df: DataFrame, operations: Sequence[dict[str, Any]], order: Sequence[str] = ()) -> DataFrame:
-    """Fold the operations in order into one lazy plan."""
-    return reduce(lambda acc, step: apply_operation(acc, step, order), operations, df)
+    """Fold the operations in order into one lazy plan.
+
+    A filter that compares with a statistic reads its input twice, for the statistic and for the filter: what the steps
+    before it make is written first, so that no step runs again.
+    """
+    for i, step in enumerate(operations):
+        if i and any(_needs_statistic(c) for c in step.get("conditions") or () if isinstance(c, dict) and "column" in c):
+            df = written(df)
+        df = apply_operation(df, step, order)
+    return df
 
 
 def _metric_row(rows_in: Column, rows_out: Column) -> list[Column]:
@@ -204,10 +213,14 @@ def _metric_row(rows_in: Column, rows_out: Column) -> list[Column]:
 
 
 def stage_metrics(df: DataFrame, operations: Sequence[dict[str, Any]], order: Sequence[str] = ()) -> DataFrame:
-    """Rows in, out, removed and retention per stage, as a lazy DataFrame."""
+    """Rows in, out, removed and retention per stage.
+
+    Every stage but the last is written, so each step runs once; ``observe_operations`` counts without that in the run of a sink.
+    """
     stages = [df]
-    for step in operations:
-        stages.append(apply_operation(stages[-1], step, order))
+    for i, step in enumerate(operations):
+        done = apply_operation(stages[-1], step, order)
+        stages.append(written(done) if i + 1 < len(operations) else done)
     counts = [
         s.agg(F.count("*").alias("rows")).select(F.lit(i).alias("stage"), "rows") for i, s in enumerate(stages)
     ]

@@ -225,6 +225,15 @@ def cosine_top_k_per_group(vectors: DataFrame, queries: DataFrame, group: str, k
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def rerank_hits(hits: DataFrame, lexical: DataFrame, keep: int = 12, weight: float = 0.5) -> DataFrame:
+    """The second cut after ``cosine_top_k``: of the hits (doc_id, score) the ``keep`` best by ``weight`` × similarity + (1 - ``weight``) × lexical
+    score over the best lexical score of the hits. lexical: doc_id, score; a hit without one counts 0. Ties by id."""
+    told = hits.select("doc_id", "score").join(lexical.select("doc_id", F.col("score").alias("__l")), "doc_id", "left")
+    best = F.max("__l").over(Window.partitionBy())  # a row for each hit
+    share = F.when(best > 0, F.coalesce("__l", F.lit(0.0)) / best).otherwise(0.0)
+    return told.withColumn("score", weight * F.col("score") + (1 - weight) * share).drop("__l").orderBy(F.col("score").desc(), "doc_id").limit(keep)
+
+
 def rank_scores(scores: DataFrame, out: str) -> DataFrame:
     """1-based rank over the whole table by falling score, ids on ties, without a one-task sort."""
     return global_row_number(scores, [F.col("score").desc(), F.col("doc_id")], out).select("doc_id", (F.col(out) + 1).alias(out))
@@ -297,10 +306,20 @@ STOP_WORDS = ["a", "an", "and", "are", "in", "is", "of", "on", "or", "the", "to"
 TITLE_BONUS = 10
 
 
-def query_tokens(text: Column) -> Column:
-    """Search tokens: words without stop words; CJK runs whole, as pairs and as single characters."""
+# Endings that a stem does without.
+STEM_ENDINGS = ["ings", "ing", "edly", "ed", "ies", "es", "ly", "s"]
+
+
+def stem(word: Column) -> Column:
+    """An English word without its ending, where three letters or more are left."""
+    return F.regexp_replace(word, rf"^([a-z]{{3,}}?)({'|'.join(STEM_ENDINGS)})$", "$1")
+
+
+def query_tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS, stems: bool = False) -> Column:
+    """Search tokens: words without stop words, with ``stems`` cut to their stems; CJK runs whole, as pairs and as single characters."""
     lower = F.lower(text)
-    words = F.filter(F.regexp_extract_all(lower, F.lit(r"([a-z0-9]+)"), F.lit(1)), lambda w: ~w.isin(*STOP_WORDS))
+    words = F.filter(F.regexp_extract_all(lower, F.lit(r"([a-z0-9]+)"), F.lit(1)), lambda w: ~w.isin(*stop_words))
+    words = F.transform(words, stem) if stems else words
     runs = F.regexp_extract_all(lower, F.lit(r"([一-鿿]+)"), F.lit(1))
 
     def grams(run: Column) -> Column:
@@ -312,9 +331,9 @@ def query_tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(words, F.flatten(F.transform(runs, grams))))
 
 
-def token_match_score(query: str, title: Column, body: Column) -> Column:
-    """Number of query tokens in the body, plus 10 for each in the title."""
-    tokens = query_tokens(F.lit(query))
+def token_match_score(query: str, title: Column, body: Column, stop_words: Sequence[str] = STOP_WORDS, stems: bool = False) -> Column:
+    """Number of query tokens in the body, plus 10 for each in the title. With ``stems`` any form of a word is a hit."""
+    tokens = query_tokens(F.lit(query), stop_words, stems)
     def hits(text: Column) -> Column:
         return F.size(F.filter(tokens, lambda t: F.lower(text).contains(t)))
     return hits(body) + hits(title) * TITLE_BONUS

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import boxes as B
 from leafmill.functions.text import is_table_continuation
-from leafmill.session import checkpointed
+from leafmill.session import checkpointed, written
 
 PAGE = ("doc_id", "page_idx")
 KEYS = (*PAGE, "block_idx")
@@ -57,10 +57,12 @@ def inline_caption_fragments(blocks: DataFrame, mains: tuple[str, ...]) -> DataF
 
 
 def stacked_caption_fragments(blocks: DataFrame, tables: tuple[str, ...] = ("table", "table_body")) -> DataFrame:
-    """Single-line fragments below the last caption of the cluster stacked right above a table become captions.
+    """Single-line fragments below the last caption of the cluster stacked right above a table become captions, table after table
+    in the order of blocks: what one table has made a caption is one for the tables after it.
 
-    The cluster walks up from the table while each block ends at most max(12, 1.5 × greatest height so far)
-    above the next. Every table judges the blocks as they came in.
+    The cluster walks up from the table while each block ends at most max(12, 1.5 × greatest height so far) above the next. Clusters
+    do not depend on what is a caption, so they are found once. A table's promotions depend only on those of earlier tables:
+    each round judges all tables by the round before, and settles at least one more table of a page; it ends when nothing changes.
     """
     t = blocks.where(F.col("type").isin(*tables)).select(
         *PAGE, F.col("block_idx").alias("t_idx"), *[F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")]
@@ -70,18 +72,26 @@ def stacked_caption_fragments(blocks: DataFrame, tables: tuple[str, ...] = ("tab
     )
     w = Window.partitionBy(*PAGE, "t_idx").orderBy(F.col("y0").desc(), F.col("block_idx").desc())
     below = F.coalesce(F.lag("y0").over(w), F.col("t_y0"))
-    tallest = F.greatest(F.lit(1), F.max(_height(B.box())).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    tallest = F.greatest(F.lit(1), F.max(_height(B.box())).over(upto))
     gap = below - F.col("y1")
     walked = candidates.withColumn("__bad", F.when((gap >= 0) & (gap <= _max_gap(tallest)), 0).otherwise(1))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    cluster = walked.withColumn("__out", F.sum("__bad").over(upto)).where("__out = 0")
+    fragment = F.col("type").isin(*FRAGMENTS) & (F.coalesce("lines", F.lit(1)) <= 1)
+    cluster = written(
+        walked.withColumn("__out", F.sum("__bad").over(upto)).where("__out = 0")
+        .select(*KEYS, "t_idx", F.row_number().over(w).alias("nth"), (F.col("type") == "caption").alias("caption"), fragment.alias("fragment"))
+    )
     whole = Window.partitionBy(*PAGE, "t_idx")
-    captions_below = F.sum(F.when(F.col("type") == "caption", 1).otherwise(0)).over(upto)
-    any_caption = F.max(F.col("type") == "caption").over(whole)
-    hits = cluster.withColumns({"__c": captions_below, "__any": any_caption}).where(
-        (F.col("__c") == 0) & F.col("__any") & F.col("type").isin(*FRAGMENTS) & (F.coalesce("lines", F.lit(1)) <= 1)
-    ).select(*KEYS).distinct().withColumn("__hit", F.lit(True))
-    return _promote(blocks, hits)
+    promoted = cluster.select(*KEYS, F.col("t_idx").alias("by")).limit(0)
+    while True:
+        told = cluster.join(promoted, list(KEYS), "left")
+        lowest = F.min(F.when(F.col("caption") | (F.col("by") < F.col("t_idx")), F.col("nth"))).over(whole)
+        hits = told.withColumn("__c", lowest).where(F.col("fragment") & (F.col("nth") < F.col("__c")))
+        now = written(hits.groupBy(*KEYS).agg(F.min("t_idx").alias("by")))
+        changed = now.exceptAll(promoted).limit(1).unionAll(promoted.exceptAll(now).limit(1))
+        promoted, settled = now, changed.isEmpty()
+        if settled:
+            return _promote(blocks, promoted.select(*KEYS, F.lit(True).alias("__hit")))
 
 
 def _promote(blocks: DataFrame, hits: DataFrame) -> DataFrame:

@@ -145,6 +145,26 @@ def cosine_top_k(spark, sf):
     return R.cosine_top_k(e, centre).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("cosine_second_cut", f"""
+with {BM25}, cv as (select vec_id, unnest(embedding) as x, unnest(range(len(embedding))) as i from embeddings), cq as (select i, avg(cast(x as double)) as y from cv group by 1),
+ cs as (select vec_id, sum(cast(x as double) * y) / (sqrt(sum(cast(x as double) * cast(x as double))) * sqrt(sum(y * y))) as score  from cv join cq on cv.i=cq.i group by 1),
+ ch as (select vec_id as doc_id, round(score, 6) as score from cs where score >= 0 order by cs.score desc, vec_id limit 30),
+ cj as (select ch.doc_id, ch.score, coalesce(round(bm.score, 6), 0) as l from ch left join bm on bm.doc_id = ch.doc_id)
+select doc_id, round(0.5 * score + 0.5 * case when (select max(l) from cj) > 0 then l / (select max(l) from cj) else 0 end, 5) as score from cj order by 0.5 * score + 0.5 * case when (select max(l) from cj) > 0 then l / (select max(l) from cj) else 0 end desc, doc_id limit 12""")
+def cosine_second_cut(spark, sf):
+    e = table(spark, sf, "embeddings")
+    hits = R.cosine_top_k(e, centroids(e, []).scalar()).select(F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score"))
+    lexical = R.bm25(docs(spark, sf), TERMS).withColumn("score", F.round("score", 6))
+    return R.rerank_hits(hits, lexical).withColumn("score", F.round("score", 5))
+
+
+@query("query_token_stems", r"""
+select doc_id, list_aggregate(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w not in ('the','der','que')),
+  lambda w: regexp_replace(w, '^([a-z]{3,}?)(ings|ing|edly|ed|ies|es|ly|s)$', '\1')))), 'string_agg', ' ') as tokens from documents""")
+def query_token_stems(spark, sf):
+    return docs(spark, sf).select("doc_id", F.array_join(F.array_sort(R.query_tokens(F.col("text"), ["the", "der", "que"], stems=True)), " ").alias("tokens"))
+
+
 @query("rank_fusion", f"""with {BM25}, a as (select doc_id, row_number() over (order by round(score, 6) desc, doc_id) as ra from bm),
  b as (select doc_id, row_number() over (order by n_chars desc, doc_id) as rb from documents where lang = 'en')
 select coalesce(a.doc_id, b.doc_id) as doc_id, round(coalesce(1.0/(60+ra), 0) + coalesce(1.0/(60+rb), 0), 9) as score from a full join b on a.doc_id=b.doc_id""")

@@ -114,14 +114,18 @@ def tight(spark, sf):
 
 
 @query("stacked_caption_fragments", f"""
-with b as ({TIGHT}), t as (select * from b where type='table_body'),
+with recursive b as ({TIGHT}), t as (select * from b where type='table_body'),
  c as (select b.*, t.block_idx as t_idx, t.y0 as ty0 from b join t on b.doc_id=t.doc_id and b.page_idx=t.page_idx and b.type in ('caption','text','footnote') and b.y1 <= t.y0
    and not (b.x1 < t.x0 - greatest(12,(t.x1-t.x0)*0.03) or b.x0 > t.x1 + greatest(12,(t.x1-t.x0)*0.03))),
  w as (select *, coalesce(lag(y0) over (partition by doc_id, page_idx, t_idx order by y0 desc, block_idx desc), ty0) - y1 as gap from c),
  k as (select *, sum(case when gap between 0 and 33 then 0 else 1 end) over (partition by doc_id, page_idx, t_idx order by y0 desc, block_idx desc) as out from w),
- m as (select *, sum(case when type='caption' then 1 else 0 end) over (partition by doc_id, page_idx, t_idx order by y0 desc, block_idx desc) as cb,
-   max(case when type='caption' then 1 else 0 end) over (partition by doc_id, page_idx, t_idx) as ac from k where out=0),
- h as (select distinct doc_id, page_idx, block_idx, true as hit from m where cb=0 and ac=1 and type <> 'caption' and lines <= 1)
+ m as (select *, row_number() over (partition by doc_id, page_idx, t_idx order by y0 desc, block_idx desc) as p, dense_rank() over (partition by doc_id, page_idx order by t_idx) as r from k where out=0),
+ cl as (select doc_id, page_idx, r, list({{'p': p, 'b': block_idx, 'cap': type = 'caption', 'ok': type <> 'caption' and lines <= 1}}) as xs from m group by 1, 2, 3),
+ rc as (select distinct doc_id, page_idx, cast(0 as bigint) as r, cast([] as bigint[]) as pr from cl
+  union all
+  select rc.doc_id, rc.page_idx, rc.r + 1, list_concat(rc.pr, list_transform(list_filter(cl.xs, lambda x: x.ok and x.p < list_min(list_transform(list_filter(cl.xs, lambda y: y.cap or list_contains(rc.pr, y.b)), lambda z: z.p))), lambda x: x.b))
+  from rc join cl on cl.doc_id = rc.doc_id and cl.page_idx = rc.page_idx and cl.r = rc.r + 1),
+ h as (select distinct doc_id, page_idx, unnest(pr) as block_idx, true as hit from rc)
 select b.doc_id, b.page_idx, b.block_idx, case when hit then 'caption' else type end as type from b left join h using (doc_id, page_idx, block_idx)""", uses=("blocks",))
 def stacked_caption_fragments(spark, sf):
     return V.stacked_caption_fragments(tight(spark, sf)).select(*V.KEYS, "type")
