@@ -184,13 +184,13 @@ def code_lengths(model: LanguageModel, buf: np.ndarray, offsets: np.ndarray) ->
 
 
 def learn_languages(docs: DataFrame, sample_docs: int = 300, sample_text_bytes: int = 1 << 16, order: int = 4, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> LanguageModel:
-    """Fit on at most ``sample_docs`` rows of each language with texts of up to ``sample_text_bytes`` (others are left to the
-    scoring), in the order of a hash. Rows with a null language, text or id teach nothing."""
-    rows = docs.where(F.col(lang_column).isNotNull() & F.col(id_column).isNotNull() & (F.octet_length(text_column) <= sample_text_bytes))
+    """Fit on at most ``sample_docs`` rows of each language, in the order of a hash, and on the first ``sample_text_bytes`` bytes of each, so a
+    language that has long texts only is learned too. Rows with a null language, text or id teach nothing."""
+    rows = docs.where(F.col(lang_column).isNotNull() & F.col(id_column).isNotNull() & F.col(text_column).isNotNull())
     order_by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = rows.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang")).withColumn("n", F.row_number().over(order_by)).where(F.col("n") <= sample_docs).select("id").distinct()
     # sample_docs ids for each language
-    got = rows.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.encode(text_column, "UTF-8").alias("text")).join(F.broadcast(chosen), "id", "left_semi").collect()
+    got = rows.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.substring(F.encode(text_column, "UTF-8"), 1, sample_text_bytes).alias("text")).join(F.broadcast(chosen), "id", "left_semi").collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["id"], bytes(r["text"]))):
         samples.setdefault(r["lang"], []).append(bytes(r["text"]))

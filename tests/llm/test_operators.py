@@ -552,6 +552,17 @@ def test_quality(spark, docs, none):
     fit_quality(none, labels.limit(0), ["source"], None)
 
 
+def test_language_with_long_texts_only(spark):
+    from leafmill.llm.language_id import learn_languages, predict_language
+
+    rng = random.Random(3)
+    text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, text("abcde ", 80), "short") for i in range(20)] + [(50 + i, text("vwxyzé ", 9000), "long") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = predict_language(table, learn_languages(table, sample_text_bytes=4096)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {r[0]: r[2] for r in rows}
+
+
 def test_components(spark):
     from leafmill.llm.components import components
 
