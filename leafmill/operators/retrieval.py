@@ -14,9 +14,18 @@ _BLANK = " \t\r\n"
 
 
 def _hard_split(text: Column, limit: int) -> Column:
-    """Pieces of at most ``limit`` characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(limit))
-    return F.transform(starts, lambda s: F.substring(text, s, F.lit(limit)))
+    """Pieces of at most ``limit`` characters, found in one run over the text; an empty text is one piece."""
+    return F.when(text == "", F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0)))
+
+
+#: Chunks that a fold gathers before it puts them away, so that no array grows with the text.
+_HELD = 256
+
+
+def _put_away(out: Column, done: Column) -> list[Column]:
+    """``out`` and ``done`` (filled arrays) after a step."""
+    full = F.size(out) >= _HELD
+    return [F.when(full, F.slice(out, F.lit(1), F.lit(0))).otherwise(out).alias("out"), F.when(full, F.concat(done, F.array(out))).otherwise(done).alias("done")]
 
 
 def _sentences(text: Column, limit: int) -> Column:
@@ -32,7 +41,7 @@ def paragraph_chunks(
     a last chunk under ``least`` joins the one before when that fits. ``separator`` splits paragraphs."""
     filled = F.filter(F.split("text", separator), lambda p: F.trim(p, F.lit(_BLANK)) != "")
     pieces = F.flatten(F.transform(F.transform(filled, lambda p: F.trim(p, F.lit(_BLANK))), lambda p: _sentences(p, limit)))
-    state = "struct<buf:string,out:array<string>>"
+    state = "struct<buf:string,out:array<string>,done:array<array<string>>>"
 
     def gather(s: Column, p: Column) -> Column:
         empty = s["buf"] == ""
@@ -40,12 +49,13 @@ def paragraph_chunks(
         out = F.when(over, F.concat(s["out"], F.array(s["buf"]))).otherwise(s["out"])
         buf = F.when(empty | over, p).otherwise(F.concat(s["buf"], F.lit("\n\n"), p))
         full = F.length(buf) >= target
-        return F.struct(
-            F.when(full, "").otherwise(buf).alias("buf"), F.when(full, F.concat(out, F.array(buf))).otherwise(out).alias("out")
-        )
+        return F.struct(F.when(full, "").otherwise(buf).alias("buf"), *_put_away(F.when(full, F.concat(out, F.array(buf))).otherwise(out), s["done"]))
 
-    start = F.from_json(F.lit('{"buf":"","out":[]}'), state)
-    work = documents.select("doc_id", F.aggregate(pieces, start, gather).alias("s"))
+    def finish(s: Column) -> Column:
+        return F.struct(s["buf"].alias("buf"), F.concat(F.flatten(s["done"]), s["out"]).alias("out"))
+
+    start = F.from_json(F.lit('{"buf":"","out":[],"done":[]}'), state)
+    work = documents.select("doc_id", F.aggregate(pieces, start, gather, finish).alias("s"))
     tail = F.col("s.buf")
     joins = (F.size("s.out") > 0) & (F.length(tail) < least) & (F.length(F.try_element_at("s.out", F.lit(-1))) + 2 + F.length(tail) <= limit)
     merged = F.concat(
@@ -62,7 +72,7 @@ def heading_chunks(
     each); a chunk starts with the last ``overlap`` tokens of the one before and carries the headings above it.
     Chunks over ``limit`` characters are cut at sentences."""
     paragraphs = F.filter(F.split("text", separator), lambda p: F.trim(p, F.lit(_BLANK)) != "")
-    state = "struct<buf:string,crumb:string,heads:array<struct<level:int,title:string>>,out:array<struct<chunk:string,crumb:string>>>"
+    state = "struct<buf:string,crumb:string,heads:array<struct<level:int,title:string>>,out:array<struct<chunk:string,crumb:string>>,done:array<array<struct<chunk:string,crumb:string>>>>"
 
     def crumb(heads: Column) -> Column:
         return F.array_join(F.transform(heads, lambda h: h["title"]), " > ")
@@ -79,11 +89,14 @@ def heading_chunks(
         buf = F.when(s["buf"] == "", p).otherwise(F.concat(F.when(full, kept).otherwise(s["buf"]), F.lit("\n\n"), p))
         return F.struct(
             buf.alias("buf"), F.when((s["buf"] == "") | full, crumb(heads)).otherwise(s["crumb"]).alias("crumb"), heads.alias("heads"),
-            F.when(full, F.concat(s["out"], F.array(done))).otherwise(s["out"]).alias("out"),
+            *_put_away(F.when(full, F.concat(s["out"], F.array(done))).otherwise(s["out"]), s["done"]),
         )
 
-    start = F.from_json(F.lit('{"buf":"","crumb":"","heads":[],"out":[]}'), state)
-    folded = documents.select("doc_id", F.aggregate(paragraphs, start, gather).alias("s"))
+    def finish(s: Column) -> Column:
+        return F.struct(s["buf"].alias("buf"), s["crumb"].alias("crumb"), F.concat(F.flatten(s["done"]), s["out"]).alias("out"))
+
+    start = F.from_json(F.lit('{"buf":"","crumb":"","heads":[],"out":[],"done":[]}'), state)
+    folded = documents.select("doc_id", F.aggregate(paragraphs, start, gather, finish).alias("s"))
     rest = F.struct(F.col("s.buf").alias("chunk"), F.col("s.crumb").alias("crumb"))
     chunks = F.when(F.col("s.buf") == "", F.col("s.out")).otherwise(F.concat("s.out", F.array(rest)))
     cut = F.flatten(
@@ -98,29 +111,34 @@ def heading_chunks(
 def window_chunks(documents: DataFrame, size: int = 8000, overlap: int = 400, most: int | None = None) -> DataFrame:
     """Character windows (doc_id, chunk_idx, start, chunk) with overlap; a window ends at the last white space
     of its second half. ``most`` limits chunks per document where an index demands it; default whole texts."""
-    text, total = F.col("text"), F.length("text")
     shortest = size // 2 - overlap
-    state = "struct<at:int,out:array<struct<start:int,len:int>>>"
-
-    def step(s: Column, _: Column) -> Column:
-        window = F.substring(text, s["at"] + 1, F.lit(size))
-        last = s["at"] + size >= total
-        blank = F.length(F.regexp_extract(window, r"(?s)^(.*)\s", 1))
-        length = F.when(last, total - s["at"]).when(blank > size // 2, blank).otherwise(F.lit(size))
-        item = F.struct(s["at"].alias("start"), length.cast("int").alias("len"))
-        done = s["at"] >= total
-        return F.struct(
-            F.when(done, s["at"]).when(last, total).otherwise((s["at"] + length - overlap).cast("int")).cast("int").alias("at"),
-            F.when(done, s["out"]).otherwise(F.concat(s["out"], F.array(item))).alias("out"),
-        )
-
-    rounds = F.sequence(F.lit(1), F.floor(total / shortest).cast("int") + 1)
-    start = F.from_json(F.lit('{"at":0,"out":[]}'), state)
-    spans = F.aggregate(rounds, start, step)["out"]
+    state = "struct<at:int,out:array<struct<start:int,chunk:string>>,done:array<array<struct<start:int,chunk:string>>>>"
+
+    def walk(blocks: Column) -> Column:
+        """The windows over blocks of ``size`` characters; a window lies in two of them at most."""
+        total = F.when(F.size(blocks) > 0, (F.size(blocks) - 1) * size + F.length(F.element_at(blocks, -1))).otherwise(0)
+
+        def step(s: Column, _: Column) -> Column:
+            block = F.floor(s["at"] / size).cast("int")
+            window = F.substring(F.concat(F.get(blocks, block), F.coalesce(F.get(blocks, block + 1), F.lit(""))), s["at"] - block * size + 1, F.lit(size))
+            last = s["at"] + size >= total
+            blank = F.length(F.regexp_extract(window, r"(?s)^(.*)\s", 1))
+            length = F.when(last, total - s["at"]).when(blank > size // 2, blank).otherwise(F.lit(size))
+            item = F.struct(s["at"].alias("start"), F.left(window, length).alias("chunk"))
+            ended = s["at"] >= total
+            out = F.when(ended, s["out"]).otherwise(F.concat(s["out"], F.array(item)))
+            after = F.when(ended, s["at"]).when(last, total).otherwise((s["at"] + length - overlap).cast("int")).cast("int")
+            return F.struct(after.alias("at"), *_put_away(out, s["done"]))
+
+        rounds = F.sequence(F.lit(1), F.floor(total / shortest).cast("int") + 1)
+        return F.aggregate(rounds, F.from_json(F.lit('{"at":0,"out":[],"done":[]}'), state), step, lambda s: F.concat(F.flatten(s["done"]), s["out"]))
+
+    # the blocks are made once, as the element of an array
+    chunks = F.transform(F.array(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))), walk)[0]
     if most is not None:
-        spans = F.slice(spans, F.lit(1), F.lit(most))
-    rows = documents.select("doc_id", "text", F.posexplode(spans).alias("chunk_idx", "s"))
-    return rows.select("doc_id", "chunk_idx", F.col("s.start").alias("start"), F.substring("text", F.col("s.start") + 1, F.col("s.len")).alias("chunk"))
+        chunks = F.slice(chunks, F.lit(1), F.lit(most))
+    rows = documents.select("doc_id", F.posexplode(chunks).alias("chunk_idx", "c"))
+    return rows.select("doc_id", "chunk_idx", F.col("c.start").alias("start"), F.col("c.chunk").alias("chunk"))
 
 
 def change_detection(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -154,3 +154,19 @@ def test_filters_run_each_step_once(spark):
     step = {"type": "filter", "conditions": [{"column": "v", "operator": ">=", "value_type": "median"}]}
     assert [r["v"] for r in run_operations(df, [step, step, step]).select("v").distinct().orderBy("v").collect()] == list(range(87, 100))
     assert [(r["rows_in"], r["rows_out"]) for r in stage_metrics(df, [step, step]).orderBy("stage").collect()] == [(1000, 500), (500, 250)]
+
+
+def test_chunkers_on_one_long_text(spark):
+    """A text of some megabytes: chunks cover it, in time that grows with its length."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    paragraphs = [" ".join(rng.choice(words) for _ in range(rng.randint(20, 200))) + "." for _ in range(4000)]
+    paragraphs[7] = "x" * 900_000
+    text = "\n\n".join(paragraphs)
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    windows = R.window_chunks(df).orderBy("chunk_idx").collect()
+    assert {r["doc_id"] for r in windows} == {1} and all(text[r["start"] : r["start"] + len(r["chunk"])] == r["chunk"] for r in windows)
+    assert all(a["start"] < b["start"] <= a["start"] + len(a["chunk"]) - 400 for a, b in zip(windows, windows[1:])) and windows[-1]["start"] + len(windows[-1]["chunk"]) == len(text)
+    chunks = [r["chunk"] for r in R.paragraph_chunks(df).where("doc_id = 1").orderBy("chunk_idx").collect()]
+    assert "".join(chunks).replace("\n", "") == text.replace("\n", "") and max(map(len, chunks)) <= 1400
+    assert R.heading_chunks(df).where("doc_id = 1").count() > 400
