@@ -220,9 +220,11 @@ def compose_transforms(groups: DataFrame, shapes: DataFrame) -> DataFrame:
     """Boxes of shapes in page space: the affine maps of all enclosing groups applied.
 
     groups: page_id, group_id, parent_id, sx, sy, tx, ty. Each round doubles the resolved chain; they end when no
-    group has an unresolved parent, after the logarithm of the nesting depth. Parents must not form a circle.
+    group has an unresolved parent, after the logarithm of the nesting depth. A round always resolves a group unless parents form a
+    circle, which is an error.
     """
     maps = groups.select("page_id", "group_id", "parent_id", "sx", "sy", "tx", "ty")
+    unresolved = maps.where("parent_id is not null").count()
     while True:
         up = maps.select(
             "page_id", F.col("group_id").alias("parent_id"), F.col("parent_id").alias("__next"),
@@ -235,8 +237,12 @@ def compose_transforms(groups: DataFrame, shapes: DataFrame) -> DataFrame:
             (F.coalesce("u_sx", F.lit(1.0)) * F.col("tx") + F.coalesce("u_tx", F.lit(0.0))).alias("tx"),
             (F.coalesce("u_sy", F.lit(1.0)) * F.col("ty") + F.coalesce("u_ty", F.lit(0.0))).alias("ty"),
         ))
-        if maps.where("parent_id is not null").isEmpty():
+        before, unresolved = unresolved, maps.where("parent_id is not null").count()
+        if not unresolved:
             break
+        if unresolved == before:
+            page = maps.where("parent_id is not null").select("page_id").first()[0]
+            raise ValueError(f"groups of page {page} enclose each other in a circle")
     return shapes.join(maps.drop("parent_id"), ["page_id", "group_id"], "left").withColumns(
         {
             "x0": F.coalesce("sx", F.lit(1.0)) * F.col("x0") + F.coalesce("tx", F.lit(0.0)),

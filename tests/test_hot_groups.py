@@ -170,3 +170,13 @@ def test_chunkers_on_one_long_text(spark):
     chunks = [r["chunk"] for r in R.paragraph_chunks(df).where("doc_id = 1").orderBy("chunk_idx").collect()]
     assert "".join(chunks).replace("\n", "") == text.replace("\n", "") and max(map(len, chunks)) <= 1400
     assert R.heading_chunks(df).where("doc_id = 1").count() > 400
+
+
+def test_groups_in_a_circle(spark):
+    groups = "page_id int, group_id int, parent_id int, sx double, sy double, tx double, ty double"
+    chain = [(1, i, i - 1 if i else None, 2.0, 1.0, 0.0, 1.0) for i in range(6)]
+    shapes = spark.createDataFrame([(1, 5, 1.0, 1.0, 2.0, 2.0)], "page_id int, group_id int, x0 double, y0 double, x1 double, y1 double")
+    got = L.compose_transforms(spark.createDataFrame(chain, groups), shapes).first()
+    assert (got["x0"], got["y0"], got["x1"], got["y1"]) == (64.0, 7.0, 128.0, 8.0)
+    with pytest.raises(ValueError, match="page 2"):
+        L.compose_transforms(spark.createDataFrame([*chain, (2, 1, 2, 1.0, 1.0, 0.0, 0.0), (2, 2, 3, 1.0, 1.0, 0.0, 0.0), (2, 3, 1, 1.0, 1.0, 0.0, 0.0)], groups), shapes)
