@@ -65,35 +65,80 @@ def _is_shadow(a: B.Box, b: B.Box) -> Column:
     return rigid & reach & (overlap >= SHADOW_OVERLAP)
 
 
-def deduplicate_glyphs(glyphs: DataFrame, shadows: bool = True) -> DataFrame:
+#: Glyphs of a page that one fold decides.
+PAGE_GLYPHS = 256
+#: Side of the grid cells in which glyphs of larger pages meet; a copy goes to the next cell only from within the tolerance of its border.
+CELL = 4.0
+
+
+def deduplicate_glyphs(glyphs: DataFrame, shadows: bool = True, page_glyphs: int = PAGE_GLYPHS) -> DataFrame:
     """Drop glyphs near-identical to an earlier kept one (same glyph, font, rotation; every box edge within 1),
     and shifted shadows of the glyph kept just before. Blanks stay.
 
-    Whether a glyph is kept depends only on earlier ones, so repeating the decision for all glyphs at once
-    from any start settles on the sequential answer: each round settles at least one more glyph of every page. The start keeps the first glyph per unit cell, so the
-    kept glyphs a cell offers are few, and glyphs meet them through the 3×3 cells around each.
+    Whether a glyph is kept depends only on earlier ones of its page. A page of at most ``page_glyphs`` with distinct indices is one
+    fold in their order, so its glyphs are shuffled once; larger pages are decided in rounds.
+    """
+    page = Window.partitionBy("page_id")
+    told = glyphs.withColumn("__again", F.lag("char_idx").over(page.orderBy("char_idx")).eqNullSafe(F.col("char_idx")))
+    told = told.withColumns({"__size": F.count("*").over(page), "__again": F.max("__again").over(page)})
+    folds = F.col("page_id").isNotNull() & (F.col("__size") <= page_glyphs) & ~F.col("__again")
+    small, large = (told.where(c).select(*glyphs.columns) for c in (folds, ~folds))
+    return _folded(small, shadows).unionByName(_in_rounds(large, shadows))
+
+
+def _folded(glyphs: DataFrame, shadows: bool) -> DataFrame:
+    """``deduplicate_glyphs`` for small pages: a fold over the glyphs of a page that carries the kept ones."""
+    rest = [c for c in glyphs.columns if c not in ("page_id", "char_idx")]
+    told = glyphs.select("page_id", F.struct("char_idx", F.struct(*rest).alias("g"), F.round("rotation", 3).alias("rot"), _is_blank(F.col("ch")).alias("blank")).alias("x"))
+    pages = told.groupBy("page_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+
+    def same(p: Column, x: Column) -> Column:
+        return (p["g"]["ch"] == x["g"]["ch"]) & (p["g"]["font"] == x["g"]["font"]) & (p["rot"] == x["rot"])
+
+    def close(p: Column, x: Column) -> Column:
+        out = same(p, x)
+        for e in ("x0", "y0", "x1", "y1"):
+            out = out & (F.abs(x["g"][e] - p["g"][e]) <= NEAR)
+        return out
+
+    def add(kept: Column, x: Column) -> Column:
+        drop = F.coalesce(~x["blank"] & F.exists(kept, lambda p: close(p, x)), F.lit(False))
+        if shadows:
+            last = F.get(kept, F.size(kept) - 1)
+            edges = lambda v: B.Box(*[v["g"][e] for e in ("x0", "y0", "x1", "y1")])
+            drop = drop | F.coalesce(same(last, x) & _is_shadow(edges(last), edges(x)), F.lit(False))
+        return F.when(F.coalesce(x["blank"], F.lit(False)) | ~drop, F.concat(kept, F.array(x))).otherwise(kept)
+
+    kept = F.aggregate("x", F.slice("x", 1, 0), add)
+    return pages.select("page_id", F.explode(kept).alias("x")).select("page_id", "x.char_idx", "x.g.*").select(*glyphs.columns)
+
+
+def _in_rounds(glyphs: DataFrame, shadows: bool) -> DataFrame:
+    """``deduplicate_glyphs`` for pages of any size: repeating the decision for all glyphs at once from any start settles on the
+    sequential answer, as each round settles at least one more glyph of every page. The start keeps the first glyph per unit cell, so the
+    kept glyphs a place offers are few, and glyphs meet them in grid cells.
     """
     signature = ["page_id", "ch", "font", "__rot"]
     base = glyphs.withColumns(
         {
             "__rot": F.round("rotation", 3),
-            "__cx": F.floor(F.col("x0") / NEAR), "__cy": F.floor(F.col("y0") / NEAR),
+            "__ux": F.floor(F.col("x0") / NEAR), "__uy": F.floor(F.col("y0") / NEAR),
             "__blank": _is_blank(F.col("ch")),
         }
     )
-    first = F.min("char_idx").over(Window.partitionBy(*signature, "__cx", "__cy")) == F.col("char_idx")
-    state = checkpointed(base.withColumn("__kept", F.col("__blank") | first))
+    first = F.min("char_idx").over(Window.partitionBy(*signature, "__ux", "__uy")) == F.col("char_idx")
+    cells = {"__cx": F.floor(F.col("x0") / CELL), "__cy": F.floor(F.col("y0") / CELL)}
+    state = checkpointed(base.withColumn("__kept", F.col("__blank") | first).drop("__ux", "__uy").withColumns(cells))
     edges = ["x0", "y0", "x1", "y1"]
     order = Window.partitionBy("page_id").orderBy("char_idx").rowsBetween(Window.unboundedPreceding, -1)
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    # a little more than the tolerance, as sums of the ends are rounded
+    reach = lambda e: F.explode(F.array_distinct(F.array(*[F.floor((F.col(e) + d * 1.001 * NEAR) / CELL) for d in (-1, 1)])))
     while True:
         seen = (
             state.where("__kept and not __blank")
-            .groupBy(*signature, *edges, "__cx", "__cy").agg(F.min("char_idx").alias("k_idx"))
+            .groupBy(*signature, *edges).agg(F.min("char_idx").alias("k_idx"))
+            .withColumn("__cx", reach("x0")).withColumn("__cy", reach("y0"))
             .withColumnsRenamed({e: f"k_{e}" for e in edges})
-            .withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
-            .withColumns({"__cx": F.col("__cx") + F.col("__dx"), "__cy": F.col("__cy") + F.col("__dy")})
-            .drop("__dx", "__dy")
         )
         close = F.lit(True)
         for e in edges:

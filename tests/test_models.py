@@ -216,6 +216,22 @@ def test_glyph_duplicates(spark, shadows):
     assert got == want
 
 
+@pytest.mark.parametrize("shadows", [False, True])
+def test_glyphs_of_a_page_in_one_fold_or_in_rounds(spark, shadows):
+    rnd = random.Random(4)
+    data = []
+    for page in (1, 2, 3, None):
+        for i in range(60):
+            x, y = rnd.choice([rnd.randint(0, 20) * 0.5, rnd.randint(-3, 3) * 4.0, 3.9999]), rnd.randint(0, 12) * 0.4
+            ch, font = rnd.choice(["a", "b", " ", None]), rnd.choice(["F", "F", None])
+            data.append((page, i, ch, font, rnd.choice([0.0, 0.0, None]), x, y, x + 6, rnd.choice([y + 9.0, y + 9.0, None])))
+    data += [(2, 7, "a", "F", 0.0, 0.0, 0.0, 6.0, 9.0)]  # an index that comes twice
+    df = spark.createDataFrame(data, "page_id long, char_idx long, ch string, font string, rotation double, x0 double, y0 double, x1 double, y1 double")
+    rows = lambda got: sorted(map(str, got.collect()))
+    folded = rows(G.deduplicate_glyphs(df, shadows=shadows))
+    assert folded == rows(G.deduplicate_glyphs(df, shadows=shadows, page_glyphs=0)) and len(folded) < len(data)
+
+
 def paragraphs(seed):
     rnd = random.Random(seed)
     docs = []
