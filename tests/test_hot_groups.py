@@ -65,6 +65,17 @@ def test_shared_members_start_at_the_smaller_end(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("listed", [0, 3, 512])
+def test_shared_members_by_lists_and_by_rows(spark, listed):
+    rng = random.Random(3)
+    members = {(n, rng.randrange(12)) for n in range(30) for _ in range(rng.randrange(9))} | {(n, None) for n in range(5)}
+    edges = {(rng.randrange(32), rng.randrange(32)) for _ in range(120)} | {(4, 4), (None, 3)}
+    own = lambda n: {m for k, m in members if k == n and m is not None}
+    want = sorted((a, b, m) for a, b in edges if a is not None for m in own(a) & own(b))
+    got = G.shared_members(spark.createDataFrame(sorted(edges, key=str), "a long, b long"), spark.createDataFrame(sorted(members, key=str), "node long, member long"), listed)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_typed_paths(spark):
     edges = [(1, 2, "cites"), (1, 2, "uses"), (3, 2, "cites"), (3, 4, "uses"), (5, 4, "cites"), (4, 1, "extends")]
     df = spark.createDataFrame(edges, "src long, dst long, type string")
