@@ -622,13 +622,26 @@ def wide_series(points: DataFrame, keys: Sequence[str] = ("chart_id",)) -> DataF
 
 
 def densify_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sparse points (keys, point_idx, value) filled from 0 to the highest index with "", whatever the span: slots are
-    made in stretches, so no array grows with a series."""
-    spans = points.groupBy(*keys).agg(F.max("point_idx").cast("long").alias("m"))
+    """Sparse points (keys, point_idx, value) filled from 0 to the highest index with "", whatever the span.
+
+    Every point makes the slots after the point before it, up to its own. Such gaps are cut into stretches, so no array grows with a
+    series, and only points and stretches are shuffled: slots are made where they are used. Under a null key all slots are "".
+    """
+    rest = [c for c in points.columns if c not in (*keys, "point_idx")]
+    placed = points.withColumn("point_idx", F.col("point_idx").cast("long")).where("point_idx >= 0")
+    before = F.lag("point_idx").over(Window.partitionBy(*keys).orderBy("point_idx"))
+    unnamed = F.lit(False)
+    for k in keys:
+        unnamed = unnamed | F.col(k).isNull()
+    gaps = placed.withColumns({"__before": before, "__unnamed": unnamed}).where("not __unnamed or __before is null or __before < point_idx")
     step = F.lit(STRETCH).cast("long")
-    stretches = spans.select(*keys, "m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / step))).alias("s"))
-    slots = stretches.select(*keys, F.explode(F.sequence(F.col("s") * step, F.least(F.col("m"), (F.col("s") + 1) * step - 1))).alias("point_idx"))
-    return slots.join(points, [*keys, "point_idx"], "left").withColumn("value", F.coalesce("value", F.lit("")))
+    low = F.least(F.coalesce(F.col("__before") + 1, F.lit(0)), F.col("point_idx"))
+    stretches = gaps.withColumn("__low", low).withColumn("__s", F.explode(F.sequence(F.floor(F.col("__low") / step), F.floor(F.col("point_idx") / step))))
+    slots = F.sequence(F.greatest("__low", F.col("__s") * step), F.least(F.col("point_idx"), (F.col("__s") + 1) * step - 1))
+    made = stretches.repartition(*keys, "__s").withColumn("__slot", F.explode(slots))
+    own = (F.col("__slot") == F.col("point_idx")) & ~F.col("__unnamed")
+    held = made.select(*keys, F.col("__slot").alias("point_idx"), *[F.when(own, F.col(c)).alias(c) for c in rest])
+    return held.withColumn("value", F.coalesce("value", F.lit("")))
 
 
 def multilevel_categories(levels: DataFrame, keys: Sequence[str]) -> DataFrame:

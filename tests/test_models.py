@@ -372,3 +372,14 @@ def test_nothing_is_cut_at_a_depth_or_length(spark):
     points = spark.createDataFrame([(1, 0, "a"), (1, 150_000, "b")], "chart_id int, point_idx long, value string")
     dense = T.densify_points(points, ["chart_id"])
     assert dense.count() == 150_001 and dense.where("value <> ''").count() == 2
+
+
+def test_dense_points_shuffle_no_slots(spark):
+    """Gaps are filled where they are used: no join of slots. Repeated points stay, a null chart has blank slots."""
+    from leafmill.operators import tables as T
+
+    data = [(1, 3, "a"), (1, 3, "b"), (1, 0, None), (2, 1, "c"), (None, 2, "d"), (None, 2, "e"), (3, None, "f")]
+    dense = T.densify_points(spark.createDataFrame(data, "chart_id int, point_idx long, value string"), ["chart_id"])
+    want = [(1, 0, ""), (1, 1, ""), (1, 2, ""), (1, 3, "a"), (1, 3, "b"), (2, 0, ""), (2, 1, "c"), (None, 0, ""), (None, 1, ""), (None, 2, "")]
+    assert sorted(map(str, map(tuple, dense.collect()))) == sorted(map(str, want))
+    assert "Join" not in dense._jdf.queryExecution().optimizedPlan().toString()
