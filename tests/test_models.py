@@ -302,6 +302,13 @@ def test_label_propagation(spark):
     assert len({labels[n] for n in near if 200 <= n < 400}) == 1
 
 
+def test_label_propagation_carries_no_constraints(spark):
+    links = spark.createDataFrame([(i, j) for i in range(12) for j in range(i) if (i * j) % 3], "src long, dst long")
+    plan = N.label_propagation(links)._jdf.queryExecution().optimizedPlan()
+    # a checkpoint would bring those of all rounds along
+    assert "LogicalRDD" not in plan.toString() and plan.constraints().size() <= 2
+
+
 def test_similar_names_find_all_pairs(spark):
     rnd = random.Random(8)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]
