@@ -257,8 +257,46 @@ def compose_transforms(groups: DataFrame, shapes: DataFrame) -> DataFrame:
 FAN = 16
 
 
+#: Rectangles of a group that one fold measures; larger groups go down the tree of slabs.
+FOLDED = 64
+
+
+def _folded_area(r: Column, kind: str) -> Column:
+    """Area covered by an array of rectangles: the edges cut it into slabs, and the heights of each slab are merged in order."""
+    zero = F.lit(0).cast(kind)
+    xs = F.sort_array(F.array_distinct(F.concat(F.transform(r, lambda b: b["x0"]), F.transform(r, lambda b: b["x1"]))))
+    slabs = F.zip_with(F.slice(xs, 1, F.size(xs) - 1), F.slice(xs, 2, F.size(xs) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def height(slab: Column) -> Column:
+        inside = F.filter(r, lambda b: (b["x0"] <= slab["a"]) & (b["x1"] >= slab["b"]))
+        spans = F.sort_array(F.transform(inside, lambda b: F.struct(b["y0"].alias("lo"), b["y1"].alias("hi"))))
+        # nothing ends before the first: greatest() passes over the null
+        start = F.struct(F.lit(None).cast(kind).alias("end"), zero.alias("n"))
+        return F.aggregate(
+            spans, start, lambda s, v: F.struct(F.greatest(s["end"], v["hi"]).alias("end"), (s["n"] + F.greatest(v["hi"] - F.greatest(s["end"], v["lo"]), zero)).alias("n"))
+        )["n"]
+
+    return F.aggregate(F.transform(slabs, lambda s: (s["b"] - s["a"]) * height(s)), zero, lambda total, v: total + v)
+
+
 def union_area(rects: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Area covered by the rectangles of a group (x0, y0, x1, y1), overlap counted once; empty ones count nothing.
+    """Area covered by the rectangles of a group (x0, y0, x1, y1), overlap counted once; empty ones count nothing. A null key is no group.
+
+    Groups of at most ``FOLDED`` rectangles are one fold each, over at most twice as many slabs; larger ones go down a tree.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    whole_numbers = all(rects.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in box)
+    kind = "long" if whole_numbers else "double"
+    whole = rects.where("x0 < x1 and y0 < y1").dropna(subset=list(keys))
+    sized = whole.withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    boxes = F.collect_list(F.struct(*[F.col(c).cast(kind).alias(c) for c in box]))
+    small = sized.where(F.col("__n") <= FOLDED).groupBy(*keys).agg(boxes.alias("__r")).select(*keys, _folded_area(F.col("__r"), kind).alias("area"))
+    large = written(sized.where(F.col("__n") > FOLDED).select(*keys, *box))
+    return small if large.isEmpty() else small.unionByName(_slab_area(large, keys))
+
+
+def _slab_area(rects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Area covered by the rectangles of groups of any size.
 
     The vertical edges of a group cut it into slabs, ranges of slabs form a tree of ``FAN`` children a node. A rectangle goes down to
     the children it touches. In a child that rectangles span from side to side their heights are merged and count with the

@@ -40,6 +40,18 @@ def test_union_area_against_a_grid(spark, seed):
     assert got == {g: len(v) for g, v in want.items() if v}
 
 
+def test_union_area_of_small_groups_is_one_fold(spark, monkeypatch):
+    rng = random.Random(5)
+    rects = [(g if g else None, x, y, x + rng.randint(0, 9), y + rng.randint(0, 9)) for g in range(9) for x, y in ((rng.randrange(20), rng.randrange(20)) for _ in range(4 * g + 1))]
+    rows = spark.createDataFrame(rects, "g int, x0 int, y0 int, x1 int, y1 int")
+    area = L.union_area(rows, ["g"])
+    plan = area._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
+    monkeypatch.setattr(L, "FOLDED", 12)  # the larger groups go down the tree
+    mixed = L.union_area(rows, ["g"])
+    assert area.schema == mixed.schema and sorted(area.collect()) == sorted(mixed.collect()) and area.where("g is null").isEmpty()
+
+
 def test_budget_of_a_hot_group(spark):
     rng = random.Random(1)
     rows = [(i, "hot" if i % 3 else rng.choice("abc"), rng.randrange(50), rng.randrange(9)) for i in range(6000)] + [(9000 + i, None, 1, 3) for i in range(40)]
