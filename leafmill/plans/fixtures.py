@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.session import dealt
+
 BASE = {
     "lineitem", "orders", "customer", "supplier", "part", "nation", "region",
     "events", "documents", "pages", "labels", "embeddings", "benchmark", "conversations",
@@ -122,6 +124,8 @@ def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     deps, sql = DERIVED[name]
     frames = {d: build(spark, sf_dir, d) for d in deps}
+    if name == "numbered":
+        frames["lineitem"] = dealt(frames["lineitem"], "l_orderkey")
     text = sql
     for d in deps:
         text = text.replace(f"from {d}", f"from {{{d}}}").replace(f"join {d} ", f"join {{{d}}} ")
