@@ -5,8 +5,10 @@ Cells have table_id, row_idx, cell_idx, text, rowspan, colspan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,69 @@ STRETCH = 1 << 14
 
 
 #: Tags (quoted attribute values may hold ``>``), comments, runs of text, and a stray ``<``.
-TOKEN = r"""(?s)<!--.*?-->|<[a-zA-Z/!](?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+|<"""
+_TOKEN = re.compile(r"""(?s)<!--.*?-->|<[a-zA-Z/!](?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+|<""")
+_TAG = re.compile(r"<(/?(?:table|tr|td|th))(?=[\s/>])", re.IGNORECASE | re.ASCII)
+
+#: Cells that one batch of parsed documents holds before it is handed on.
+BATCH_CELLS = 10_000
+
+
+def _nested_cells(html: str) -> list[list]:
+    """Cells of a document, each as table_no, depth, parent_no, parent_row, parent_cell, row_idx, cell_idx, its start tag and its pieces."""
+    out, tables, depth = [], 0, 0
+    # the current table of each level: its number, parent cell, row, cell, whether a row is open, and the pieces of the open cell
+    levels: list[dict] = []
+    for piece in _TOKEN.findall(html):
+        found = _TAG.match(piece)
+        tag = found[1].lower().replace("th", "td") if found else ""
+        if tag == "table":
+            depth += 1
+        elif not depth:
+            continue
+        for above in levels[: depth - 1]:
+            if above["pieces"] is not None:
+                above["pieces"].append(piece)
+        if tag == "table":
+            tables += 1
+            holder = levels[depth - 2] if depth > 1 else None
+            inside = holder is not None and holder["pieces"] is not None
+            parent = (holder["no"], holder["row"], holder["cell"]) if inside else (None, None, None)
+            levels[depth - 1 :] = [{"no": tables, "parent": parent, "row": -1, "cell": -1, "open": False, "pieces": None}]
+            continue
+        here = levels[depth - 1]
+        if tag == "td" and here["open"]:
+            here["cell"] += 1
+            here["pieces"] = []
+            out.append([here["no"], depth, *here["parent"], here["row"], here["cell"], piece, here["pieces"]])
+        elif tag in ("tr", "/tr", "/table"):
+            here["open"], here["pieces"] = tag == "tr", None
+            if tag == "tr":
+                here["row"], here["cell"] = here["row"] + 1, -1
+            elif tag == "/table":
+                depth -= 1
+        elif tag in ("td", "/td"):
+            here["pieces"] = None
+        elif here["pieces"] is not None:
+            here["pieces"].append(piece)
+    return out
+
+
+def _parsed(batches):
+    for batch in batches:
+        held: list[list] = []
+        for table_id, html in zip(batch.column(0), batch.column(1)):
+            held.extend([table_id, *cell[:-1], "".join(cell[-1])] for cell in _nested_cells(html.as_py()))
+            if len(held) >= BATCH_CELLS:
+                yield _cell_batch(held, batch.schema.field(0).type)
+                held = []
+        if held:
+            yield _cell_batch(held, batch.schema.field(0).type)
+
+
+def _cell_batch(cells: list[list], key: pa.DataType) -> pa.RecordBatch:
+    kinds = [key, *[pa.int64()] * 7, pa.string(), pa.string()]
+    names = ["table_id", "table_no", "depth", "parent_no", "parent_row", "parent_cell", "row_idx", "cell_idx", "head", "text"]
+    return pa.record_batch([pa.array([v.as_py() for v in c] if i == 0 else c, k) for i, (c, k) in enumerate(zip(zip(*cells), kinds))], names)
 
 
 def parse_nested_cells(tables: DataFrame, html: str = "html") -> DataFrame:
@@ -28,59 +92,22 @@ def parse_nested_cells(tables: DataFrame, html: str = "html") -> DataFrame:
     ``table_no`` counts the tables of a document from 1 in the order they open, ``depth`` is 1 for one in no other; the parent is
     the cell that holds a table (null for depth 1). ``text`` is all markup of the cell, inner tables included, and their
     cells are rows of their own. A cell ends at its end tag or at the next cell, row or table end of its own table; cells outside a row are
-    left out. A document without a ``<table>`` is one table.
+    left out. A document without a ``<table>`` is one table, one without a table_id is left out.
 
-    Tags and texts become rows; depth is the running number of open tables. Every piece counts once on each level it lies in, and on a
-    level the current table, row and cell are running counts, so the work is pieces times depth.
+    Each document is read once from left to right with the open tables on a stack, and a piece counts once on each level it lies in. Nothing
+    is shuffled, sorted or held but the cells of one document and one batch.
     """
     rooted = F.when(F.col(html).rlike(r"(?i)<table\b"), F.col(html)).otherwise(F.concat(F.lit("<table>"), F.col(html), F.lit("</table>")))
-    pieces = tables.select("table_id", F.posexplode(F.regexp_extract_all(rooted, F.lit(TOKEN), F.lit(0))).alias("pos", "piece"))
-    tag = F.lower(F.regexp_extract("piece", r"(?i)^<(/?(?:table|tr|td|th))(?=[\s/>])", 1))
-    tagged = pieces.withColumn("tag", F.regexp_replace(tag, "th$", "td"))
-    order = Window.partitionBy("table_id").orderBy("pos")
-    opened = lambda name: (F.col("tag") == name).cast("int")
-    # an end tag that closes nothing must not count: the running sum is measured from its lowest value so far
-    deep = tagged.withColumn("sum", F.sum(opened("table") - opened("/table")).over(order))
-    deep = deep.withColumn("after", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order)))
-    # a table's own two tags lie on its level
-    deep = deep.withColumn("depth", F.col("after") + opened("/table")).where("depth > 0")
-    levels = deep.withColumn("level", F.explode(F.sequence(F.lit(1), F.col("depth").cast("int"))))
-    own = F.col("level") == F.col("depth")
-    is_ = lambda *names: own & F.col("tag").isin(*names)
-    on_level = Window.partitionBy("table_id", "level").orderBy("pos")
-    # tables are numbered over the whole document, so an inner and an outer one never share a number
-    numbered = levels.withColumn("opens", F.when(is_("table"), F.col("pos")))
-    numbered = numbered.withColumn("at", F.last("opens", ignorenulls=True).over(on_level))
-    in_table = Window.partitionBy("table_id", "level", "at").orderBy("pos")
-    flag = lambda c: c.cast("int")
-    rows = (
-        numbered.withColumn("row_idx", F.sum(flag(is_("tr"))).over(in_table) - 1)
-        .withColumn("in_row", F.last(F.when(is_("tr"), True).when(is_("/tr", "table", "/table"), False), ignorenulls=True).over(in_table))
-        .withColumn("in_cell", F.last(F.when(is_("td"), True).when(is_("/td", "tr", "/tr", "table", "/table"), False), ignorenulls=True).over(in_table))
-        .where("in_row and in_cell")
-    )
-    in_row = Window.partitionBy("table_id", "level", "at", "row_idx").orderBy("pos")
-    content = rows.withColumn("cell_idx", F.sum(flag(is_("td"))).over(in_row) - 1)
-    key = ["table_id", "level", "at", "row_idx", "cell_idx"]
-    heads = F.max(F.when(is_("td"), F.col("piece")))
-    inner = F.transform(F.sort_array(F.collect_list(F.when(~is_("td"), F.struct("pos", "piece")))), lambda x: x["piece"])
-    cells = content.groupBy(key).agg(heads.alias("__head"), F.array_join(inner, "").alias("text"))
+    documents = tables.select("table_id", rooted.alias("html")).where("table_id is not null and html is not null")
+    key = tables.schema["table_id"].dataType.simpleString()
+    numbers = ", ".join(f"{c} long" for c in ("table_no", "depth", "parent_no", "parent_row", "parent_cell", "row_idx", "cell_idx"))
+    cells = documents.mapInArrow(_parsed, f"table_id {key}, {numbers}, head string, text string")
 
     def span(name: str) -> Column:
-        found = F.regexp_extract("__head", rf"(?is)\s{name}\s*=\s*[\"']?\s*(\d+)", 1)
+        found = F.regexp_extract("head", rf"(?is)\s{name}\s*=\s*[\"']?\s*(\d+)", 1)
         return F.when(found.isin("", "0"), 1).otherwise(found.cast("int"))
 
-    number = deep.where("tag = 'table'").select("table_id", F.col("pos").alias("at"), F.row_number().over(order).cast("long").alias("table_no"))
-    # the cell on the level above that a table's tag lies in
-    holders = content.where((F.col("tag") == "table") & (F.col("level") == F.col("depth") - 1)).select(
-        "table_id", F.col("pos").alias("at"), F.col("at").alias("__up"), F.col("row_idx").alias("parent_row"), F.col("cell_idx").alias("parent_cell")
-    )
-    above = number.select("table_id", F.col("at").alias("__up"), F.col("table_no").alias("parent_no"))
-    named = number.join(holders, ["table_id", "at"], "left").join(above, ["table_id", "__up"], "left").drop("__up")
-    return cells.join(named, ["table_id", "at"]).select(
-        "table_id", "table_no", F.col("level").cast("long").alias("depth"), "parent_no", "parent_row", "parent_cell",
-        "row_idx", "cell_idx", "text", span("rowspan").alias("rowspan"), span("colspan").alias("colspan"),
-    )
+    return cells.withColumns({"rowspan": span("rowspan"), "colspan": span("colspan")}).drop("head")
 
 
 def parse_cells(tables: DataFrame, html: str = "html") -> DataFrame:

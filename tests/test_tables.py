@@ -93,6 +93,25 @@ def test_nested_cells(spark):
     assert by[4, 0][-1] == "4" and by[4, 0][2:5] == (3, 0, 0) and by[1, 1][-1] == "end" and by[2, 1][-1] == "z"
 
 
+def test_nested_cells_are_read_in_place(spark):
+    docs = spark.createDataFrame([(1, "<table><tr><td>a<table><tr><th>b</table></td><td rowspan=2>c"), (None, "<table><tr><td>lost")], "table_id long, html string")
+    cells = T.parse_nested_cells(docs)
+    assert sorted((r["table_no"], r["parent_no"], r["cell_idx"], r["text"], r["rowspan"]) for r in cells.collect()) == [
+        (1, None, 0, "a<table><tr><th>b</table>", 1), (1, None, 1, "c", 2), (2, 1, 0, "b", 1)]
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_partitions_of_derived_rows_hold_a_bounded_number(spark, monkeypatch):
+    from leafmill import session
+    from leafmill.plans import fixtures
+
+    monkeypatch.setattr(session, "TASK_ROWS", 200)
+    numbered = fixtures.build(spark, "/root/testdata/sf0.001", "numbered")
+    sizes = numbered.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert numbered.count() == 6000 and len(sizes) >= 25 and max(r["count"] for r in sizes) <= 500
+
+
 def scan(rows, carry=None):
     """Start columns of each row's cells, effective columns, occupied columns past the end, and who shows in each square."""
     taken = {(r, c): ("above", c) for r, cols in (carry or {}).items() for c in cols}
