@@ -368,3 +368,53 @@ def test_band_of_many_rows(spark):
     )
     got = T.place_cells(rows).agg(F.count("*"), F.count_if(F.col("col") != F.col("row_idx") % 2)).first()
     assert tuple(got) == (n, 0)
+
+
+def test_placement_in_order_against_bands(spark):
+    """Tables that are read once in order are placed as by bands, repeated and unnumbered cells too."""
+    rng = random.Random(7)
+    cells = []
+    for t in range(30):
+        cells += as_cells(t, [[("x", rng.choice([1, 1, 2, 4]), rng.choice([1, 1, 3])) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 9))])
+    cells += [(40, 0, 0, "a", 2, 1), (40, 0, 0, "b", 1, 2), (40, 0, None, "n", 1, 1), (40, 1, 0, "c", 1, 1), (None, 0, 0, "d", 1, 1), (41, None, 0, "e", 1, 1), (41, 3, 0, "f", 1, 1)]
+    given = spark.createDataFrame(cells, CELL)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = T.place_cells(given).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = lambda rows: sorted((tuple(r) for r in rows))
+    assert order(got) == order(T._placed_by_bands(given, None, 64).collect())
+
+
+@pytest.mark.parametrize("slice_rows", [2, 4096])
+def test_row_facts_against_the_grid(spark, monkeypatch, slice_rows):
+    """Facts of rows in one pass are those counted on the expanded grid, whatever the slices."""
+    rng = random.Random(11)
+    cells = []
+    for t in range(30):
+        cells += as_cells(t, [[(rng.choice(["x", " Y ", "<b>z</b>"]), rng.choice([1, 1, 2, 5]), rng.choice([1, 1, 2, 3])) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 9))])
+    placed = T.place_cells(spark.createDataFrame(cells, CELL))
+    monkeypatch.setattr(T, "SLICE_ROWS", slice_rows)
+    facts = T.row_facts(placed)
+    columns = ["table_id", "row_idx", "actual_cols", "visual_cols", "effective_cols", "segments"]
+    want = T.row_metrics(placed).join(T.segment_counts(placed), ["table_id", "row_idx"]).select(columns)
+    assert sorted(map(tuple, facts.select(columns).collect())) == sorted(map(tuple, want.collect()))
+    bands = T.row_bands(placed).where("row_idx = band").select("table_id", "row_idx")
+    assert sorted(map(tuple, facts.where("starts").select("table_id", "row_idx").collect())) == sorted(map(tuple, bands.collect()))
+    own = {}
+    for t, r, c, text, rowspan, colspan in sorted(cells):
+        own.setdefault((t, r), []).append((colspan, rowspan, text.strip().replace("<b>", "").replace("</b>", "")))
+    assert {(f["table_id"], f["row_idx"]): list(zip(f["colspans"], f["rowspans"], f["texts"])) for f in facts.collect()} == own
+
+
+def test_merges_measure_rows_once(spark):
+    """Pairs are judged without expanding the grid of cells or sorting it by squares."""
+    cells = as_cells(1, [[("h", 1, 1)], [("a", 1, 1)]]) + as_cells(2, [[("h", 1, 1)], [("b", 1, 1)]])
+    placed = T.place_cells(spark.createDataFrame(cells, CELL))
+    pairs = spark.createDataFrame([(1, 1, 2, 1, 100, 100)], "doc_id long, page_idx long, table_id long, prev_id long, width long, prev_width long")
+    notes = spark.createDataFrame([], "table_id long, captions long, continued long, footnotes long")
+    merges = T.mergeable_pairs(pairs, placed, notes)
+    assert [(r["prev_id"], r["table_id"], r["header_rows"], r["total_cols"]) for r in merges.collect()] == [(1, 2, 1, 1)]
+    plan = merges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
