@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.session import checkpointed, written
+from leafmill.session import checkpointed, dealt, dealt_as, task_count, written
 
 # Wiki link and Markdown link.
 WIKI_LINK = r"\[\[([^\n#\[\]|]+)(?:#([^\n\[\]|]+))?(?:\|([^\n\[\]]+))?\]\]"
@@ -140,20 +140,22 @@ def merge_edge_confidence(edges: DataFrame) -> DataFrame:
 
 
 def undirected(links: DataFrame) -> DataFrame:
-    """Both directions of every link, loops and repeats removed."""
+    """Both directions of every link, loops and repeats removed. Links are written once, as they are counted for the partitions."""
+    links = written(links.select("src", "dst"))
     both = links.select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e"))
-    return both.select("e.a", "e.b").where("a <> b").distinct()
+    return dealt(both.select("e.a", "e.b").where("a <> b"), "a", "b").distinct()
 
 
 def neighbourhood(links: DataFrame, seeds: DataFrame, depth: int = 2, direction: str = "both") -> DataFrame:
     """(node, depth): nodes reachable from the seeds (node) in at most ``depth`` steps, by rounds of joins with
     the frontier; visited nodes are left out by an anti-join."""
     if direction == "both":
-        steps = undirected(links)
+        steps = written(undirected(links))
     elif direction == "out":
         steps = links.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     else:
         steps = links.select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct()
+    steps = dealt(steps, "a") if direction == "both" else steps
     seen = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
@@ -338,15 +340,22 @@ def community_cohesion(links: DataFrame, labels: DataFrame, sparse: float = 0.15
 
 def bridge_nodes(links: DataFrame, labels: DataFrame, communities: int = 3) -> DataFrame:
     """Nodes whose neighbours sit in at least that many communities."""
-    return undirected(links).join(labels.toDF("b", "label"), "b").groupBy(F.col("a").alias("node")).agg(
+    edges = written(undirected(links))
+    n = task_count(edges)
+    told = dealt_as(edges, n, "b").join(labels.toDF("b", "label"), "b")
+    return dealt_as(told, n, "a").groupBy(F.col("a").alias("node")).agg(
         F.count_distinct("label").alias("communities")
     ).where(F.col("communities") >= communities)
 
 
 def surprising_edges(links: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b, score) of edges between communities: 1/sqrt(cross degree × cross degree)."""
-    cross = undirected(links).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb")
-    cd = cross.groupBy("a").agg(F.count("*").alias("d"))
-    return cross.where("a < b").select("a", "b").join(cd.toDF("a", "da"), "a").join(cd.toDF("b", "db"), "b").select(
+    edges = written(undirected(links))
+    n = task_count(edges)
+    told = dealt_as(edges, n, "a").join(labels.toDF("a", "la"), "a")
+    cross = written(dealt_as(told, n, "b").join(labels.toDF("b", "lb"), "b").where("la <> lb").select("a", "b"))
+    cd = written(dealt_as(cross, n, "a").groupBy("a").agg(F.count("*").alias("d")))
+    one = dealt_as(cross.where("a < b"), n, "a").join(cd.toDF("a", "da"), "a")
+    return dealt_as(one, n, "b").join(cd.toDF("b", "db"), "b").select(
         "a", "b", (1 / F.sqrt(F.col("da") * F.col("db"))).alias("score")
     )

@@ -203,3 +203,21 @@ def test_groups_in_a_circle(spark):
     assert (got["x0"], got["y0"], got["x1"], got["y1"]) == (64.0, 7.0, 128.0, 8.0)
     with pytest.raises(ValueError, match="page 2"):
         L.compose_transforms(spark.createDataFrame([*chain, (2, 1, 2, 1.0, 1.0, 0.0, 0.0), (2, 2, 3, 1.0, 1.0, 0.0, 0.0), (2, 3, 1, 1.0, 1.0, 0.0, 0.0)], groups), shapes)
+
+
+def test_edges_are_dealt_in_bounded_partitions(spark, monkeypatch):
+    """Edges, and what is measured on them, lie in partitions of a bounded number of rows."""
+    from leafmill import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    links = spark.range(4000).selectExpr("id as src", "id + 1 as dst").unionAll(spark.range(0, 4000, 7).selectExpr("id + 1 as src", "id as dst"))
+    edges = G.undirected(links)
+    assert edges.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+    assert edges.count() == 8000
+    labels = spark.range(4001).selectExpr("id as node", "id % 4 as label")
+    assert G.bridge_nodes(links, labels, 2).count() == 3999
+    found = {(r["a"], r["b"]): round(r["score"], 6) for r in G.surprising_edges(links, labels).collect()}
+    # ends of the line have one neighbour, all others two
+    assert found == {(i, i + 1): round(0.5 if 0 < i < 3999 else 0.5**0.5, 6) for i in range(4000)}
+    paths = G.shortest_paths(links, spark.createDataFrame([(10,)], "node long"))
+    assert sorted(map(tuple, paths.collect())) == [(10 + d, abs(d)) for d in range(-4, 5)]
