@@ -20,7 +20,9 @@ from leafmill.operators.ordered import Scan, scan
 from leafmill.session import dealt, written
 
 #: Slots of a chart series that one array holds.
-STRETCH = 1 << 14
+STRETCH = 1 << 10
+#: Slots that one task of ``densify_points`` aims at.
+TASK_SLOTS = 1 << 25
 
 
 #: Tags (quoted attribute values may hold ``>``), comments, runs of text, and a stray ``<``.
@@ -840,7 +842,8 @@ def densify_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sparse points (keys, point_idx, value) filled from 0 to the highest index with "", whatever the span.
 
     Every point makes the slots after the point before it, up to its own. Such gaps are cut into stretches, so no array grows with a
-    series, and only points and stretches are shuffled: slots are made where they are used. Under a null key all slots are "".
+    series, and only points and stretches are shuffled: slots are made where they are used, by about ``TASK_SLOTS`` a task. Under a null key
+    all slots are "".
     """
     rest = [c for c in points.columns if c not in (*keys, "point_idx")]
     placed = points.withColumn("point_idx", F.col("point_idx").cast("long")).where("point_idx >= 0")
@@ -853,7 +856,11 @@ def densify_points(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     low = F.least(F.coalesce(F.col("__before") + 1, F.lit(0)), F.col("point_idx"))
     stretches = gaps.withColumn("__low", low).withColumn("__s", F.explode(F.sequence(F.floor(F.col("__low") / step), F.floor(F.col("point_idx") / step))))
     slots = F.sequence(F.greatest("__low", F.col("__s") * step), F.least(F.col("point_idx"), (F.col("__s") + 1) * step - 1))
-    made = stretches.repartition(*keys, "__s").withColumn("__slot", F.explode(slots))
+    size = gaps.agg(F.sum(F.col("point_idx") - low + 1)).first()[0] or 0
+    n = max(-(-size // TASK_SLOTS), points.sparkSession.sparkContext.defaultParallelism)
+    # the same stretch of all series of a task, slot by slot: a columnar file repeats itself then, and stays small
+    laid = stretches.repartition(n, *keys, "__s").sortWithinPartitions("__s", *keys, "point_idx")
+    made = laid.withColumn("__slot", F.explode(slots))
     own = (F.col("__slot") == F.col("point_idx")) & ~F.col("__unnamed")
     held = made.select(*keys, F.col("__slot").alias("point_idx"), *[F.when(own, F.col(c)).alias(c) for c in rest])
     return held.withColumn("value", F.coalesce("value", F.lit("")))

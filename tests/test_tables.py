@@ -418,3 +418,12 @@ def test_merges_measure_rows_once(spark):
     assert [(r["prev_id"], r["table_id"], r["header_rows"], r["total_cols"]) for r in merges.collect()] == [(1, 2, 1, 1)]
     plan = merges._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan
+
+
+def test_densified_points_stay_small_when_written(spark, tmp_path):
+    """Sparse series of the same length: a task lays the same stretch of all its series side by side, so what is written repeats itself."""
+    points = spark.range(512).selectExpr("id as chart_id", "20000L as point_idx", "'v' as value")
+    T.densify_points(points, ["chart_id"]).write.parquet(str(tmp_path / "dense"))
+    got = spark.read.parquet(str(tmp_path / "dense"))
+    assert got.count() == got.distinct().count() == 512 * 20001 and got.where("value = 'v' and point_idx = 20000").count() == 512
+    assert sum(f.stat().st_size for f in (tmp_path / "dense").glob("*.parquet")) < 512 * 20001
