@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -404,6 +406,12 @@ def _widest_gap(df: DataFrame, lo: str, hi: str, out: str) -> DataFrame:
     )
 
 
+#: Boxes of a page that ``xy_cut_order`` cuts in one task.
+HELD_PAGE = 1024
+#: Pairs of boxes that are compared at once there.
+_PAIRS = 1 << 20
+
+
 def xy_cut_order(boxes: DataFrame, beta: float = 2.0, min_gap: float = 5.0) -> DataFrame:
     """Recursive XY-cut reading order, one round of cuts for all pages and regions at a time.
 
@@ -411,8 +419,143 @@ def xy_cut_order(boxes: DataFrame, beta: float = 2.0, min_gap: float = 5.0) -> D
     tie), and boxes go to the side of their centre. When no vertical cut is found, boxes under a tenth of the
     region's width are ignored once. Rounds stop when no region splits. Boxes at least ``beta`` times the
     widest box that share a tenth of width with two others are held out and merged back by top.
+
+    Pages of at most ``HELD_PAGE`` boxes are read once, in order, and the rounds run over the pages of an Arrow batch; larger pages, and pages with
+    coordinates beyond 2^40 or no numbers, are cut in rounds of joins. Boxes without a page are left out.
     """
-    valid = boxes.where(B.is_valid(B.box()))
+    valid = boxes.where(B.is_valid(B.box()) & F.col("page_id").isNotNull())
+    sides = ("x0", "y0", "x1", "y1")
+    plain = F.lit(all(boxes.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "double") for c in sides))
+    for c in sides:
+        plain = plain & (F.abs(F.col(c).cast("double")) <= 2.0**40)
+    pages = valid.groupBy("page_id").agg(F.count("*").alias("n"), F.min(plain).alias("plain"))
+    odd = pages.where(~F.col("plain") | (F.col("n") > HELD_PAGE)).select("page_id")
+    if odd.isEmpty():
+        return _cut_in_batches(valid, beta, min_gap)
+    odd = written(odd)
+    rounds = _cut_in_rounds(valid.join(odd, "page_id", "left_semi"), beta, min_gap)
+    return _cut_in_batches(valid.join(odd, "page_id", "left_anti"), beta, min_gap).unionByName(rounds)
+
+
+def _cut_in_batches(valid: DataFrame, beta: float, min_gap: float) -> DataFrame:
+    """Reading order of pages that fit in a batch."""
+    w = Window.partitionBy("page_id").orderBy("span_idx")
+    rank = F.when(F.col("span_idx").isNull(), F.lit(0)).otherwise(F.dense_rank().over(w)).cast("long")
+    ordered = valid.select(
+        "page_id", "span_idx", F.row_number().over(w).alias("__nth"), rank.alias("__rank"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    )
+    kinds = [f"{c} {valid.schema[c].dataType.simpleString()}" for c in ("page_id", "span_idx")]
+    return ordered.mapInArrow(_cut_pages(beta, min_gap), f"{', '.join(kinds)}, position int")
+
+
+def _cut_pages(beta: float, min_gap: float):
+    def numbered(rows: pa.Table) -> pa.RecordBatch:
+        page = np.cumsum(rows.column("__nth").to_numpy() == 1) - 1
+        at, position = _page_positions(page, *[rows.column(c).to_numpy() for c in ("__rank", "x0", "y0", "x1", "y1")], beta, min_gap)
+        out = rows.select(["page_id", "span_idx"]).take(pa.array(at)).append_column("position", pa.array(position, pa.int32())).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in out.columns], out.column_names)
+
+    def cut(batches):
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            starts = np.flatnonzero(rows.column("__nth").to_numpy() == 1)
+            last = int(starts[-1]) if len(starts) else 0
+            if last:
+                yield numbered(rows.slice(0, last))
+            rest = rows.slice(last)
+        if rest is not None and rest.num_rows:
+            yield numbered(rest)
+
+    return cut
+
+
+def _running_max(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The highest value so far in each group, groups ascending."""
+    ranked, rank = np.unique(value, return_inverse=True)
+    return ranked[np.maximum.accumulate(group * len(ranked) + rank.ravel()) % len(ranked)] if len(value) else value
+
+
+def _gaps(region: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n regions the first widest empty stretch between sorted extents, and its middle."""
+    order = np.lexsort((hi, lo, region))
+    region, lo = region[order], lo[order]
+    end = np.r_[0.0, _running_max(region, hi[order])[:-1]] if len(order) else lo
+    gap = np.where(np.r_[True, region[1:] != region[:-1]][: len(region)], 0.0, lo - end)
+    best = np.lexsort((lo, -gap, region))
+    first = best[np.r_[True, region[best][1:] != region[best][:-1]][: len(best)]]
+    first = first[gap[first] > 0]
+    width, cut = np.zeros(n), np.full(n, np.nan)
+    width[region[first]], cut[region[first]] = gap[first], (end[first] + lo[first]) / 2
+    return width, cut
+
+
+def _page_positions(page, rank, x0, y0, x1, y1, beta: float, min_gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the boxes that have a position, and the position. Pages ascend; a rank of 0 is a box without a number."""
+    n = np.bincount(page)
+    starts = np.cumsum(n) - n
+    wide = x1 - x0
+    # boxes across the layout: those with a number that share a tenth of width with two of other numbers
+    key = np.unique(page * (int(rank.max()) + 1) + rank, return_inverse=True)[1].ravel()
+    across = np.flatnonzero((n[page] >= 3) & (wide >= beta * np.maximum.reduceat(wide, starts)[page]) & (rank > 0))
+    near = np.zeros(len(page), np.int64)
+    done = np.cumsum(n[page[across]])
+    lo = 0
+    while lo < len(across):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + _PAIRS, "right")))
+        i = np.repeat(across[lo:hi], n[page[across[lo:hi]]])
+        new = np.r_[True, i[1:] != i[:-1]]
+        j = starts[page[i]] + np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+        shared = np.maximum(0, np.minimum(x1[i], x1[j]) - np.maximum(x0[i], x0[j]))
+        meets = (rank[j] > 0) & (rank[i] != rank[j]) & (shared / np.minimum(wide[i], wide[j]) >= 0.1)
+        near += np.bincount(key[i[meets]], minlength=len(near))
+        lo = hi
+    held = across[near[key[across]] >= 2]
+    out = np.zeros(len(page), bool)
+    out[key[held]] = True
+    main = np.flatnonzero(~out[key])
+    # the rounds: a region is split in two, regions ascend by page and path
+    region, open_ = page[main], np.ones(len(main), bool)
+    while open_.any():
+        at = np.flatnonzero(open_)
+        box = main[at]
+        ids, r = np.unique(region[at], return_inverse=True)
+        r, k = r.ravel(), len(ids)
+        size = np.bincount(r, minlength=k)
+        left, right = np.full(k, np.inf), np.full(k, -np.inf)
+        np.minimum.at(left, r, x0[box])
+        np.maximum.at(right, r, x1[box])
+        broad = wide[box] >= (right - left)[r] * 0.1
+        broad_n = np.bincount(r[broad], minlength=k)
+        h, h_cut = _gaps(r, y0[box], y1[box], k)
+        v, v_cut = _gaps(r, x0[box], x1[box], k)
+        f, f_cut = _gaps(r[broad], x0[box][broad], x1[box][broad], k)
+        retry = (v < min_gap) & (size >= 3) & (broad_n >= 2) & (broad_n < size) & (f > v) & (f >= min_gap)
+        v, v_cut = np.where(retry, f, v), np.where(retry, f_cut, v_cut)
+        has_h, has_v = h >= min_gap, v >= min_gap
+        rows = has_h & (~has_v | (h > v))
+        cut = np.where((size > 1) & (has_h | has_v), np.where(rows, h_cut, v_cut), np.nan)
+        first = np.where(rows[r], (y0[box] + y1[box]) / 2, (x0[box] + x1[box]) / 2) < cut[r]
+        lower = np.bincount(r[first], minlength=k)
+        splits = (lower > 0) & (lower < size) & ~np.isnan(cut)
+        side = np.zeros(len(main), np.int64)
+        side[at] = splits[r] & ~first
+        open_[at] = splits[r]
+        region = np.unique(region * 2 + side, return_inverse=True)[1].ravel()
+    main = main[np.lexsort((rank[main], x0[main], y0[main], region))]
+    place = np.arange(len(main))
+    # held boxes go before the first main box whose running top reaches them
+    top = np.r_[_running_max(page[main], y0[main]), y0[held]]
+    at, own = np.r_[main, held], np.r_[np.ones(len(main)), np.zeros(len(held))]
+    order = np.lexsort((rank[at], np.r_[0.0 * place, x0[held]], np.r_[place, 0 * held], own, top, page[at]))
+    at = at[order]
+    of = page[at]
+    begin = np.maximum.accumulate(np.where(np.r_[True, of[1:] != of[:-1]][: len(of)], np.arange(len(of)), 0)) if len(of) else of
+    return at, np.arange(len(of)) - begin + 1
+
+
+def _cut_in_rounds(valid: DataFrame, beta: float, min_gap: float) -> DataFrame:
+    """Reading order of pages of any size, by rounds of joins."""
     held = _cross_layout(valid, beta)
     rest = valid.join(held.select("page_id", "span_idx"), ["page_id", "span_idx"], "left_anti")
     open_ = checkpointed(rest.select("page_id", "span_idx", "x0", "y0", "x1", "y1").withColumn("path", F.lit("")))

@@ -221,3 +221,19 @@ def test_edges_are_dealt_in_bounded_partitions(spark, monkeypatch):
     assert found == {(i, i + 1): round(0.5 if 0 < i < 3999 else 0.5**0.5, 6) for i in range(4000)}
     paths = G.shortest_paths(links, spark.createDataFrame([(10,)], "node long"))
     assert sorted(map(tuple, paths.collect())) == [(10 + d, abs(d)) for d in range(-4, 5)]
+
+
+def test_xy_cut_in_batches_and_in_rounds(spark):
+    """Small pages are cut in one ordered pass; it gives what rounds of joins give, for boxes that repeat or lack a number, and pages of one box."""
+    rng = random.Random(11)
+    boxes = []
+    for page in range(20):
+        for i in range(rng.choice([1, 2, 5, 8])):
+            x, y = rng.randrange(0, 300), rng.randrange(0, 300)
+            boxes.append((page, None if rng.random() < 0.1 else rng.randrange(12) + 20 * (page % 2) * i, x, y, x + rng.choice([0, 4, 40, 200]), y + rng.choice([5, 30])))
+    boxes += [(None, 1, 0, 0, 5, 5), (40, 1, None, 0, 5, 5)] + [b for b in boxes[:20] for _ in range(2)]
+    df = spark.createDataFrame(boxes, "page_id long, span_idx long, x0 long, y0 long, x1 long, y1 long")
+    valid = df.where("x0 < x1 and y0 < y1 and page_id is not null")
+    want = sorted(map(str, L._cut_in_rounds(valid, 0.7, 5.0).collect()))
+    assert sorted(map(str, L.xy_cut_order(df, 0.7).collect())) == want
+    assert "MapInArrow" in L.xy_cut_order(df)._jdf.queryExecution().toString()
